@@ -93,8 +93,6 @@ def content_hash(c: Column | str) -> Column:
 
 
 def is_json(c: Column | str) -> Column:
-    """Exactly one JSON value and nothing after it."""
-    wrapped = F.concat(F.lit("["), col(c), F.lit("]"))
-    return F.coalesce(
-        F.try_parse_json(wrapped).isNotNull() & (F.json_array_length(wrapped) == 1), F.lit(False)
-    )
+    """One JSON value and nothing after it; the parser reads all of it."""
+    wrapped = F.concat(F.lit("["), col(c), F.lit(",0]"))
+    return F.coalesce(F.json_array_length(wrapped) == 2, F.lit(False))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeflow.functions.text import content_hash, ngrams, normalized_words
 
-CONTAIN_WORDS = 13
-NEAR_WORDS = 8
+GRAM = 8  # words per n-gram
 NEAR_SHARE = 0.5
 BROADCAST_ROWS = 200_000
 
@@ -24,73 +23,79 @@ def contamination_exact(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.withColumn("_hash", content_hash("text")).join(small_side(hashes), "_hash", "left_semi").drop("_hash")
 
 
-def _item_words(items: DataFrame) -> DataFrame:
-    return items.select("item_id", normalized_words("text").alias("item_words")).where(F.size("item_words") > 0)
+def item_grams(items: DataFrame, n: int = GRAM) -> DataFrame:
+    """Word n-grams of the items with their offset; a shorter item is one gram of all its words."""
+    tokens = items.select("item_id", normalized_words("text").alias("_words")).where(F.size("_words") > 0)
+    grams = F.when(F.size("_words") >= n, ngrams("_words", n)).otherwise(F.array(F.array_join("_words", " ")))
+    return tokens.select("item_id", F.size("_words").alias("n_words"), F.posexplode(grams).alias("offset", "gram"))
 
 
-def _doc_grams(docs: DataFrame, key: str, text: str, lengths: list[int]) -> DataFrame:
-    """Every word n-gram of the wanted lengths; only those that hit an item leave the task."""
+def _gram_lengths(items: DataFrame, n: int) -> list[int]:
+    """Gram lengths in use: at most ``n`` numbers."""
+    sizes = items.select(F.least(F.size(normalized_words("text")), F.lit(n)).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in sizes if r["n"] > 0)
+
+
+def _doc_grams(docs: DataFrame, key: str, text: str, lengths: list[int], positions: bool) -> DataFrame:
+    """Word n-grams of whole documents, with every position or each gram once."""
     tokens = docs.select(F.col(key), normalized_words(text).alias("_words"))
     parts = None
     for n in lengths:
-        part = tokens.select(key, F.explode(F.array_distinct(ngrams("_words", n))).alias("gram"))
+        grams = ngrams("_words", n)
+        if positions:
+            part = tokens.select(key, F.posexplode(grams).alias("position", "gram"))
+        else:
+            part = tokens.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
-def _lengths(item_words: DataFrame, most: int) -> list[int]:
-    """Gram lengths in use, at most ``most`` numbers: shorter items count as one gram."""
-    found = item_words.select(F.least(F.size("item_words"), F.lit(most)).alias("n")).distinct().collect()
-    return sorted(r["n"] for r in found)
-
-
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-                    anchor_words: int = CONTAIN_WORDS) -> DataFrame:
+                    n: int = GRAM) -> DataFrame:
     """Pairs (document, item) where the item's normalised words occur in a row in the document.
 
-    Candidates meet on the first ``anchor_words`` words of the item, then the whole texts
-    are compared, so the result is exact.
+    The item is tiled by n-grams at offsets 0, n, 2n, ... and its last n words. It occurs at
+    a start if every tile is found at its offset from there, so texts are never joined.
     """
-    prepared = _item_words(items)
-    lengths = _lengths(prepared, anchor_words)
+    lengths = _gram_lengths(items, n)
     if not lengths:
         return docs.select(key).limit(0).withColumn("item_id", F.lit(None).cast("long"))
-    anchors = prepared.select(
-        "item_id", F.array_join(F.slice("item_words", 1, anchor_words), " ").alias("gram"),
-        F.concat(F.lit(" "), F.array_join("item_words", " "), F.lit(" ")).alias("item_text"),
+    tiles = item_grams(items, n).where(
+        (F.col("offset") % n == 0) | (F.col("offset") == F.col("n_words") - n)
     )
-    hits = _doc_grams(docs, key, text, lengths).join(small_side(anchors), "gram").select(key, "item_id", "item_text")
-    whole = docs.select(
-        key, F.concat(F.lit(" "), F.array_join(normalized_words(text), " "), F.lit(" ")).alias("doc_text")
+    counts = tiles.groupBy("item_id").agg(F.count("*").alias("n_tiles"))
+    sized = tiles.join(counts, "item_id").drop("n_words")
+    hits = _doc_grams(docs, key, text, lengths, positions=True).join(small_side(sized), "gram")
+    starts = hits.groupBy(key, "item_id", (F.col("position") - F.col("offset")).alias("start")).agg(
+        F.count("*").alias("found"), F.first("n_tiles").alias("n_tiles")
     )
-    return hits.join(whole, key).where(F.contains("doc_text", "item_text")).select(key, "item_id")
+    return starts.where(F.col("found") == F.col("n_tiles")).select(key, "item_id").distinct()
 
 
 def near_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-               n: int = NEAR_WORDS, share: float = NEAR_SHARE) -> DataFrame:
+               n: int = GRAM, share: float = NEAR_SHARE) -> DataFrame:
     """Pairs (document, item, share) where at least ``share`` of the item's n-grams are in the document."""
-    prepared = _item_words(items)
-    lengths = _lengths(prepared, n)
+    lengths = _gram_lengths(items, n)
     if not lengths:
         return docs.select(key).limit(0).withColumn("item_id", F.lit(None).cast("long")).withColumn(
             "share", F.lit(None).cast("double"))
-    grams = prepared.select(
-        "item_id",
-        F.array_distinct(F.when(F.size("item_words") >= n, ngrams("item_words", n))
-                         .otherwise(F.array(F.array_join("item_words", " ")))).alias("grams"),
-    ).select("item_id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
-    hits = _doc_grams(docs, key, text, lengths).join(small_side(grams), "gram")
+    grams = item_grams(items, n).select("item_id", "gram").distinct()
+    sized = grams.join(grams.groupBy("item_id").agg(F.count("*").alias("n_grams")), "item_id")
+    hits = _doc_grams(docs, key, text, lengths, positions=False).join(small_side(sized), "gram")
     return (
-        hits.groupBy(key, "item_id", "n_grams").agg(F.count("*").alias("found"))
+        hits.groupBy(key, "item_id").agg(F.count("*").alias("found"), F.first("n_grams").alias("n_grams"))
         .select(key, "item_id", (F.col("found") / F.col("n_grams")).alias("share"))
         .where(F.col("share") >= share)
     )
 
 
 def flagged_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids of documents that equal, contain or nearly contain an item (equal implies contained)."""
-    contained = contained_items(docs, items, key).select(key)
-    return contained.unionByName(near_items(docs, items, key).select(key)).distinct()
+    """Ids of documents that equal, contain or nearly contain an item.
+
+    A document that equals or contains an item has all of its n-grams, so the near match
+    finds all three kinds in one pass.
+    """
+    return near_items(docs, items, key).select(key).distinct()
 
 
 def contamination_filter(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from gradeflow.functions.clock import epoch_micros
 from gradeflow.functions.text import seed_hash
+from gradeflow.session import materialize
 
 RANGES = 256
 PREFIX = 4  # hex digits: at most 65,536 prefixes
@@ -178,21 +179,25 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per distinct value (by..., value, n), stored once for the passes that follow."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value")).agg(
+        F.count("*").alias("n")
+    )
+    return materialize(counted, "value-counts")
+
+
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), ranges: int = RANGES
+    counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (), ranges: int = RANGES
 ) -> DataFrame:
-    """Interpolated quantiles, long form (by..., prob, value), exact on any group size.
+    """Interpolated quantiles, long form (by..., prob, value), from ``value_counts``.
 
-    Values are counted first, then ranked within ranges, so equal values and hot groups
-    cost one row per distinct value and no group meets in a single task.
+    Values are ranked within ranges, so equal values and hot groups cost one row per
+    distinct value and no group meets in a single task.
     """
     by = list(by)
-    tallies = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_value"))
-        .agg(F.count("*").alias("_n"))
-    )
-    ranged = with_range(tallies, "_value", ranges=ranges)
-    totals = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows"))
+    ranged = with_range(counts, "value", ranges=ranges)
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_rows"))
     whole = W.partitionBy(*by)
     starts = totals.select(
         *by, "_range",
@@ -202,25 +207,23 @@ def exact_quantiles(
         ).alias("_start"),
         F.sum("_rows").over(whole).alias("_total"),
     )
-    inside = W.partitionBy(*by, "_range").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*by, "_range").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
         _join_keys(ranged, starts, [*by, "_range"])
-        .withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
-        .withColumn("_begin", F.col("_end") - F.col("_n"))
+        .withColumn("_end", F.col("_start") + F.sum("n").over(inside))
+        .withColumn("_begin", F.col("_end") - F.col("n"))
     )
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    places = ranked.select(*by, "_value", "_begin", "_end", "_total", wanted).withColumn(
+    places = ranked.select(*by, "value", "_begin", "_end", "_total", wanted).withColumn(
         "_place", F.col("prob") * (F.col("_total") - 1)
     )
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_begin")) & (rank < F.col("_end")), F.col("_value")))
+        return F.max(F.when((rank >= F.col("_begin")) & (rank < F.col("_end")), F.col("value")))
 
-    low = at(F.floor("_place"))
-    high = at(F.ceil("_place"))
     return (
         places.groupBy(*by, "prob")
-        .agg(low.alias("_low"), high.alias("_high"), F.first("_place").alias("_place"))
+        .agg(at(F.floor("_place")).alias("_low"), at(F.ceil("_place")).alias("_high"), F.first("_place").alias("_place"))
         .select(
             *by, "prob",
             (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_place") - F.floor("_place")))

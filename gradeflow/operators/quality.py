@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gradeflow.functions.text import WS, is_blank, keyword_hits, ngrams, strip, text_of, word_count, words
-from gradeflow.operators.ordering import exact_quantiles
+from gradeflow.operators.ordering import exact_quantiles, value_counts
 
 # Default weights and threshold of the composite score.
 WEIGHTS = {"correctness": 0.4, "relevance": 0.3, "complexity": 0.15, "clarity": 0.15}
@@ -61,14 +61,20 @@ def format_compliance(df: DataFrame, text: str = "text") -> DataFrame:
     return flagged.withColumn("compliant", ~bad)
 
 
-def quality_distribution(scored: DataFrame, score: str = "quality_score") -> DataFrame:
-    """One row: mean and exact quartiles."""
-    quartiles = exact_quantiles(scored, score, [0.25, 0.5, 0.75]).agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
-        for p, name in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]
+def _spread_figures(counts: DataFrame, probs: Sequence[tuple[float, str]]) -> DataFrame:
+    """One row: n, mean and the named exact quantiles of ``value_counts``."""
+    tails = exact_quantiles(counts, [p for p, _ in probs]).agg(*[
+        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in probs
     ]).withColumn("_one", F.lit(1))
-    mean = scored.agg(F.count("*").alias("n"), F.avg(score).alias("mean")).withColumn("_one", F.lit(1))
-    return mean.join(quartiles, "_one").drop("_one")
+    basic = counts.agg(
+        F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")
+    ).withColumn("_one", F.lit(1))
+    return basic.join(tails, "_one").drop("_one")
+
+
+def quality_distribution(scored: DataFrame, score: str = "quality_score") -> DataFrame:
+    """One row: n, mean and exact quartiles; the scores are computed once."""
+    return _spread_figures(value_counts(scored, score), [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")])
 
 
 def source_breakdown(df: DataFrame, source: str = "source") -> DataFrame:
@@ -137,12 +143,7 @@ def run_consistency(df: DataFrame, by: Sequence[str], value: str = "value") -> D
 
 def latency_profile(df: DataFrame, value: str, ts_micros: str) -> DataFrame:
     """One row: n, mean, exact p50, p95, p99 and rows per second over the time span."""
-    probs = [(0.5, "p50"), (0.95, "p95"), (0.99, "p99")]
-    tails = exact_quantiles(df, value, [p for p, _ in probs]).agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in probs
-    ]).withColumn("_one", F.lit(1))
+    figures = _spread_figures(value_counts(df, value), [(0.5, "p50"), (0.95, "p95"), (0.99, "p99")])
     seconds = (F.max(ts_micros) - F.min(ts_micros)) / 1e6
-    basic = df.agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), (F.count("*") / seconds).alias("throughput")
-    ).withColumn("_one", F.lit(1))
-    return basic.join(tails, "_one").drop("_one")
+    rate = df.agg((F.count("*") / seconds).alias("throughput")).withColumn("_one", F.lit(1))
+    return figures.withColumn("_one", F.lit(1)).join(rate, "_one").drop("_one")

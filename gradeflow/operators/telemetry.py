@@ -30,24 +30,27 @@ def _payload(line: Column, marker: str) -> Column:
     return F.split_part(line, F.lit(marker), F.lit(2))
 
 
-def parse_marker(lines: DataFrame, line: str = "line", markers=TRAINING_MARKERS) -> DataFrame:
-    """Non-blank lines with ``marker`` and ``payload``; lines without a marker are "log".
-
-    Lines whose payload is not JSON are dropped. The completion marker has no payload.
-    """
+def _read_line(line: Column, markers) -> Column:
     kind: Column = F.lit("log")
     payload: Column = F.lit(None).cast("string")
     for name, marker in reversed(markers):
-        here = F.contains(F.col(line), F.lit(marker))
+        here = F.contains(line, F.lit(marker))
         kind = F.when(here, name).otherwise(kind)
-        text = F.lit(None).cast("string") if marker == COMPLETE else _payload(F.col(line), marker)
+        text = F.lit(None).cast("string") if marker == COMPLETE else _payload(line, marker)
         payload = F.when(here, text).otherwise(payload)
-    parsed = (
-        lines.withColumn(line, strip(line)).where(F.col(line) != "")
-        .withColumn("marker", kind).withColumn("payload", payload)
-    )
-    plain = F.col("marker").isin("log", "complete")
-    return parsed.where(plain | is_json("payload"))
+    return F.struct(line.alias("line"), kind.alias("marker"), payload.alias("payload"))
+
+
+def parse_marker(lines: DataFrame, line: str = "line", markers=TRAINING_MARKERS) -> DataFrame:
+    """Non-blank lines with ``marker`` and ``payload``; lines without a marker are "log".
+
+    Lines whose payload is not JSON are dropped. The completion marker has no payload. Each
+    line is read once inside an array of one, so no filter repeats the work.
+    """
+    filled = F.filter(F.array(strip(line)), lambda one: one != "")
+    read = F.transform(filled, lambda one: _read_line(one, markers))
+    good = F.filter(read, lambda r: r["marker"].isin("log", "complete") | is_json(r["payload"]))
+    return lines.select(*[c for c in lines.columns if c != line], F.inline(good))
 
 
 def number_at(payload: Column | str, name: str) -> Column:

@@ -45,6 +45,18 @@ def read_dataset(
     return read_lines(spark, path)
 
 
+def read_spread(spark: SparkSession, path: str, key: Sequence[str], bytes_per_task: int = 128 << 20) -> DataFrame:
+    """Parquet scan; rows of files too small to occupy every core are spread by ``key``.
+
+    A file with one row group is read by one task, whatever the cores. Data of ordinary size
+    (``bytes_per_task`` for each core and more) is never reshuffled.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return df.repartition(cores, *key) if size < cores * bytes_per_task else df
+
+
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None
 ) -> DataFrame:
