@@ -14,6 +14,8 @@ from gradeflow.session import materialize
 SHINGLE = 5
 HASHES = 64
 ROWS = 4  # hashes per band, so 16 bands
+HOT = 64  # rows above which a bucket is refined
+TAIL = 1000  # bucket rows that one task may finish
 
 
 def first_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,56 +62,114 @@ def _band_hashes(hashes: int, rows: int, seed: int):
 
 def minhash_dedup(
     df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
-    hashes: int = HASHES, rows: int = ROWS, seed: int = 42,
+    hashes: int = HASHES, rows: int = ROWS, seed: int = 42, hot: int = HOT, tail: int = TAIL,
 ) -> DataFrame:
     """Near duplicates by MinHash bands, each verified by its exact Jaccard similarity.
 
     A row is dropped if an earlier kept row shares a band bucket with it and reaches the
-    threshold. Returns every id with ``kept`` and the kept row it repeats (``duplicate_of``).
+    threshold. Returns every id with ``kept`` and a kept row it repeats (``duplicate_of``).
 
-    Exact copies are folded away first. Then, in rounds, the lowest open row of all its
-    buckets becomes a leader and is compared with the open rows of those buckets; matches
-    are dropped, the others stay open for the next leader. So a bucket of any size costs
-    one comparison per row and leader, never all pairs, and no partner is left out.
+    Exact copies are folded away first and buckets of more than ``hot`` rows are refined.
+    Then, in rounds, the lowest open row of all its buckets becomes a leader and is compared
+    with the open rows of those buckets; matches are dropped, the others stay open for the
+    next leader. A group of copies of any size costs one comparison per row, never all
+    pairs, and no partner is left out. The last ``tail`` rows are finished in one task.
     """
-    spark = df.sparkSession
     hashed = df.select(F.col(key).alias("id"), F.md5(text_of(text)).alias("_hash"))
-    firsts = hashed.groupBy("_hash").agg(F.min("id").alias("id"))
+    firsts = materialize(hashed.groupBy("_hash").agg(F.min("id").alias("id")), "firsts")
     distinct = df.join(firsts.select(F.col("id").alias(key)), key, "left_semi")
     sets = materialize(shingle_sets(distinct, key, text), "shingles")
     band = _band_hashes(hashes, rows, seed)
     spread = sets.select("id", F.explode(band("shingles")).alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    open_rows = materialize(spread.join(shared, "bucket", "left_semi"), "buckets")
-    dropped: DataFrame | None = None
-    while not open_rows.isEmpty():
-        lowest = open_rows.groupBy("bucket").agg(F.min("id").alias("leader"))
-        placed = open_rows.join(lowest, "bucket")
-        leaders = (
-            placed.groupBy("id").agg(F.min(F.col("leader") == F.col("id")).alias("leads"))
-            .where("leads").select(F.col("id").alias("leader"))
-        )
-        pairs = placed.where(F.col("leader") < F.col("id")).select("id", "leader").distinct().join(
-            leaders, "leader", "left_semi"
-        )
-        left = sets.select("id", F.col("shingles").alias("a"))
-        right = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        jaccard = common / (F.size("a") + F.size("b") - common)
-        matched = materialize(
-            pairs.join(left, "id").join(right, "leader").where(jaccard >= threshold)
-            .groupBy("id").agg(F.min("leader").alias("duplicate_of")),
-            "matched",
-        )
+    open_rows = materialize(_refine_hot(_crowded(spread), sets, threshold, hot), "buckets")
+    dropped: list[DataFrame] = []
+    while (n := open_rows.count()) > tail:
+        matched, leaders = _one_round(open_rows, sets, threshold)
         closed = matched.select("id").unionByName(leaders.select(F.col("leader").alias("id")))
-        remaining = open_rows.join(closed, "id", "left_anti")
-        crowded = remaining.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        open_rows = materialize(remaining.join(crowded, "bucket", "left_semi"), "buckets")
-        dropped = matched if dropped is None else dropped.unionByName(matched)
-    if dropped is None:
-        dropped = spark.createDataFrame([], "id long, duplicate_of long")
+        open_rows = materialize(_crowded(open_rows.join(closed, "id", "left_anti")), "buckets")
+        dropped.append(matched)
+    if n:
+        dropped.append(_finish_tail(open_rows, sets, threshold))
+    found = df.sparkSession.createDataFrame([], "id long, duplicate_of long")
+    for part in dropped:
+        found = found.unionByName(part)
     # copies share the fate of the first row with their text
-    fate = firsts.join(dropped, "id", "left").select("_hash", F.col("id").alias("first_id"), "duplicate_of")
+    fate = firsts.join(found, "id", "left").select("_hash", F.col("id").alias("first_id"), "duplicate_of")
     copies = hashed.join(fate, "_hash")
     target = F.coalesce(F.col("duplicate_of"), F.when(F.col("id") != F.col("first_id"), F.col("first_id")))
     return copies.select(F.col("id").alias(key), target.isNull().alias("kept"), target.alias("duplicate_of"))
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Rows (id, bucket) of buckets with two rows or more."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return rows.join(sizes, "bucket", "left_semi")
+
+
+def _refine_hot(rows: DataFrame, sets: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """Split buckets of more than ``hot`` rows by rare shingles, without losing a match.
+
+    Two sets with Jaccard >= t share a shingle among the first n - ceil(t * n) + 1 of each,
+    in any common order; with rare shingles first, unlike rows part ways.
+    """
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    hot_rows = rows.join(sizes.where(F.col("n") > hot), "bucket", "left_semi")
+    members = sets.join(hot_rows.select("id").distinct(), "id", "left_semi")
+    exploded = members.select("id", F.explode("shingles").alias("s"))
+    frequency = exploded.groupBy("s").agg(F.count("*").alias("f"))
+    ordered = exploded.join(frequency, "s").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o")
+    )
+    size = F.size("o")
+    prefix = ordered.select(
+        "id", F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("e")
+    )
+    refined = hot_rows.join(prefix, "id").select(
+        "id", F.concat_ws("/", "bucket", F.col("e.s").cast("string")).alias("bucket")
+    )
+    cold = rows.join(sizes.where(F.col("n") <= hot), "bucket", "left_semi").select("id", "bucket")
+    return cold.unionByName(_crowded(refined).select("id", "bucket"))
+
+
+def _one_round(open_rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows matched to a leader, all leaders) of one round."""
+    lowest = open_rows.groupBy("bucket").agg(F.min("id").alias("leader"))
+    placed = open_rows.join(lowest, "bucket")
+    leaders = (
+        placed.groupBy("id").agg(F.min(F.col("leader") == F.col("id")).alias("leads"))
+        .where("leads").select(F.col("id").alias("leader"))
+    )
+    pairs = placed.where(F.col("leader") < F.col("id")).select("id", "leader").distinct().join(
+        leaders, "leader", "left_semi"
+    )
+    left = sets.select("id", F.col("shingles").alias("a"))
+    right = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    union = F.size("a") + F.size("b") - common
+    matched = (
+        pairs.join(left, "id").join(right, "leader").where(common >= F.lit(threshold) * union)
+        .groupBy("id").agg(F.min("leader").alias("duplicate_of"))
+    )
+    return materialize(matched, "matched"), leaders
+
+
+def _finish_tail(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The same rule for a counted, small rest: rows in id order against the kept ones before."""
+    rest = open_rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets")).join(sets, "id")
+
+    def greedy(batches):
+        rows = [r for b in batches for r in b.itertuples(index=False)]
+        kept: dict[str, list[tuple[int, set]]] = {}
+        out = []
+        for row in sorted(rows, key=lambda r: r.id):
+            own = set(row.shingles)
+            near = {i: other for b in row.buckets for i, other in kept.get(b, ())}
+            hits = [i for i, other in near.items() if len(own & other) >= threshold * len(own | other)]
+            if hits:
+                out.append((row.id, min(hits)))
+            else:
+                for b in row.buckets:
+                    kept.setdefault(b, []).append((row.id, own))
+        yield pd.DataFrame(out, columns=["id", "duplicate_of"])
+
+    return rest.coalesce(1).mapInPandas(greedy, "id long, duplicate_of long")
