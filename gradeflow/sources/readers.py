@@ -95,8 +95,10 @@ def split_json(
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Blank lines are skipped; a malformed line fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Blank lines are skipped; a malformed line fails the job, also if only rows are counted."""
+    refuse = F.raise_error(F.concat(F.lit("malformed JSON line: "), F.col("value"))).cast("boolean")
+    lines = spark.read.text(path).where(~is_blank("value")).where(F.when(is_json("value"), True).otherwise(refuse))
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
 
 
 def count_jsonl(spark: SparkSession, path: str) -> DataFrame:
