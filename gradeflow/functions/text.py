@@ -68,6 +68,14 @@ def ngrams(tokens: Column | str, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def grams_of_orders(tokens: Column | str, orders, *tags: Column) -> Column:
+    """All n-grams of several orders in one array of structs (n, gram, tags...)."""
+    def tagged(n: int) -> Column:
+        return F.transform(ngrams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), *tags))
+
+    return F.flatten(F.array(*[tagged(n) for n in orders]))
+
+
 def keyword_hits(text: Column | str, topic: str) -> Column:
     """How many topic words occur as a substring; a repeated topic word counts each time."""
     lowered = F.lower(text_of(text))

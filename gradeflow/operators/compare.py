@@ -141,18 +141,18 @@ def gate_flags(compared: DataFrame, toxic: DataFrame, target: str, toxic_limit:
     """
     gain = F.col("gain")
     matches = F.contains(F.lower("metric"), F.lit(target.lower()))
-    rate = toxic.agg(F.max("toxic_rate").alias("toxic_rate")).withColumn("_one", F.lit(1))
+    rate = toxic.agg(F.max("toxic_rate")).scalar()
     flags = compared.groupBy("version").agg(
         F.max(F.coalesce(gain < HARD_LIMIT, F.lit(False))).alias("dropped"),
         F.max(F.when(matches, F.coalesce(gain, F.lit(0.0)))).alias("best"),
-    ).withColumn("_one", F.lit(1))
+    )
 
     def gate(passed: Column) -> Column:
         return F.when(passed, "PASS").otherwise("FAIL")
 
-    return flags.join(F.broadcast(rate), "_one").select(
+    return flags.select(
         "version",
-        gate(F.col("toxic_rate") <= toxic_limit).alias("safety_gate"),
+        gate(rate <= toxic_limit).alias("safety_gate"),
         gate(~F.col("dropped")).alias("regression_gate"),
         gate(F.coalesce(F.col("best") >= TARGET_GAIN, F.lit(True))).alias("target_improvement_gate"),
     )

@@ -58,11 +58,13 @@ def chunk_text(df: DataFrame, key: str, text: str = "text", size: int = CHUNK_WO
 
 def curation_flags(docs: DataFrame, labels: DataFrame, items: DataFrame, topic: str,
                    threshold: float = THRESHOLD) -> DataFrame:
-    """Every document with its score and the flags is_first, contaminated and passes.
+    """Id, source, score and the flags is_first, contaminated and passes of every document.
 
-    All joins run on the unique document id.
+    All joins run on the unique document id and move narrow rows only, never texts.
     """
-    scored = quality_score(quality_components(docs, labels, topic))
+    scored = quality_score(quality_components(docs, labels, topic)).select(
+        "doc_id", "source", "quality_score", (text_of("text") != "").alias("has_text")
+    )
     firsts = first_ids(docs).withColumn("is_first", F.lit(True))
     flagged = flagged_documents(docs, items).withColumn("contaminated", F.lit(True))
     return (
@@ -71,3 +73,8 @@ def curation_flags(docs: DataFrame, labels: DataFrame, items: DataFrame, topic:
         .withColumn("contaminated", F.coalesce("contaminated", F.lit(False)))
         .withColumn("passes", F.col("quality_score") >= threshold)
     )
+
+
+def choose(flags: DataFrame) -> DataFrame:
+    """Documents that stay: first of their text, good enough, clean, not empty."""
+    return flags.where(F.col("is_first") & F.col("passes") & ~F.col("contaminated") & F.col("has_text"))

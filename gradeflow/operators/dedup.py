@@ -172,4 +172,5 @@ def _finish_tail(open_rows: DataFrame, sets: DataFrame, threshold: float) -> Dat
                     kept.setdefault(b, []).append((row.id, own))
         yield pd.DataFrame(out, columns=["id", "duplicate_of"])
 
-    return rest.coalesce(1).mapInPandas(greedy, "id long, duplicate_of long")
+    # only the counted rest meets in one task; the joins above stay spread
+    return rest.repartition(1).mapInPandas(greedy, "id long, duplicate_of long")

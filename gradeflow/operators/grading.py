@@ -80,6 +80,14 @@ def _accuracy() -> list[Column]:
     return [F.avg(hit).alias("accuracy"), F.count("*").alias("n_total"), F.sum(hit).alias("n_correct")]
 
 
+def _with_total(per_slice: DataFrame, *columns: Column) -> DataFrame:
+    """Grouping sets over counts per slice; the rows themselves are never expanded."""
+    both = per_slice.groupingSets([[], ["meta_info"]], "meta_info").agg(
+        F.grouping("meta_info").cast("boolean").alias("is_total"), *columns
+    )
+    return both.where(F.col("is_total") | F.col("meta_info").isNotNull())
+
+
 def accuracy_overall(graded: DataFrame) -> DataFrame:
     return graded.agg(*_accuracy())
 
@@ -91,10 +99,13 @@ def accuracy_by_slice(graded: DataFrame, slice_: str = "meta_info") -> DataFrame
 
 def accuracy_rollup(graded: DataFrame) -> DataFrame:
     """Total and slices in one pass; ``is_total`` tells the total from a null slice."""
-    both = graded.groupingSets([[], ["meta_info"]], "meta_info").agg(
-        F.grouping("meta_info").cast("boolean").alias("is_total"), *_accuracy()
+    counts = graded.groupBy("meta_info").agg(
+        F.sum(F.col("correct").cast("long")).alias("hits"), F.count("*").alias("rows")
+    )
+    return _with_total(
+        counts, (F.sum("hits") / F.sum("rows")).alias("accuracy"), F.sum("rows").alias("n_total"),
+        F.sum("hits").alias("n_correct"),
     )
-    return both.where(F.col("is_total") | F.col("meta_info").isNotNull())
 
 
 def accuracy_delta_by_slice(base: DataFrame, tuned: DataFrame) -> DataFrame:
@@ -103,15 +114,14 @@ def accuracy_delta_by_slice(base: DataFrame, tuned: DataFrame) -> DataFrame:
         return df.select("meta_info", F.col("correct").cast("long").alias("hit"), F.lit(which).alias("which"))
 
     def mean(which: int) -> Column:
-        return F.avg(F.when(F.col("which") == which, F.col("hit")))
+        here = F.col("which") == which
+        return F.sum(F.when(here, F.col("hits"))) / F.sum(F.when(here, F.col("rows")))
 
-    both = tagged(base, 0).unionByName(tagged(tuned, 1))
-    return (
-        both.groupingSets([[], ["meta_info"]], "meta_info")
-        .agg(F.grouping("meta_info").cast("boolean").alias("is_total"),
-             mean(0).alias("base_accuracy"), mean(1).alias("tuned_accuracy"))
-        .where(F.col("is_total") | F.col("meta_info").isNotNull())
-        .withColumn("delta", F.col("tuned_accuracy") - F.col("base_accuracy"))
+    counts = tagged(base, 0).unionByName(tagged(tuned, 1)).groupBy("meta_info", "which").agg(
+        F.sum("hit").alias("hits"), F.count("*").alias("rows")
+    )
+    return _with_total(counts, mean(0).alias("base_accuracy"), mean(1).alias("tuned_accuracy")).withColumn(
+        "delta", F.col("tuned_accuracy") - F.col("base_accuracy")
     )
 
 

@@ -112,7 +112,7 @@ def with_next(
 def hash_cutoff(
     df: DataFrame, key: str, n: Column | int, seed: int = 42
 ) -> tuple[int, tuple[str, str] | None]:
-    """Total rows and the (hash, key text) of the n-th row in seeded hash order.
+    """Total rows and the (hash, key text) of the n-th row in seeded hash order; keys are unique.
 
     Counts rows per hash prefix (bounded), finds the prefix that holds row n, and ranks
     only inside it. ``n`` may be a function of the total.
@@ -232,6 +232,14 @@ def exact_quantiles(
     )
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row."""
+    merged = rows[0]
+    for row in rows[1:]:
+        merged = merged.unionByName(row, allowMissingColumns=True)
+    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+
+
 def with_halo(df: DataFrame, position: str, before: int, block: int = 100_000) -> DataFrame:
     """Cut a positioned group into blocks that overlap by ``before`` rows.
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gradeflow.functions.text import WS, is_blank, keyword_hits, ngrams, strip, text_of, word_count, words
-from gradeflow.operators.ordering import exact_quantiles, value_counts
+from gradeflow.functions.text import WS, grams_of_orders, is_blank, keyword_hits, strip, text_of, word_count, words
+from gradeflow.operators.ordering import beside, exact_quantiles, value_counts
 
 # Default weights and threshold of the composite score.
 WEIGHTS = {"correctness": 0.4, "relevance": 0.3, "complexity": 0.15, "clarity": 0.15}
@@ -65,11 +65,11 @@ def _spread_figures(counts: DataFrame, probs: Sequence[tuple[float, str]]) -> Da
     """One row: n, mean and the named exact quantiles of ``value_counts``."""
     tails = exact_quantiles(counts, [p for p, _ in probs]).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in probs
-    ]).withColumn("_one", F.lit(1))
+    ])
     basic = counts.agg(
         F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")
-    ).withColumn("_one", F.lit(1))
-    return basic.join(tails, "_one").drop("_one")
+    )
+    return beside(basic, tails)
 
 
 def quality_distribution(scored: DataFrame, score: str = "quality_score") -> DataFrame:
@@ -91,10 +91,7 @@ def safety_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def ngram_diversity(df: DataFrame, by: str, text: str = "text", orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Distinct share of n-grams per group: counted per gram first, so hot grams collapse early."""
     tokens = df.select(by, words(text).alias("_words"))
-    grams = None
-    for n in orders:
-        part = tokens.select(by, F.lit(n).alias("n"), F.explode(ngrams("_words", n)).alias("gram"))
-        grams = part if grams is None else grams.unionByName(part)
+    grams = tokens.select(by, F.inline(grams_of_orders("_words", orders)))
     counted = grams.groupBy(by, "n", "gram").agg(F.count("*").alias("c"))
     return counted.groupBy(by, "n").agg(
         F.count("*").alias("distinct_grams"), F.sum("c").alias("all_grams")
@@ -103,7 +100,8 @@ def ngram_diversity(df: DataFrame, by: str, text: str = "text", orders: Sequence
 
 def topic_distribution(df: DataFrame, first: str = "lang", second: str = "source") -> DataFrame:
     """Counts and shares of every combination, of each side alone, and of all rows (cube)."""
-    cubed = df.cube(first, second).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
+    counted = df.groupBy(first, second).agg(F.count("*").alias("c"))  # the cube expands counts, not rows
+    cubed = counted.cube(first, second).agg(F.grouping_id().cast("int").alias("level"), F.sum("c").alias("n"))
     everything = W.partitionBy()  # the cube is bounded by the two vocabularies
     total = F.max(F.when(F.col("level") == 3, F.col("n"))).over(everything)
     return cubed.withColumn("share", F.col("n") / total)
@@ -145,5 +143,4 @@ def latency_profile(df: DataFrame, value: str, ts_micros: str) -> DataFrame:
     """One row: n, mean, exact p50, p95, p99 and rows per second over the time span."""
     figures = _spread_figures(value_counts(df, value), [(0.5, "p50"), (0.95, "p95"), (0.99, "p99")])
     seconds = (F.max(ts_micros) - F.min(ts_micros)) / 1e6
-    rate = df.agg((F.count("*") / seconds).alias("throughput")).withColumn("_one", F.lit(1))
-    return figures.withColumn("_one", F.lit(1)).join(rate, "_one").drop("_one")
+    return beside(figures, df.agg((F.count("*") / seconds).alias("throughput")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions.pyhelpers import best_cosine, lcs, stem_tokens
-from gradeflow.functions.text import ascii_words, ngrams, normalize_answer, normalized_words, strip, text_of, words
+from gradeflow.functions.text import ascii_words, grams_of_orders, normalize_answer, normalized_words, strip, text_of, words
 
 
 def pair_by_position(predictions: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
@@ -30,23 +30,17 @@ def ngram_overlap(
     )
     if stem:
         prepared = prepared.select(key, stem_tokens("_p").alias("_p"), stem_tokens("_r").alias("_r"))
-    grams = None
-    for side, one in (("_p", (1, 0)), ("_r", (0, 1))):
-        for n in orders:
-            part = prepared.select(
-                key, F.lit(n).alias("n"), F.explode(ngrams(side, n)).alias("gram"),
-                F.lit(one[0]).alias("p"), F.lit(one[1]).alias("r"),
-            )
-            grams = part if grams is None else grams.unionByName(part)
+    side = lambda c, p, r: grams_of_orders(c, orders, F.lit(p).alias("p"), F.lit(r).alias("r"))
+    # one empty entry per order keeps pairs without any n-gram
+    none = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("gram"), F.lit(0).alias("p"), F.lit(0).alias("r"))
+        for n in orders
+    ])
+    grams = prepared.select(key, F.inline(F.concat(side("_p", 1, 0), side("_r", 0, 1), none)))
     counted = grams.groupBy(key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    found = counted.groupBy(key, "n").agg(
+    return counted.groupBy(key, "n").agg(
         F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("n_prediction"), F.sum("r").alias("n_reference")
     )
-    everyone = pairs.select(key, F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
-    zero = F.lit(0).cast("long")
-    return everyone.join(found, [key, "n"], "left").select(
-        key, "n", *[F.coalesce(F.col(c), zero).alias(c) for c in ("matches", "n_prediction", "n_reference")]
-    )
 
 
 def f_measure(matches: Column, n_prediction: Column, n_reference: Column, both_empty: float = 0.0) -> Column:

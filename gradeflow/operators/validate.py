@@ -83,8 +83,24 @@ def validation_report(df: DataFrame, splits: Sequence[str] = ("train", "eval"))
 
     ``df`` holds pairs with ``split``; duplicates and empty fields are counted, not fatal.
     """
-    flagged = df.withColumn("_issues", F.size(issues_of_row()))
     base = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in splits])).alias("split"))
-    issues = flagged.groupBy("split").agg(F.sum("_issues").cast("long").alias("n_issues"))
-    figures = length_stats(df).join(exact_duplicates(df).drop("n"), "split").join(issues, "split")
+    measured = df.select(
+        "split", pair_hash("instruction", "output").alias("_pair"), F.size(issues_of_row()).alias("_issues"),
+        word_count("instruction").alias("i"), word_count("output").alias("o"),
+    )
+    # one pass: everything is counted per distinct pair, then per split
+    per_pair = measured.groupBy("split", "_pair").agg(
+        F.count("*").alias("_n"), F.sum("_issues").alias("_issues"), F.sum("i").alias("_i"), F.sum("o").alias("_o"),
+        F.max("i").alias("i"), F.max("o").alias("o"), F.min("i").alias("i0"), F.min("o").alias("o0"),
+    )
+
+    def words_of(total: str, least: str, most: str, name: str) -> list[Column]:
+        return [round_to(F.sum(total) / F.sum("_n"), 1).alias(f"avg_{name}_words"),
+                F.min(least).alias(f"min_{name}_words"), F.max(most).alias(f"max_{name}_words")]
+
+    figures = per_pair.groupBy("split").agg(
+        F.sum("_n").alias("n"), *words_of("_i", "i0", "i", "instruction"), *words_of("_o", "o0", "o", "output"),
+        F.count("*").alias("n_unique"), (F.sum("_n") - F.count("*")).alias("n_duplicates"),
+        F.sum("_issues").alias("n_issues"),
+    )
     return base.join(figures, "split", "left").withColumn("valid", F.col("n").isNotNull())

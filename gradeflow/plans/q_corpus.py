@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from gradeflow.operators import corpus as co
 from gradeflow.operators import layout as lay
+from gradeflow.operators.contamination import small_side
 from gradeflow.operators.ordering import exact_split, seeded_sample
 from gradeflow.plans.catalog import register, six
 from gradeflow.plans.views import TOPIC, Tables
 from gradeflow.plans.views_sql import FIRSTS, FLAGGED, QUALITY, r6, split, with_views, words, TENTH
-from gradeflow.functions.text import WS
+from gradeflow.functions.text import WS, word_count
 from gradeflow.session import materialize
 
 
@@ -57,15 +58,12 @@ SAMPLE = 5000
     from splits group by split, source"""))
 def curate_dataset(t: Tables):
     """Load, score, drop copies, contaminated and weak rows, convert, sample, split, report."""
-    flags = co.curation_flags(t.documents, t.labels, t.benchmark, TOPIC)
-    chosen = flags.where("is_first and passes and not contaminated").select(
-        "doc_id", "source", "quality_score",
-        F.concat(F.lit("Write in "), "lang").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output"),
-    )
-    pairs = materialize(lay.to_alpaca(chosen, keep=["doc_id", "source", "quality_score"]), "curated")
-    splits = exact_split(seeded_sample(pairs, "doc_id", SAMPLE), "doc_id")
-    from gradeflow.functions.text import word_count
-
+    keep = ["doc_id", "source", "quality_score"]
+    chosen = co.choose(co.curation_flags(t.documents, t.labels, t.benchmark, TOPIC)).select(*keep)
+    picked = exact_split(seeded_sample(materialize(chosen, "chosen"), "doc_id", SAMPLE), "doc_id")
+    texts = t.documents.select(
+        "doc_id", F.concat(F.lit("Write in "), "lang").alias("instruction"), F.col("text").alias("output"))
+    splits = lay.to_alpaca(texts.join(small_side(picked), "doc_id"), keep=[*keep, "split"])
     return six(splits.groupBy("split", "source").agg(
         F.count("*").alias("records"), F.avg("quality_score").alias("mean_score"),
         F.sum(word_count("output")).alias("n_words")), "mean_score")

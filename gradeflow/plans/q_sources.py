@@ -158,11 +158,10 @@ def write_eval_details(t: Tables):
     pairs = t.text_pairs()
     metrics = s.metric_hook(pairs, "exact_match")
     details, values = writers.write_eval_details(pairs, metrics, scratch_path(t.spark, "eval"))
+    value = t.spark.read.schema("metrics map<string, double>").json(values).select(F.col("metrics")["exact_match"])
     back = t.spark.read.schema("prediction string, reference string").json(details).select(
-        F.md5("prediction").alias("p"), F.md5("reference").alias("r"), F.lit(1).alias("_one"))
-    value = t.spark.read.schema("metrics map<string, double>").json(values).select(
-        F.col("metrics")["exact_match"].alias("exact_match"), F.lit(1).alias("_one"))
-    return six(back.join(value, "_one").drop("_one"), "exact_match")
+        F.md5("prediction").alias("p"), F.md5("reference").alias("r"), value.scalar().alias("exact_match"))
+    return six(back, "exact_match")
 
 
 @register("dataset_manifest", with_views(*SPLITS, then="""

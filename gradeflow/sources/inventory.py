@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.functions.text import is_blank, keyword_hits, text_of
-from gradeflow.operators.ordering import head_limit
+from gradeflow.operators.ordering import beside, head_limit
 from gradeflow.sources.readers import count_jsonl
 
 MB = 1024 * 1024
@@ -72,12 +72,13 @@ def profile_table(
             F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*df.columns)).alias("_json")))),
             lambda s: s["_json"]), "\n").alias("samples")
     )
-    return df.agg(F.count("*").alias("record_count")).select(
+    counted = df.agg(F.count("*").alias("record_count")).select(
         F.lit(name).alias("name"), F.lit(suffix).alias("extension"),
         F.lit(None if size_bytes is None else round(size_bytes / MB, 2)).cast("double").alias("size_mb"),
         "record_count", F.lit(",".join(df.columns)).alias("columns"),
         F.lit(None).cast("string").alias("error"),
-    ).withColumn("_one", F.lit(1)).join(samples.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    )
+    return beside(counted, samples)
 
 
 def failed_profile(spark: SparkSession, name: str, suffix: str, error: Exception) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from gradeflow.functions.clock import wall_micros
 from gradeflow.operators import registry
@@ -28,31 +29,30 @@ def stream_files(spark: SparkSession, folder: str, schema: T.StructType | str, g
     return reader.load(folder)
 
 
-def drain_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run until the source is empty; rows go to a parquet sink with exactly-once commit."""
+def _start(writer, path: str):
+    return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def drain_append(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run until the source is empty; rows go to a parquet sink with exactly-once commit.
+
+    With a ``path`` a later call goes on where the earlier one stopped (so do the others).
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    path = path or scratch_path(spark, name)
+    _start(stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows"), path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def drain_update(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+def drain_update(stream: DataFrame, name: str, keys: Sequence[str], path: str | None = None) -> DataFrame:
     """Update mode: each epoch writes its changed rows; the newest epoch wins per key."""
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
 
     def store(rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
 
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(store)
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _start(stream.writeStream.outputMode("update").foreachBatch(store), path).awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
     rows = spark.read.schema(schema).parquet(f"{path}/rows")
     rest = [c for c in stream.columns if c not in keys]
@@ -61,36 +61,26 @@ def drain_update(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame
 
 def fold_epochs(stream: DataFrame, name: str,
                 step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
-                ) -> tuple[DataFrame, DataFrame]:
+                path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Drain with a state table: ``step(rows, state)`` returns (output rows, next state).
 
-    Gives back (all output, last state). State of epoch n is read only by epoch n + 1.
+    Gives back (all output, last state). State of epoch n is read only by epoch n + 1, so
+    older state folders may be removed at any time.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
-    schemas: dict[str, T.StructType] = {}
-    last = {"epoch": -1}
+    path = path or scratch_path(spark, name)
 
     def run(rows: DataFrame, epoch: int) -> None:
-        session = rows.sparkSession
-        state = None
-        if epoch > 0:
-            state = session.read.parquet(f"{path}/state/epoch={epoch - 1}")
+        state = rows.sparkSession.read.parquet(f"{path}/state/epoch={epoch - 1}") if epoch > 0 else None
         out, following = step(rows, state)
         out.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
         following.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
-        schemas["out"], schemas["state"] = out.schema, following.schema
-        last["epoch"] = epoch
 
-    query = (
-        stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    if last["epoch"] < 0:
-        raise ValueError("the stream had no data")
-    out = spark.read.schema(schemas["out"]).parquet(*[f"{path}/rows/epoch={e}" for e in range(last["epoch"] + 1)])
-    return out, spark.read.schema(schemas["state"]).parquet(f"{path}/state/epoch={last['epoch']}")
+    _start(stream.writeStream.foreachBatch(run), path).awaitTermination()
+    states = spark.read.parquet(f"{path}/state")
+    newest = states.agg(F.max("epoch")).first()[0]
+    state = spark.read.parquet(f"{path}/state/epoch={newest}")
+    return spark.read.parquet(f"{path}/rows").drop("epoch"), state
 
 
 def as_instant(ts: Column | str) -> Column:
@@ -105,23 +95,23 @@ def stream_parse_markers(lines: DataFrame) -> DataFrame:
     return parse_marker(lines)
 
 
-def stream_eval_metrics(lines: DataFrame) -> DataFrame:
+def stream_eval_metrics(lines: DataFrame, path: str | None = None) -> DataFrame:
     """Last good evaluation payload per run."""
     found = parse_marker(lines, markers=EVAL_MARKERS).where(F.col("marker") == "eval_metrics")
     newest = found.groupBy("run").agg(F.max_by("payload", "seq").alias("payload"), F.max("seq").alias("seq"))
-    return drain_update(newest, "eval", ["run"])
+    return drain_update(newest, "eval", ["run"], path=path)
 
 
-def stream_last_progress(lines: DataFrame) -> DataFrame:
+def stream_last_progress(lines: DataFrame, path: str | None = None) -> DataFrame:
     """Newest progress and newest final metrics per run."""
     found = parse_marker(lines).where(F.col("marker").isin("progress", "final_metrics"))
     newest = found.groupBy("run", "marker").agg(
         F.max_by("payload", "seq").alias("payload"), F.max("seq").alias("seq")
     )
-    return drain_update(newest, "progress", ["run", "marker"])
+    return drain_update(newest, "progress", ["run", "marker"], path=path)
 
 
-def stream_metric_log(series: DataFrame) -> DataFrame:
+def stream_metric_log(series: DataFrame, path: str | None = None) -> DataFrame:
     """Metric rows with a running step per run.
 
     Inside an epoch rows are positioned by (ts, seq) over ranges; the count per run of the
@@ -139,18 +129,18 @@ def stream_metric_log(series: DataFrame) -> DataFrame:
         total = state.unionByName(counts).groupBy("run").agg(F.sum("n").alias("n"))
         return out, total
 
-    return fold_epochs(series, "metric_log", number)[0]
+    return fold_epochs(series, "metric_log", number, path)[0]
 
 
-def stream_best_metric(series: DataFrame) -> DataFrame:
+def stream_best_metric(series: DataFrame, path: str | None = None) -> DataFrame:
     """Running lowest value per run and metric, earliest first on ties."""
     best = series.groupBy("run", "metric").agg(F.min(F.struct("value", "ts", "seq")).alias("b")).select(
         "run", "metric", F.col("b.value").alias("value"), F.col("b.seq").alias("seq")
     )
-    return drain_update(best, "best", ["run", "metric"])
+    return drain_update(best, "best", ["run", "metric"], path=path)
 
 
-def stream_feedback_dedup(events: DataFrame) -> DataFrame:
+def stream_feedback_dedup(events: DataFrame, path: str | None = None) -> DataFrame:
     """One row per user, type and minute; repeats may arrive up to an hour late.
 
     events: user_id, event_type, at (timestamp).
@@ -158,7 +148,7 @@ def stream_feedback_dedup(events: DataFrame) -> DataFrame:
     minute = F.floor(F.unix_micros("at") / 60_000_000).cast("long").alias("minute")
     keyed = events.select("user_id", "event_type", "at", minute).withWatermark("at", "1 hour")
     unique = keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "minute"])
-    return drain_append(unique.select("user_id", "event_type", "minute"), "feedback")
+    return drain_append(unique.select("user_id", "event_type", "minute"), "feedback", path=path)
 
 
 def _start_day(window: str) -> Column:
@@ -179,8 +169,6 @@ def daily_health(events: DataFrame, factor: float = 2.0) -> DataFrame:
 
     The flag runs on the drained day table, which has one row per calendar day.
     """
-    from pyspark.sql import Window as W
-
     totals = drain_update(daily_totals(events), "daily", ["day"]) if events.isStreaming else daily_totals(events)
     week = W.partitionBy().orderBy("day").rowsBetween(-7, -1)
     usual = F.avg("mean_value").over(week)
@@ -202,12 +190,12 @@ def weekly_cycle(events: DataFrame) -> DataFrame:
     return weekly_totals(events)
 
 
-def stream_registry_state(events: DataFrame) -> DataFrame:
+def stream_registry_state(events: DataFrame, path: str | None = None) -> DataFrame:
     """Registry state after the drain; each epoch folds its events into a compact snapshot."""
     def fold(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         rows = rows.select("version", "ts", "seq", "stage")
         merged = rows if state is None else state.unionByName(rows)
         return rows, registry.compact(merged)
 
-    _, snapshot = fold_epochs(events.select("version", "ts", "seq", "stage"), "registry", fold)
+    _, snapshot = fold_epochs(events.select("version", "ts", "seq", "stage"), "registry", fold, path)
     return registry.registry_state(snapshot)
