@@ -1,8 +1,9 @@
 """Total order at scale: positions, samples, exact splits, quantiles and row frames.
 
-None of these sorts a whole table, or a whole group, in one task. Rows are cut into
-ranges of the order column (or prefixes of a hash), the ranges are counted, and only
-rows of the same range meet in a task. The range counts are bounded by a parameter.
+None of these sorts an unbounded group in one task. A count decides: groups of ordinary
+size use a plain window; beyond that, rows are cut into ranges of the order column (or
+prefixes of a hash), the ranges are counted, and only rows of one range meet in a task.
+The number of ranges is bounded by a parameter.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from gradeflow.functions.text import seed_hash
 from gradeflow.session import materialize
 
 RANGES = 256
+HOT_ROWS = 1_000_000  # rows of one group that one task may order
 PREFIX = 4  # hex digits: at most 65,536 prefixes
 
 
@@ -29,6 +31,12 @@ def _numeric(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group; only the keys are read and counted."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def with_range(df: DataFrame, order: str, name: str = "_range", ranges: int = RANGES) -> DataFrame:
     """Number of the value range a row falls in; borders are approximate quantiles.
 
@@ -53,12 +61,16 @@ def with_position(
     by: Sequence[str] = (),
     name: str = "position",
     ranges: int = RANGES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """0-based position by ``order`` (a unique key led by a number or time) within ``by``.
 
-    A group of any size is spread over the ranges, so a hot group is no hot task.
+    If a count shows that no group exceeds ``hot_rows``, a window per group does it. Else
+    every group is spread over the ranges, so a hot group is no hot task.
     """
     by = list(by)
+    if largest_group(df, by) <= hot_rows:
+        return df.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     ranged = with_range(df, order[0], ranges=ranges)
     counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_rows"))
     earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -86,13 +98,18 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def with_next(
-    df: DataFrame, order: Sequence[str], columns: Sequence[str], by: Sequence[str] = (), ranges: int = RANGES
+    df: DataFrame, order: Sequence[str], columns: Sequence[str], by: Sequence[str] = (), ranges: int = RANGES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``next_<column>`` of the following row along ``order`` within ``by``.
 
-    Looks ahead inside each range; the last row of a range takes the head of the next range.
+    With a group over ``hot_rows``, looks ahead inside each range, and the last row of a
+    range takes the head of the next range.
     """
     by = list(by)
+    if largest_group(df, by) <= hot_rows:
+        whole = W.partitionBy(*by).orderBy(*order)
+        return df.select("*", *[F.lead(c).over(whole).alias(f"next_{c}") for c in columns])
     ranged = with_range(df, order[0], ranges=ranges)
     fields = [*order, *[c for c in columns if c not in order]]
     heads = ranged.groupBy(*by, "_range").agg(F.min(F.struct(*fields)).alias("_head"))
@@ -188,15 +205,17 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def exact_quantiles(
-    counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (), ranges: int = RANGES
+    counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (), ranges: int = RANGES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Interpolated quantiles, long form (by..., prob, value), from ``value_counts``.
 
-    Values are ranked within ranges, so equal values and hot groups cost one row per
-    distinct value and no group meets in a single task.
+    Equal values cost one row. A group with more than ``hot_rows`` distinct values is ranked
+    within ranges, so it never meets in a single task.
     """
     by = list(by)
-    ranged = with_range(counts, "value", ranges=ranges)
+    small = largest_group(counts, by) <= hot_rows
+    ranged = counts.withColumn("_range", F.lit(0)) if small else with_range(counts, "value", ranges=ranges)
     totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_rows"))
     whole = W.partitionBy(*by)
     starts = totals.select(

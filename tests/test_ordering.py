@@ -13,8 +13,10 @@ def skewed(spark, n=5000):
         "cast(case when id % 4 = 0 then 7 else (id * 37) % 1000 end as double) as v", "(id * 7919) % 100003 as o")
 
 
-def test_position_is_the_rank(spark, partitions):
-    rows = partitions(lambda: od.with_position(skewed(spark), ["o"], by=["g"], ranges=16).select("g", "o", "position"))
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_position_is_the_rank(spark, partitions, hot_rows):
+    rows = partitions(lambda: od.with_position(
+        skewed(spark), ["o"], by=["g"], ranges=16, hot_rows=hot_rows).select("g", "o", "position"))
     groups = {}
     for g, o, p in rows:
         groups.setdefault(g, []).append((o, p))
@@ -24,23 +26,25 @@ def test_position_is_the_rank(spark, partitions):
 
 def test_position_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, o long")
-    got = sorted((r.g or "", r.position) for r in od.with_position(df, ["o"], by=["g"]).collect())
-    assert got == [("", 0), ("", 1), ("a", 0)]
+    for hot_rows in (0, 10):
+        got = sorted((r.g or "", r.position) for r in od.with_position(df, ["o"], by=["g"], hot_rows=hot_rows).collect())
+        assert got == [("", 0), ("", 1), ("a", 0)]
 
 
-@pytest.mark.parametrize("ranges", [2, 64])
-def test_quantiles_are_exact(spark, ranges):
+@pytest.mark.parametrize("ranges, hot_rows", [(2, 0), (64, 0), (64, 10**6)])
+def test_quantiles_are_exact(spark, ranges, hot_rows):
     df = skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
-    got = {(r.g, r.prob): r.value for r in od.exact_quantiles(od.value_counts(df, "v", ["g"]), probs, ["g"], ranges).collect()}
+    got = {(r.g, r.prob): r.value for r in od.exact_quantiles(od.value_counts(df, "v", ["g"]), probs, ["g"], ranges, hot_rows).collect()}
     frame = df.toPandas()
     for g, part in frame.groupby("g"):
         for p in probs:
             assert math.isclose(got[(g, p)], np.quantile(part.v, p), abs_tol=1e-9)
 
 
-def test_next_row_across_ranges(spark):
-    rows = od.with_next(skewed(spark), ["o"], ["id"], by=["g"], ranges=16).collect()
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_next_row_across_ranges(spark, hot_rows):
+    rows = od.with_next(skewed(spark), ["o"], ["id"], by=["g"], ranges=16, hot_rows=hot_rows).collect()
     groups = {}
     for r in rows:
         groups.setdefault(r.g, []).append((r.o, r.id, r.next_id))
@@ -87,3 +91,9 @@ def test_top_per_group(spark):
     assert {r["rank"] for r in rows} == {1, 2}
     plan = od.top_per_group(skewed(spark), ["g"], ["o"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # groups are cut before the shuffle
+
+
+def test_global_order_of_times(spark):
+    df = spark.range(500).selectExpr("id", "timestamp_ntz'2024-03-31 01:00:00' + make_dt_interval(0, 0, cast(id * 7 % 500 as int)) as t")
+    rows = od.with_position(df, ["t"], hot_rows=0, ranges=8).collect()
+    assert all(r.position == r.id * 7 % 500 for r in rows)
