@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeflow.functions.text import ngrams, text_of, words
+from gradeflow.operators.ordering import largest_group
 from gradeflow.session import materialize
 
 SHINGLE = 5
@@ -34,11 +37,11 @@ def cross_dataset_dedup(candidates: DataFrame, earlier: DataFrame, text: str = "
     return candidates.withColumn("_hash", F.md5(text_of(text))).join(seen, "_hash", "left_anti").drop("_hash")
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, n: int = SHINGLE) -> DataFrame:
+def shingle_sets(df: DataFrame, key: str, text: str, n: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
     """Distinct word n-grams per row as 64-bit hashes; shorter texts give one shingle of all words."""
-    tokens = df.select(F.col(key).alias("id"), words(text).alias("_words"))
+    tokens = df.select(F.col(key).alias("id"), *keep, words(text).alias("_words"))
     grams = F.when(F.size("_words") >= n, ngrams("_words", n)).otherwise(F.array(F.array_join("_words", " ")))
-    return tokens.select("id", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("shingles"))
+    return tokens.select("id", *keep, F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("shingles"))
 
 
 def _band_hashes(hashes: int, rows: int, seed: int):
@@ -69,25 +72,30 @@ def minhash_dedup(
     A row is dropped if an earlier kept row shares a band bucket with it and reaches the
     threshold. Returns every id with ``kept`` and a kept row it repeats (``duplicate_of``).
 
-    Exact copies are folded away first and buckets of more than ``hot`` rows are refined.
+    One pass over the texts leaves hashes only. Exact copies are folded away, and shingles
+    are made for rows that share a bucket. Buckets of more than ``hot`` rows are refined.
     Then, in rounds, the lowest open row of all its buckets becomes a leader and is compared
     with the open rows of those buckets; matches are dropped, the others stay open for the
     next leader. A group of copies of any size costs one comparison per row, never all
     pairs, and no partner is left out. The last ``tail`` rows are finished in one task.
     """
-    hashed = df.select(F.col(key).alias("id"), F.md5(text_of(text)).alias("_hash"))
-    firsts = materialize(hashed.groupBy("_hash").agg(F.min("id").alias("id")), "firsts")
-    distinct = df.join(firsts.select(F.col("id").alias(key)), key, "left_semi")
-    sets = materialize(shingle_sets(distinct, key, text), "shingles")
-    band = _band_hashes(hashes, rows, seed)
-    spread = sets.select("id", F.explode(band("shingles")).alias("bucket"))
-    open_rows = materialize(_refine_hot(_crowded(spread), sets, threshold, hot), "buckets")
+    signed = materialize(_signatures(df, key, text, hashes, rows, seed), "signatures")
+    firsts = materialize(signed.groupBy("_hash").agg(F.min("id").alias("id")), "firsts")
+    spread = signed.join(firsts, "id", "left_semi").select("id", F.explode("bands").alias("bucket"))
+    open_rows = materialize(_crowded(spread), "buckets")
+    sets = _sets_of(open_rows, shingle_sets(df, key, text))
+    if largest_group(open_rows, ["bucket"]) > hot:
+        open_rows = materialize(_refine_hot(open_rows, sets, threshold, hot), "buckets")
     dropped: list[DataFrame] = []
-    while (n := open_rows.count()) > tail:
+    before = n = open_rows.count()
+    while n > tail:
         matched, leaders = _one_round(open_rows, sets, threshold)
         closed = matched.select("id").unionByName(leaders.select(F.col("leader").alias("id")))
         open_rows = materialize(_crowded(open_rows.join(closed, "id", "left_anti")), "buckets")
         dropped.append(matched)
+        n = open_rows.count()
+        if n * 2 < before:  # later rounds need not read the shingles of closed rows
+            before, sets = n, _sets_of(open_rows, sets)
     if n:
         dropped.append(_finish_tail(open_rows, sets, threshold))
     found = df.sparkSession.createDataFrame([], "id long, duplicate_of long")
@@ -95,11 +103,24 @@ def minhash_dedup(
         found = found.unionByName(part)
     # copies share the fate of the first row with their text
     fate = firsts.join(found, "id", "left").select("_hash", F.col("id").alias("first_id"), "duplicate_of")
-    copies = hashed.join(fate, "_hash")
+    copies = signed.select("id", "_hash").join(fate, "_hash")
     target = F.coalesce(F.col("duplicate_of"), F.when(F.col("id") != F.col("first_id"), F.col("first_id")))
     return copies.select(F.col("id").alias(key), target.isNull().alias("kept"), target.alias("duplicate_of"))
 
 
+def _signatures(df: DataFrame, key: str, text: str, hashes: int, rows: int, seed: int) -> DataFrame:
+    """id, hash of the text, and one 64-bit bucket per band."""
+    band = _band_hashes(hashes, rows, seed)
+    shingles = shingle_sets(df.withColumn("_hash", F.md5(text_of(text))), key, text, keep=["_hash"])
+    return shingles.select(
+        "id", "_hash", F.transform(band("shingles"), lambda one: F.xxhash64(one)).alias("bands")
+    )
+
+
+def _sets_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return materialize(sets.join(rows.select("id").distinct(), "id", "left_semi"), "shingles")
+
+
 def _crowded(rows: DataFrame) -> DataFrame:
     """Rows (id, bucket) of buckets with two rows or more."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -125,7 +146,7 @@ def _refine_hot(rows: DataFrame, sets: DataFrame, threshold: float, hot: int) ->
         "id", F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("e")
     )
     refined = hot_rows.join(prefix, "id").select(
-        "id", F.concat_ws("/", "bucket", F.col("e.s").cast("string")).alias("bucket")
+        "id", F.xxhash64("bucket", F.col("e.s")).alias("bucket")
     )
     cold = rows.join(sizes.where(F.col("n") <= hot), "bucket", "left_semi").select("id", "bucket")
     return cold.unionByName(_crowded(refined).select("id", "bucket"))
@@ -159,7 +180,7 @@ def _finish_tail(open_rows: DataFrame, sets: DataFrame, threshold: float) -> Dat
 
     def greedy(batches):
         rows = [r for b in batches for r in b.itertuples(index=False)]
-        kept: dict[str, list[tuple[int, set]]] = {}
+        kept: dict[int, list[tuple[int, set]]] = {}
         out = []
         for row in sorted(rows, key=lambda r: r.id):
             own = set(row.shingles)

@@ -58,11 +58,16 @@ def read_spread(spark: SparkSession, path: str, key: Sequence[str], bytes_per_ta
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Header line, RFC quotes, quoted line breaks; without a schema all columns are strings."""
+    """Header line and RFC quotes; without a schema all columns are strings.
+
+    ``multi_line`` allows quoted line breaks, at the price of one task per file. Turn it off
+    for large files without such breaks, and Spark splits them.
+    """
     reader = (
-        spark.read.option("header", True).option("sep", sep).option("multiLine", True)
+        spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
         .option("escape", '"')
     )
     if schema is not None:
