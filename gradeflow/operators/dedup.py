@@ -73,26 +73,30 @@ def minhash_dedup(
     threshold. Returns every id with ``kept`` and a kept row it repeats (``duplicate_of``).
 
     One pass over the texts leaves hashes only. Exact copies are folded away, and shingles
-    are made for rows that share a bucket. Buckets of more than ``hot`` rows are refined.
-    Then, in rounds, the lowest open row of all its buckets becomes a leader and is compared
-    with the open rows of those buckets; matches are dropped, the others stay open for the
-    next leader. A group of copies of any size costs one comparison per row, never all
-    pairs, and no partner is left out. The last ``tail`` rows are finished in one task.
+    are made for rows that share a bucket. Then, in rounds, the lowest open row of all its
+    buckets becomes a leader and is compared with the open rows of those buckets; matches
+    are dropped, the others stay open for the next leader. A group of copies of any size
+    costs one comparison per row, never all pairs, and no partner is left out. Buckets that
+    keep more than ``hot`` unlike rows are refined. The last ``tail`` rows are finished in
+    one task.
     """
     signed = materialize(_signatures(df, key, text, hashes, rows, seed), "signatures")
     firsts = materialize(signed.groupBy("_hash").agg(F.min("id").alias("id")), "firsts")
     spread = signed.join(firsts, "id", "left_semi").select("id", F.explode("bands").alias("bucket"))
     open_rows = materialize(_crowded(spread), "buckets")
     sets = _sets_of(open_rows, shingle_sets(df, key, text))
-    if largest_group(open_rows, ["bucket"]) > hot:
-        open_rows = materialize(_refine_hot(open_rows, sets, threshold, hot), "buckets")
     dropped: list[DataFrame] = []
     before = n = open_rows.count()
+    refined = False
     while n > tail:
         matched, leaders = _one_round(open_rows, sets, threshold)
         closed = matched.select("id").unionByName(leaders.select(F.col("leader").alias("id")))
         open_rows = materialize(_crowded(open_rows.join(closed, "id", "left_anti")), "buckets")
         dropped.append(matched)
+        # the first round takes out the large groups of copies; what still crowds is unlike
+        if not refined and largest_group(open_rows, ["bucket"]) > hot:
+            open_rows = materialize(_refine_hot(open_rows, sets, threshold, hot), "buckets")
+            refined = True
         n = open_rows.count()
         if n * 2 < before:  # later rounds need not read the shingles of closed rows
             before, sets = n, _sets_of(open_rows, sets)
@@ -131,7 +135,8 @@ def _refine_hot(rows: DataFrame, sets: DataFrame, threshold: float, hot: int) ->
     """Split buckets of more than ``hot`` rows by rare shingles, without losing a match.
 
     Two sets with Jaccard >= t share a shingle among the first n - ceil(t * n) + 1 of each,
-    in any common order; with rare shingles first, unlike rows part ways.
+    in any common order; with rare shingles first, unlike rows part ways. A shingle that
+    only one row has holds its place in the order but needs no bucket.
     """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     hot_rows = rows.join(sizes.where(F.col("n") > hot), "bucket", "left_semi")
@@ -145,7 +150,7 @@ def _refine_hot(rows: DataFrame, sets: DataFrame, threshold: float, hot: int) ->
     prefix = ordered.select(
         "id", F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("e")
     )
-    refined = hot_rows.join(prefix, "id").select(
+    refined = hot_rows.join(prefix.where("e.f > 1"), "id").select(
         "id", F.xxhash64("bucket", F.col("e.s")).alias("bucket")
     )
     cold = rows.join(sizes.where(F.col("n") <= hot), "bucket", "left_semi").select("id", "bucket")

@@ -10,8 +10,9 @@ from gradeflow.functions import udfs
 from gradeflow.functions.pyhelpers import parse_options as parse_options_text
 from gradeflow.operators import layout as lay
 from gradeflow.operators import ordering as od
+from gradeflow.operators import scores as sc
 from gradeflow.operators import validate as v
-from gradeflow.plans.catalog import register
+from gradeflow.plans.catalog import register, six
 from gradeflow.plans.views import Tables
 from gradeflow.plans.views_sql import (
     PAIRS, PREFERENCES, SPLITS, TEXT_PAIRS, TENTH, norm, split, strip, with_views, words,
@@ -371,18 +372,13 @@ def word_count(t: Tables):
 
 @register("length_reward", "select doc_id, least(length(text) / 100.0::double, 1.0::double) reward from documents")
 def length_reward(t: Tables):
-    from gradeflow.operators.scores import length_reward as reward
-
-    return t.documents.select("doc_id", reward("text").alias("reward"))
+    return t.documents.select("doc_id", sc.length_reward("text").alias("reward"))
 
 
 @register("reward_mean", with_views(PREFERENCES, then="""
     select conv_id // 16 batch, round(avg(least(length(chosen) / 100.0::double, 1.0::double)) * 1e6) / 1e6 reward_mean
     from preferences group by batch"""))
 def reward_mean(t: Tables):
-    from gradeflow.operators.scores import length_reward as reward, reward_mean as mean
-    from gradeflow.plans.catalog import six
-
     rewards = t.preferences().select(F.floor(F.col("conv_id") / 16).cast("long").alias("batch"),
-                                     F.when(F.col("chosen").isNotNull(), reward("chosen")).alias("reward"))
-    return six(mean(rewards), "reward_mean")
+                                     F.when(F.col("chosen").isNotNull(), sc.length_reward("chosen")).alias("reward"))
+    return six(sc.reward_mean(rewards), "reward_mean")

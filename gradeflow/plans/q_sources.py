@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeflow.functions.text import keyword_hits
 from gradeflow.operators import grading as g
 from gradeflow.operators import scores as s
 from gradeflow.operators.ordering import exact_split, top_per_group, with_position
@@ -21,9 +22,10 @@ DOC_SCHEMA = T.StructType([
 ])
 METRIC_SCHEMA = T.StructType([T.StructField("f1", T.DoubleType())])
 CATALOG = {
-    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
-    "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id",
-    "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+    "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": SUBMISSION_ORDER, "events": ["event_id"],
+    "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"],
+    "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
 }
 
 
@@ -202,7 +204,7 @@ COLUMNS_SQL = " union all ".join(
 def catalog_profile(t: Tables):
     profiles = None
     for name, key in CATALOG.items():
-        one = inventory.profile_table(getattr(t, name), f"{name}.parquet", ".parquet", [key])
+        one = inventory.profile_table(getattr(t, name), f"{name}.parquet", ".parquet", key)
         profiles = one if profiles is None else profiles.unionByName(one)
     return profiles.select(
         F.split_part("name", F.lit("."), F.lit(1)).alias("name"), "extension", "record_count",
@@ -252,8 +254,6 @@ PROFILE_SQL = f"""
 
 def _document_profiles(t: Tables):
     """One catalog entry per source; topic hits are summed over whole texts."""
-    from gradeflow.functions.text import keyword_hits
-
     return t.documents.groupBy(F.col("source").alias("name")).agg(
         F.count("*").alias("record_count"), F.sum(keyword_hits("text", TOPIC)).alias("relevance"))
 
@@ -265,16 +265,12 @@ def rank_by_relevance(t: Tables):
 
 @register("relevant_only", f"select doc_id as name, {hits('text', 'ration pale')} relevance from documents where {hits('text', 'ration pale')} > 0")
 def relevant_only(t: Tables):
-    from gradeflow.functions.text import keyword_hits
-
     return inventory.relevant_only(
         t.documents.select(F.col("doc_id").alias("name"), keyword_hits("text", "ration pale").alias("relevance")))
 
 
 @register("keyword_relevance", f"select doc_id, {hits('text', TOPIC + ' the')} relevance from documents")
 def keyword_relevance(t: Tables):
-    from gradeflow.functions.text import keyword_hits
-
     return t.documents.select("doc_id", keyword_hits("text", TOPIC + " the").alias("relevance"))
 
 

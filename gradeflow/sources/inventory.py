@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.functions.text import is_blank, keyword_hits, text_of
+from gradeflow.functions.text import keyword_hits, text_of
 from gradeflow.operators.ordering import beside, head_limit
-from gradeflow.sources.readers import count_jsonl
+from gradeflow.sources.readers import CATALOG_SUFFIXES, CORRUPT, count_jsonl, read_dataset
 
 MB = 1024 * 1024
 
@@ -64,18 +65,20 @@ def dataset_manifest(
 
 
 def profile_table(
-    df: DataFrame, name: str, suffix: str, order: Sequence[str], size_bytes: int | None = None
+    df: DataFrame, name: str, suffix: str, order: Sequence[str], size_bytes: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Catalog entry of one file: count, columns and the first three records as JSON."""
+    columns = list(columns or df.columns)
     samples = head_limit(df, order, 3).agg(
         F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*df.columns)).alias("_json")))),
+            F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*columns)).alias("_json")))),
             lambda s: s["_json"]), "\n").alias("samples")
     )
     counted = df.agg(F.count("*").alias("record_count")).select(
         F.lit(name).alias("name"), F.lit(suffix).alias("extension"),
         F.lit(None if size_bytes is None else round(size_bytes / MB, 2)).cast("double").alias("size_mb"),
-        "record_count", F.lit(",".join(df.columns)).alias("columns"),
+        "record_count", F.lit(",".join(columns)).alias("columns"),
         F.lit(None).cast("string").alias("error"),
     )
     return beside(counted, samples)
@@ -91,6 +94,37 @@ def failed_profile(spark: SparkSession, name: str, suffix: str, error: Exception
     )
 
 
+def profile_file(spark: SparkSession, path: str, size_bytes: int) -> DataFrame:
+    """Catalog entry of one file by its suffix; samples are its first three records."""
+    name, suffix = path.rsplit("/", 1)[-1], "." + path.rsplit(".", 1)[-1].lower()
+    try:
+        df = read_dataset(spark, path, accept=CATALOG_SUFFIXES)
+        if df.columns == [CORRUPT]:
+            raise ValueError("no readable record")
+    except (AnalysisException, ValueError) as e:
+        return failed_profile(spark, name, suffix, e)
+    placed = df.select(
+        "*", F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_seen")
+    )
+    return profile_table(placed, name, suffix, ["_split", "_seen"], size_bytes, df.columns)
+
+
+def scan_catalog(spark: SparkSession, root: str, topic: str) -> DataFrame:
+    """All data files below ``root``, most relevant to the topic first.
+
+    One small job per file; hidden files and other suffixes are left out.
+    """
+    suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
+    files = artifact_files(spark, root).where(suffix.isin(*CATALOG_SUFFIXES)).orderBy("path").collect()
+    if not files:
+        raise ValueError(f"no data files below {root}")
+    profiles = None
+    for f in files:
+        one = profile_file(spark, f["path"], f["bytes"])
+        profiles = one if profiles is None else profiles.unionByName(one)
+    return rank_by_relevance(profile_relevance(profiles, topic))
+
+
 def profile_relevance(profiles: DataFrame, topic: str) -> DataFrame:
     """Topic words found in name, columns and sample records of each catalog entry."""
     haystack = F.concat_ws(" ", "name", F.translate("columns", ",", " "), "samples")
@@ -140,7 +174,3 @@ def result_status(spark: SparkSession, root: str) -> DataFrame:
         .select("result", F.when(F.col("has_report"), F.coalesce("word", F.lit("")))
                 .otherwise("metrics available (no report)").alias("status"))
     )
-
-
-def non_blank(df: DataFrame, c: str) -> DataFrame:
-    return df.where(~is_blank(c)).withColumn(c, text_of(c))

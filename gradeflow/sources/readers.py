@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from gradeflow.functions.text import is_blank, is_json, text_of
+from gradeflow.functions.text import is_blank, is_json
 
 CORRUPT = "_corrupt_record"
 # Suffixes a dataset load accepts, and those a catalog scan accepts.
@@ -162,8 +162,3 @@ def merge_sources(**sources: DataFrame) -> DataFrame:
     if merged is None:
         raise ValueError("no sources given")
     return merged
-
-
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file: columns ``path`` and ``line``."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), text_of("value").alias("line"))

@@ -128,3 +128,23 @@ def test_small_files_are_spread_and_large_ones_are_not(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan(rd.read_spread(spark, str(tmp_path / "s"), ["id"]))
     assert "Repartition" not in plan(rd.read_spread(spark, str(tmp_path / "s"), ["id"], bytes_per_task=1))
+
+
+def test_catalog_of_a_folder(spark, tmp_path):
+    put(tmp_path, "c/math_quiz.jsonl", '{"q": "one"}\n{"q": "two"}\n\n{"q": "three"}\n{"q": "four"}\n')
+    put(tmp_path, "c/sub/list.json", json.dumps([{"a": i} for i in range(5)]))
+    put(tmp_path, "c/sub/t.csv", 'math,b\n1,"x\ny"\n2,z\n')
+    put(tmp_path, "c/sub/u.tsv", "k\tv\n1\t2\n")
+    put(tmp_path, "c/notes.txt", "first\nsecond\n")
+    put(tmp_path, "c/broken.json", "{not json")
+    put(tmp_path, "c/.hidden/x.jsonl", "{}")
+    put(tmp_path, "c/readme.md", "math")
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "c" / "p"))
+    rows = inv.scan_catalog(spark, str(tmp_path / "c"), "math quiz").collect()
+    got = {r.name if not r.name.startswith("part-") else "part": (r.record_count, r["columns"], r.relevance) for r in rows}
+    assert got == {
+        "math_quiz.jsonl": (4, "q", 2), "list.json": (5, "a", 0), "t.csv": (2, "math,b", 1), "u.tsv": (1, "k,v", 0),
+        "notes.txt": (2, "text", 0), "broken.json": (None, None, 0), "part": (7, "id", 0),
+    }
+    assert rows[0].name == "math_quiz.jsonl" and rows[-1].name == "broken.json" and rows[-1].error
+    assert [json.loads(t)["q"] for t in rows[0].samples.split("\n")] == ["one", "two", "three"]
