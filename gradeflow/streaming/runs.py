@@ -72,9 +72,13 @@ def fold_epochs(stream: DataFrame, name: str,
 
     def run(rows: DataFrame, epoch: int) -> None:
         state = rows.sparkSession.read.parquet(f"{path}/state/epoch={epoch - 1}") if epoch > 0 else None
-        out, following = step(rows, state)
-        out.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
-        following.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+        rows.persist()  # the step reads the epoch's rows several times
+        try:
+            out, following = step(rows, state)
+            out.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+            following.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+        finally:
+            rows.unpersist()
 
     _start(stream.writeStream.foreachBatch(run), path).awaitTermination()
     states = spark.read.parquet(f"{path}/state")
