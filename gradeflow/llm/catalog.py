@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULES = [
+    "url_filters", "substring_dedup", "decontaminate", "ngram_join", "line_dedup", "embedding_dedup", "token_counts", "packing",
+    "licenses", "toxicity",
+]
 
 
 def register(name: str, sql: str | None = None):
@@ -23,10 +28,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    import importlib
-
     for name in MODULES:
         importlib.import_module(f"gradeflow.llm.{name}")
-
-
-MODULES = ["substring_dedup"]
