@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +26,9 @@ def get_session(app: str = "gradeflow", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
-
-    Only a local session (tests) falls back to a folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="gradeflow-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """Folder every executor can reach: spark.checkpoint.dir, else a folder in the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_handover")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
