@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gradeflow.functions.text import content_hash, ngrams, normalized_words
+from gradeflow.session import materialize
 
 GRAM = 8  # words per n-gram
 NEAR_SHARE = 0.5
-BROADCAST_ROWS = 200_000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if a count proves the side small; else a shuffled join is planned."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def contamination_exact(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents whose normalised text equals an item; ``key`` is unique.
 
-
-def contamination_exact(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents whose normalised text equals an item."""
+    Only hashes meet; the texts are fetched by key.
+    """
     hashes = items.select(content_hash("text").alias("_hash")).distinct()
-    return docs.withColumn("_hash", content_hash("text")).join(small_side(hashes), "_hash", "left_semi").drop("_hash")
+    own = materialize(docs.select(key, content_hash("text").alias("_hash")), "content-hashes")
+    return docs.join(own.join(materialize(hashes, "item-hashes"), "_hash", "left_semi").select(key), key, "left_semi")
 
 
 def item_grams(items: DataFrame, n: int = GRAM) -> DataFrame:
@@ -37,17 +37,16 @@ def _gram_lengths(items: DataFrame, n: int) -> list[int]:
 
 
 def _doc_grams(docs: DataFrame, key: str, text: str, lengths: list[int], positions: bool) -> DataFrame:
-    """Word n-grams of whole documents, with every position or each gram once."""
+    """Word n-grams of whole documents of all lengths in one pass, with every position or each gram once."""
     tokens = docs.select(F.col(key), normalized_words(text).alias("_words"))
-    parts = None
-    for n in lengths:
-        grams = ngrams("_words", n)
-        if positions:
-            part = tokens.select(key, F.posexplode(grams).alias("position", "gram"))
-        else:
-            part = tokens.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    if not positions:
+        parts = F.flatten(F.array(*[F.array_distinct(ngrams("_words", n)) for n in lengths]))
+        return tokens.select(key, F.explode(parts).alias("gram"))
+
+    def placed(n: int):
+        return F.transform(ngrams("_words", n), lambda g, i: F.struct(i.alias("position"), g.alias("gram")))
+
+    return tokens.select(key, F.inline(F.flatten(F.array(*[placed(n) for n in lengths]))))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
@@ -64,8 +63,9 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
         (F.col("offset") % n == 0) | (F.col("offset") == F.col("n_words") - n)
     )
     counts = tiles.groupBy("item_id").agg(F.count("*").alias("n_tiles"))
-    sized = tiles.join(counts, "item_id").drop("n_words")
-    hits = _doc_grams(docs, key, text, lengths, positions=True).join(small_side(sized), "gram")
+    # stored, so the optimizer knows its size when it chooses the join
+    sized = materialize(tiles.join(counts, "item_id").drop("n_words"), "item-tiles")
+    hits = _doc_grams(docs, key, text, lengths, positions=True).join(sized, "gram")
     starts = hits.groupBy(key, "item_id", (F.col("position") - F.col("offset")).alias("start")).agg(
         F.count("*").alias("found"), F.first("n_tiles").alias("n_tiles")
     )
@@ -79,11 +79,20 @@ def near_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     if not lengths:
         return docs.select(key).limit(0).withColumn("item_id", F.lit(None).cast("long")).withColumn(
             "share", F.lit(None).cast("double"))
-    grams = item_grams(items, n).select("item_id", "gram").distinct()
-    sized = grams.join(grams.groupBy("item_id").agg(F.count("*").alias("n_grams")), "item_id")
-    hits = _doc_grams(docs, key, text, lengths, positions=False).join(small_side(sized), "gram")
+    grams = materialize(item_grams(items, n).select("item_id", "gram").distinct(), "item-grams")
+    known = materialize(grams.select("gram").distinct(), "known-grams")
+    hits = materialize(_doc_grams(docs, key, text, lengths, positions=False).join(known, "gram", "left_semi"), "gram-hits")
+    # an item found at all has one of its rarest n - ceil(share * n) + 1 grams in the document
+    counts = materialize(hits.groupBy("gram").agg(F.count("*").alias("docs")), "gram-counts")
+    order = W.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "gram")
+    ranked = grams.join(counts, "gram", "left").select(
+        "item_id", "gram", F.row_number().over(order).alias("place"), F.count("*").over(W.partitionBy("item_id")).alias("n_grams"))
+    rarest = ranked.where(F.col("place") <= F.col("n_grams") - F.ceil(F.col("n_grams") * share - 1e-9) + 1)
+    rarest = materialize(rarest.select("item_id", "gram", "n_grams"), "rare-grams")
+    pairs = hits.join(rarest, "gram").select(key, "item_id", "n_grams").distinct()
+    wanted = materialize(pairs, "near-candidates").join(grams, "item_id").join(hits, [key, "gram"])
     return (
-        hits.groupBy(key, "item_id").agg(F.count("*").alias("found"), F.first("n_grams").alias("n_grams"))
+        wanted.groupBy(key, "item_id").agg(F.count("*").alias("found"), F.first("n_grams").alias("n_grams"))
         .select(key, "item_id", (F.col("found") / F.col("n_grams")).alias("share"))
         .where(F.col("share") >= share)
     )

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeflow.functions.text import ngrams, text_of, words
-from gradeflow.operators.ordering import largest_group
+from gradeflow.operators.groups import TILE, runs, tiles, together
 from gradeflow.session import materialize
 
 SHINGLE = 5
 HASHES = 64
 ROWS = 4  # hashes per band, so 16 bands
-HOT = 64  # rows above which a bucket is refined
-TAIL = 1000  # bucket rows that one task may finish
+LEADER_ROUNDS = 3  # rounds that fold groups of copies before links are listed
+PRIME = 2**31 - 1
 
 
 def first_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,33 +33,42 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return df.join(first_ids(df, key, text), key, "left_semi")
 
 
-def cross_dataset_dedup(candidates: DataFrame, earlier: DataFrame, text: str = "text") -> DataFrame:
-    """Candidates whose text is in no earlier set. The earlier side is reduced to distinct hashes."""
+def cross_dataset_dedup(candidates: DataFrame, earlier: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Candidates whose text is in no earlier set; ``key`` is unique among them.
+
+    Distinct hashes of both sides meet, then ids; no text is shuffled by its hash.
+    """
+    own = materialize(candidates.select(key, F.md5(text_of(text)).alias("_hash")), "candidate-hashes")
     seen = earlier.select(F.md5(text_of(text)).alias("_hash")).distinct()
-    return candidates.withColumn("_hash", F.md5(text_of(text))).join(seen, "_hash", "left_anti").drop("_hash")
+    known = own.select("_hash").distinct().join(seen, "_hash", "left_semi")
+    repeated = own.join(materialize(known, "known-hashes"), "_hash", "left_semi").select(key)
+    return candidates.join(repeated, key, "left_anti")
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, n: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
-    """Distinct word n-grams per row as 64-bit hashes; shorter texts give one shingle of all words."""
+    """Distinct word n-grams per row as 60-bit hashes; shorter texts give one shingle of all words."""
     tokens = df.select(F.col(key).alias("id"), *keep, words(text).alias("_words"))
     grams = F.when(F.size("_words") >= n, ngrams("_words", n)).otherwise(F.array(F.array_join("_words", " ")))
-    return tokens.select("id", *keep, F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("shingles"))
+    number = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 15), 16, 10).cast("long"))
+    return tokens.select("id", *keep, F.array_sort(F.array_distinct(number)).alias("shingles"))
+
+
+def hash_family(hashes: int, seed: int) -> list[tuple[int, int]]:
+    """Multiplier and offset of each hash (a * x + b) modulo ``PRIME``; any engine can compute them."""
+    digits = [hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in range(hashes)]
+    return [(int(d[:7], 16) + 1, int(d[7:14], 16)) for d in digits]
 
 
 def _band_hashes(hashes: int, rows: int, seed: int):
     """Arrow function: shingle hashes -> one text key per band of the minhash signature."""
-    rng = np.random.default_rng(seed)
-    odd = rng.integers(1, 2**63, hashes, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**63, hashes, dtype=np.uint64)
+    factor, offset = (np.array(x, dtype=np.int64) for x in zip(*hash_family(hashes, seed)))
 
     def bands(shingles: pd.Series) -> pd.Series:
         out = []
         for values in shingles:
-            x = np.asarray(values, dtype=np.int64).view(np.uint64)
-            x = x ^ (x >> np.uint64(31))
-            mixed = x[:, None] * odd[None, :] + add[None, :]
-            signature = (mixed ^ (mixed >> np.uint64(29))).min(axis=0).reshape(-1, rows)
-            out.append([f"{i}:" + row.tobytes().hex() for i, row in enumerate(signature)])
+            x = np.asarray(values, dtype=np.int64) % PRIME
+            signature = ((x[:, None] * factor + offset) % PRIME).min(axis=0).reshape(-1, rows)
+            out.append([f"{i}:" + ",".join(map(str, row)) for i, row in enumerate(signature.tolist())])
         return pd.Series(out)
 
     return F.pandas_udf(bands, T.ArrayType(T.StringType()))
@@ -65,59 +76,50 @@ def _band_hashes(hashes: int, rows: int, seed: int):
 
 def minhash_dedup(
     df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
-    hashes: int = HASHES, rows: int = ROWS, seed: int = 42, hot: int = HOT, tail: int = TAIL,
+    hashes: int = HASHES, rows: int = ROWS, seed: int = 42, leader_rounds: int = LEADER_ROUNDS, tile: int = TILE,
 ) -> DataFrame:
     """Near duplicates by MinHash bands, each verified by its exact Jaccard similarity.
 
-    A row is dropped if an earlier kept row shares a band bucket with it and reaches the
-    threshold. Returns every id with ``kept`` and a kept row it repeats (``duplicate_of``).
+    Rows are taken in the order of their ids; a row is dropped if an earlier kept row shares
+    a band bucket with it and reaches the threshold. Returns every id with ``kept`` and the
+    lowest such row (``duplicate_of``), or the first row with the same words.
 
-    One pass over the texts leaves hashes only. Exact copies are folded away, and shingles
-    are made for rows that share a bucket. Then, in rounds, the lowest open row of all its
-    buckets becomes a leader and is compared with the open rows of those buckets; matches
-    are dropped, the others stay open for the next leader. A group of copies of any size
-    costs one comparison per row, never all pairs, and no partner is left out. Buckets that
-    keep more than ``hot`` unlike rows are refined. The last ``tail`` rows are finished in
-    one task.
+    Rows with equal shingles are folded first. Then, in a few rounds, a row that is the lowest open
+    one in all its buckets is compared with the open rows there, which takes groups of
+    copies out with one comparison per row. The links among the rest are listed by tasks
+    that hold two tiles of a bucket each, and decided in as many rounds as the longest chain
+    of links, however many rows a bucket has. At last each dropped row takes the lowest kept
+    row it matches. ``leader_rounds`` and ``tile`` change the plan, not the result.
     """
     signed = materialize(_signatures(df, key, text, hashes, rows, seed), "signatures")
-    firsts = materialize(signed.groupBy("_hash").agg(F.min("id").alias("id")), "firsts")
-    spread = signed.join(firsts, "id", "left_semi").select("id", F.explode("bands").alias("bucket"))
-    open_rows = materialize(_crowded(spread), "buckets")
-    sets = _sets_of(open_rows, shingle_sets(df, key, text))
-    dropped: list[DataFrame] = []
-    before = n = open_rows.count()
-    refined = False
-    while n > tail:
+    firsts = materialize(signed.groupBy("_set").agg(F.min("id").alias("id")), "firsts")
+    spread = signed.select("id", F.explode("bands").alias("bucket")).join(firsts, "id", "left_semi")
+    buckets = materialize(_crowded(spread), "buckets")
+    sets = _sets_of(buckets, shingle_sets(df, key, text))
+    open_rows, dropped = buckets, []
+    for _ in range(leader_rounds):
         matched, leaders = _one_round(open_rows, sets, threshold)
+        dropped.append(matched.select("id"))
         closed = matched.select("id").unionByName(leaders.select(F.col("leader").alias("id")))
         open_rows = materialize(_crowded(open_rows.join(closed, "id", "left_anti")), "buckets")
-        dropped.append(matched)
-        # the first round takes out the large groups of copies; what still crowds is unlike
-        if not refined and largest_group(open_rows, ["bucket"]) > hot:
-            open_rows = materialize(_refine_hot(open_rows, sets, threshold, hot), "buckets")
-            refined = True
-        n = open_rows.count()
-        if n * 2 < before:  # later rounds need not read the shingles of closed rows
-            before, sets = n, _sets_of(open_rows, sets)
-    if n:
-        dropped.append(_finish_tail(open_rows, sets, threshold))
-    found = df.sparkSession.createDataFrame([], "id long, duplicate_of long")
+    dropped += _decide(_listed(open_rows, sets, threshold, tile))
+    gone = df.sparkSession.createDataFrame([], "id long")
     for part in dropped:
-        found = found.unionByName(part)
-    # copies share the fate of the first row with their text
-    fate = firsts.join(found, "id", "left").select("_hash", F.col("id").alias("first_id"), "duplicate_of")
-    copies = signed.select("id", "_hash").join(fate, "_hash")
+        gone = gone.unionByName(part)
+    gone = materialize(gone.withColumn("gone", F.lit(True)), "gone")
+    found = materialize(_lowest_kept(buckets, sets, gone, threshold, tile), "found")
+    # copies share the fate of the first row with their shingles
+    fate = firsts.join(found, "id", "left").select("_set", F.col("id").alias("first_id"), "duplicate_of")
+    copies = signed.select("id", "_set").join(materialize(fate, "fate"), "_set")
     target = F.coalesce(F.col("duplicate_of"), F.when(F.col("id") != F.col("first_id"), F.col("first_id")))
     return copies.select(F.col("id").alias(key), target.isNull().alias("kept"), target.alias("duplicate_of"))
 
 
 def _signatures(df: DataFrame, key: str, text: str, hashes: int, rows: int, seed: int) -> DataFrame:
-    """id, hash of the text, and one 64-bit bucket per band."""
+    """id, hash of the shingles, and one 64-bit bucket per band."""
     band = _band_hashes(hashes, rows, seed)
-    shingles = shingle_sets(df.withColumn("_hash", F.md5(text_of(text))), key, text, keep=["_hash"])
-    return shingles.select(
-        "id", "_hash", F.transform(band("shingles"), lambda one: F.xxhash64(one)).alias("bands")
+    return shingle_sets(df, key, text).select(
+        "id", F.md5(F.to_json("shingles")).alias("_set"), F.transform(band("shingles"), lambda one: F.xxhash64(one)).alias("bands")
     )
 
 
@@ -128,43 +130,18 @@ def _sets_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def _crowded(rows: DataFrame) -> DataFrame:
     """Rows (id, bucket) of buckets with two rows or more."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return rows.join(sizes, "bucket", "left_semi")
-
-
-def _refine_hot(rows: DataFrame, sets: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """Split buckets of more than ``hot`` rows by rare shingles, without losing a match.
-
-    Two sets with Jaccard >= t share a shingle among the first n - ceil(t * n) + 1 of each,
-    in any common order; with rare shingles first, unlike rows part ways. A shingle that
-    only one row has holds its place in the order but needs no bucket.
-    """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    hot_rows = rows.join(sizes.where(F.col("n") > hot), "bucket", "left_semi")
-    members = sets.join(hot_rows.select("id").distinct(), "id", "left_semi")
-    exploded = members.select("id", F.explode("shingles").alias("s"))
-    frequency = exploded.groupBy("s").agg(F.count("*").alias("f"))
-    ordered = exploded.join(frequency, "s").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o")
-    )
-    size = F.size("o")
-    prefix = ordered.select(
-        "id", F.explode(F.slice("o", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("e")
-    )
-    refined = hot_rows.join(prefix.where("e.f > 1"), "id").select(
-        "id", F.xxhash64("bucket", F.col("e.s")).alias("bucket")
-    )
-    cold = rows.join(sizes.where(F.col("n") <= hot), "bucket", "left_semi").select("id", "bucket")
-    return cold.unionByName(_crowded(refined).select("id", "bucket"))
+    return rows.join(sizes, "bucket", "left_semi").select("id", "bucket")
 
 
 def _one_round(open_rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows matched to a leader, all leaders) of one round."""
     lowest = open_rows.groupBy("bucket").agg(F.min("id").alias("leader"))
-    placed = open_rows.join(lowest, "bucket")
+    placed = open_rows.join(materialize(lowest, "lowest"), "bucket")
     leaders = (
         placed.groupBy("id").agg(F.min(F.col("leader") == F.col("id")).alias("leads"))
         .where("leads").select(F.col("id").alias("leader"))
     )
+    leaders = materialize(leaders, "leaders")
     pairs = placed.where(F.col("leader") < F.col("id")).select("id", "leader").distinct().join(
         leaders, "leader", "left_semi"
     )
@@ -172,31 +149,68 @@ def _one_round(open_rows: DataFrame, sets: DataFrame, threshold: float) -> tuple
     right = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - common
-    matched = (
-        pairs.join(left, "id").join(right, "leader").where(common >= F.lit(threshold) * union)
-        .groupBy("id").agg(F.min("leader").alias("duplicate_of"))
-    )
+    matched = pairs.join(left, "id").join(right, "leader").where(common >= F.lit(threshold) * union).select("id").distinct()
     return materialize(matched, "matched"), leaders
 
 
-def _finish_tail(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The same rule for a counted, small rest: rows in id order against the kept ones before."""
-    rest = open_rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets")).join(sets, "id")
-
-    def greedy(batches):
-        rows = [r for b in batches for r in b.itertuples(index=False)]
-        kept: dict[int, list[tuple[int, set]]] = {}
-        out = []
-        for row in sorted(rows, key=lambda r: r.id):
-            own = set(row.shingles)
-            near = {i: other for b in row.buckets for i, other in kept.get(b, ())}
-            hits = [i for i, other in near.items() if len(own & other) >= threshold * len(own | other)]
-            if hits:
-                out.append((row.id, min(hits)))
-            else:
-                for b in row.buckets:
-                    kept.setdefault(b, []).append((row.id, own))
-        yield pd.DataFrame(out, columns=["id", "duplicate_of"])
-
-    # only the counted rest meets in one task; the joins above stay spread
-    return rest.repartition(1).mapInPandas(greedy, "id long, duplicate_of long")
+def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= threshold * (len(a) + len(b) - common)
+
+
+def _tile_task(threshold: float, lowest: bool):
+    """Matches (id, other), other earlier, within pairs of tiles; or each dropped row's lowest kept one."""
+
+    def run(batches):
+        for table, cuts in runs(batches, ("bucket", "low", "high")):
+            ids, kept = table["id"].to_numpy(), table["kept"].to_numpy(zero_copy_only=False)
+            lists = table["shingles"].combine_chunks()
+            values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            own = lambda i: values[at[i] : at[i + 1]]
+            a, b = [], []
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                order = start + np.argsort(ids[start:end], kind="stable")
+                for k, i in enumerate(order):
+                    if lowest and kept[i]:
+                        continue
+                    for j in order[:k]:
+                        if (kept[j] or not lowest) and _similar(own(i), own(j), threshold):
+                            a.append(ids[i])
+                            b.append(ids[j])
+                            if lowest:
+                                break
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "other"])
+
+    return run
+
+
+def _listed(rows: DataFrame, sets: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """All links (id, other) between open rows of a bucket."""
+    met = tiles(rows, "bucket", "id", tile).join(sets.withColumn("kept", F.lit(False)), "id")
+    found = together(met, "bucket", "id").mapInArrow(_tile_task(threshold, False), "id long, other long")
+    return materialize(found.distinct(), "links")
+
+
+def _decide(links: DataFrame) -> list[DataFrame]:
+    """Rows to drop: those linked to an earlier row that stays. One round per step of the longest chain."""
+    out = []
+    while not links.isEmpty():
+        later = links.select("id").distinct()
+        # earlier ends that have no open earlier partner themselves stay
+        stay = links.select(F.col("other").alias("id")).distinct().join(later, "id", "left_anti")
+        gone = links.join(stay.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
+        gone = materialize(gone, "dropped")
+        out.append(gone)
+        # links of dropped rows say nothing any more, and a row without links stays
+        links = links.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "other"), "other", "left_anti")
+        links = materialize(links.select("id", "other"), "links")
+    return out
+
+
+def _lowest_kept(buckets: DataFrame, sets: DataFrame, gone: DataFrame, threshold: float, tile: int) -> DataFrame:
+    state = sets.join(gone, "id", "left").select("id", "shingles", F.col("gone").isNull().alias("kept"))
+    met = tiles(buckets, "bucket", "id", tile).join(materialize(state, "state"), "id")
+    found = together(met, "bucket", "id").mapInArrow(_tile_task(threshold, True), "id long, other long")
+    return found.groupBy("id").agg(F.min("other").alias("duplicate_of"))

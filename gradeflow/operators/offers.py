@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions.numbers import round_to
-from gradeflow.operators.contamination import small_side
 
 RELIABLE = 0.9
 
@@ -28,7 +27,7 @@ def enrich_with_specs(reservations: DataFrame, specs: DataFrame, keep: Sequence[
         F.col("i.instance_type").alias("instance_type"),
     )
     zero = F.lit(0)
-    return items.join(small_side(specs), "instance_type", "left").withColumns({
+    return items.join(specs, "instance_type", "left").withColumns({
         "gpu_type": F.coalesce("gpu_type", F.lit("Unknown")),
         "gpu_count": F.coalesce("gpu_count", zero), "gpu_ram_gb": F.coalesce("gpu_ram_gb", zero),
     })

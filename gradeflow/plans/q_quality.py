@@ -110,7 +110,31 @@ def cross_dataset_dedup(t: Tables):
     return d.cross_dataset_dedup(t.documents.where(~earlier), t.documents.where(earlier)).select("doc_id", "source")
 
 
-@register("minhash_dedup")
+def _minhash() -> str:
+    """The rule of the operator: hashes of md5 digits, verified links, then the rows in the order of their ids."""
+    family = d.hash_family(d.HASHES, 42)
+    a, b = (f"[{', '.join(str(x[k]) for x in family)}]" for k in (0, 1))
+    return f"""with recursive mw as (select doc_id, {words('text')} w from documents),
+    mg as (select doc_id, unnest(case when len(w) >= 5 then {grams('w', 5)} else [array_to_string(w, ' ')] end) g from mw),
+    sh as (select distinct doc_id, ('0x' || substr(md5(g), 1, 15))::bigint x from mg),
+    sizes as (select doc_id, count(*) n from sh group by doc_id),
+    fam as (select unnest(range(0, {d.HASHES})) k, unnest({a}) a, unnest({b}) b),
+    sig as (select doc_id, k, min((a * (x % {d.PRIME}) + b) % {d.PRIME}) m from sh cross join fam group by doc_id, k),
+    bands as (select doc_id, k // {d.ROWS} band, string_agg(m::varchar, ',' order by k) v from sig group by doc_id, k // {d.ROWS}),
+    cand as (select distinct r.doc_id id, l.doc_id other from bands l join bands r using (band, v) where l.doc_id < r.doc_id),
+    common as (select id, other, count(*) c from cand join sh s on s.doc_id = id join sh o on o.doc_id = other and o.x = s.x group by id, other),
+    links as (select id, other from common join sizes s on s.doc_id = id join sizes o on o.doc_id = other where c >= 0.8::double * (s.n + o.n - c)),
+    ends as (select id, list(other) others, row_number() over (order by id) k from links group by id),
+    walk as (select 0::bigint k, []::bigint[] gone union all
+      select e.k, case when len(list_filter(e.others, lambda o: not list_contains(w.gone, o))) > 0 then list_append(w.gone, e.id) else w.gone end
+      from walk w join ends e on e.k = w.k + 1),
+    dropped as (select unnest(gone) id from (select gone from walk order by k desc limit 1))
+    select doc_id, duplicate_of is null kept, duplicate_of from documents left join (
+      select id, min(other) duplicate_of from links where id in (select id from dropped) and other not in (select id from dropped) group by id)
+    on id = doc_id"""
+
+
+@register("minhash_dedup", _minhash())
 def minhash_dedup(t: Tables):
     return d.minhash_dedup(t.documents)
 
@@ -118,13 +142,13 @@ def minhash_dedup(t: Tables):
 # contamination
 
 @register("contamination_exact", f"""
-    select doc_id from documents where md5({norm('text')}) in (select md5({norm('text')}) from benchmark)
-    union all select page_no from (select item_id + 1000000000 page_no from benchmark)""")
+    select doc_id from documents where source <> 'src0' and md5({norm('text')}) in (
+      select md5({norm('text')}) from benchmark union all select md5({norm('text')}) from documents where source = 'src0')""")
 def contamination_exact(t: Tables):
-    """Documents against items; the items themselves join as known hits."""
-    known = t.benchmark.select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text")
-    both = t.documents.select("doc_id", "text").unionByName(known)
-    return c.contamination_exact(both, t.benchmark).select("doc_id")
+    """One source is held out together with the items; documents of the others are checked."""
+    held_out = t.documents.where("source = 'src0'").select(F.col("doc_id").alias("item_id"), "text")
+    others = t.documents.where("source <> 'src0'").select("doc_id", "text")
+    return c.contamination_exact(others, t.benchmark.unionByName(held_out)).select("doc_id")
 
 
 @register("contamination_contained", with_views(contained(), then="select doc_id, item_id from contained"))

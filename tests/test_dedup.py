@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from gradeflow.operators import contamination as c
 from gradeflow.operators import dedup as d
@@ -26,25 +29,36 @@ def texts(seed=3, n=96):
     return rows
 
 
-def test_minhash_equals_the_plain_rule(spark):
-    df = spark.createDataFrame(texts(), "doc_id long, text string")
+def plain_minhash(df, threshold, hashes):
+    """(kept ids, dropped id -> lowest kept row it matches)."""
     sets = d.shingle_sets(df, "doc_id", "text")
-    band = d._band_hashes(64, 4, 42)
+    band = d._band_hashes(hashes, 4, 42)
     rows = {r.id: (set(r.shingles), set(r.b)) for r in sets.select("id", "shingles", band("shingles").alias("b")).collect()}
-    kept = []
+    kept, target = [], {}
+    near = lambda i, k: rows[i][1] & rows[k][1] and len(rows[i][0] & rows[k][0]) >= threshold * len(rows[i][0] | rows[k][0])
     for i in sorted(rows):
-        s, b = rows[i]
-        near = lambda k: len(s & rows[k][0]) >= 0.8 * len(s | rows[k][0])
-        if not any(b & rows[k][1] and near(k) for k in kept):
+        same = [k for k in kept if near(i, k)]
+        if same:
+            target[i] = min(same)
+        else:
             kept.append(i)
-    for options in ({}, {"hot": 2, "tail": 0}, {"hot": 5, "tail": 30}):
-        got = d.minhash_dedup(df, **options).collect()
-        assert sorted(r.doc_id for r in got) == sorted(rows)
+    return kept, target
+
+
+@pytest.mark.parametrize("threshold, hashes", [(0.8, 64), (0.6, 16)])
+def test_minhash_equals_the_plain_rule(spark, threshold, hashes):
+    df = spark.createDataFrame(texts(), "doc_id long, text string")
+    kept, target = plain_minhash(df, threshold, hashes)
+    for options in ({}, {"leader_rounds": 0}, {"leader_rounds": 1, "tile": 5}, {"leader_rounds": 9, "tile": 1000}):
+        got = d.minhash_dedup(df, threshold=threshold, hashes=hashes, **options).collect()
+        assert {r.doc_id: r.duplicate_of for r in got} == {**{k: None for k in kept}, **target}
         assert sorted(r.doc_id for r in got if r.kept) == kept
-        for r in got:
-            if not r.kept:
-                s, k = rows[r.doc_id][0], rows[r.duplicate_of][0]
-                assert r.duplicate_of < r.doc_id and r.duplicate_of in kept and len(s & k) >= 0.8 * len(s | k)
+
+
+def test_minhash_for_any_partitioning(spark, partitions):
+    df = spark.createDataFrame(texts(5), "doc_id long, text string")
+    kept, target = plain_minhash(df, 0.8, 64)
+    assert {r[0]: r[2] for r in partitions(lambda: d.minhash_dedup(df))} == {**{k: None for k in kept}, **target}
 
 
 def test_exact_dedup_is_idempotent(spark):
@@ -98,12 +112,27 @@ def test_contained_and_near_equal_brute_force(spark):
     assert left == {i for i, _ in docs} - flagged
 
 
-def test_large_item_side_is_not_broadcast(spark):
+def test_the_optimizer_chooses_the_broadcast_from_sizes(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.range(50).selectExpr("id as item_id", "cast(id as string) as text")
-    small = c.small_side(items, max_rows=100)
-    large = c.small_side(items, max_rows=10)
-    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(small) and not hinted(large)
+    plan = lambda: c.contained_items(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan()
+
+
+def test_no_text_is_shuffled_by_its_hash(spark):
+    """Exchanges on a hash carry ids and hashes; those with texts go by the unique key."""
+    a = spark.createDataFrame([(i, f"x {i % 7}") for i in range(40)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, f"x {i}") for i in range(3)], "doc_id long, text string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for df in (d.cross_dataset_dedup(a, b), c.contamination_exact(a, b.withColumnRenamed("doc_id", "item_id"))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            keys = re.findall(r"hashpartitioning\((\w+)#", plan)
+            assert set(keys) == {"doc_id", "_hash"}
+            assert df.count() in (22, 18)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
 
 
 def test_no_items(spark):
