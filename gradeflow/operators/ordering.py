@@ -9,6 +9,7 @@ The number of ranges is bounded by a parameter.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -26,11 +27,31 @@ PREFIX = 4  # hex digits: at most 65,536 prefixes
 
 
 def _numeric(df: DataFrame, c: str) -> Column:
-    if dict(df.dtypes)[c].startswith("timestamp"):
+    """A number that never falls along the order of column ``c``.
+
+    Texts give the six bytes after the prefix that all of them share; two scalars find it.
+    """
+    kind = dict(df.dtypes)[c]
+    if kind.startswith("timestamp"):
         return epoch_micros(df, c).cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "string":
+        low, high = df.agg(F.min(c), F.max(c)).first()
+        shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+        digits = F.substring(F.hex(F.encode(c, "UTF-8")), 2 * shared + 1, 12)
+        return F.when(F.col(c).isNotNull(), F.conv(F.rpad(digits, 12, "0"), 16, 10).cast("double"))
     return F.col(c).cast("double")
 
 
+def _check_order(df: DataFrame, c: str) -> None:
+    """The same refusal at every size."""
+    kind = dict(df.dtypes)[c]
+    if not kind.startswith(("timestamp", "decimal")) and kind not in (
+            "date", "string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double"):
+        raise ValueError(f"cannot order by {c}: {kind}")
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest group; only the keys are read and counted."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -48,11 +69,13 @@ def with_range(df: DataFrame, order: str, name: str = "_range", ranges: int = RA
     )
     splits = [-math.inf, *sorted(set(borders)), math.inf]
     if len(splits) < 3:
-        return keyed.drop("_order_number").withColumn(name, F.lit(0))
+        return keyed.withColumn(name, F.when(F.col("_order_number").isNull(), -1).otherwise(0)).drop("_order_number")
+    # not-a-number sorts last and falls in a range of its own; null sorts first
     cut = Bucketizer(
         splits=splits, inputCol="_order_number", outputCol=name, handleInvalid="keep"
     )
-    return cut.transform(keyed).drop("_order_number").withColumn(name, F.col(name).cast("int"))
+    place = F.when(F.col("_order_number").isNull(), -1).otherwise(F.col(name).cast("int"))
+    return cut.transform(keyed).withColumn(name, place).drop("_order_number")
 
 
 def with_position(
@@ -63,12 +86,14 @@ def with_position(
     ranges: int = RANGES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """0-based position by ``order`` (a unique key led by a number or time) within ``by``.
+    """0-based position by ``order`` (a unique key led by a number, time, date or text) within ``by``.
 
     If a count shows that no group exceeds ``hot_rows``, a window per group does it. Else
-    every group is spread over the ranges, so a hot group is no hot task.
+    every group is spread over the ranges, so a hot group is no hot task. Both ways take
+    the same columns and give the same result, nulls first. Rows should be narrow.
     """
     by = list(by)
+    _check_order(df, order[0])
     if largest_group(df, by) <= hot_rows:
         return df.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     ranged = with_range(df, order[0], ranges=ranges)
@@ -104,9 +129,10 @@ def with_next(
     """Add ``next_<column>`` of the following row along ``order`` within ``by``.
 
     With a group over ``hot_rows``, looks ahead inside each range, and the last row of a
-    range takes the head of the next range.
+    range takes the head of the next range. Orders are those of ``with_position``.
     """
     by = list(by)
+    _check_order(df, order[0])
     if largest_group(df, by) <= hot_rows:
         whole = W.partitionBy(*by).orderBy(*order)
         return df.select("*", *[F.lead(c).over(whole).alias(f"next_{c}") for c in columns])
@@ -126,6 +152,18 @@ def with_next(
     )
 
 
+def join_groups(rows: DataFrame, figures: DataFrame, by: Sequence[str], salts: int = 32) -> DataFrame:
+    """Add the figures of its group (one row per group) to every row.
+
+    Rows carry a salt made of their values and each group's figures are there once per
+    salt, so the rows of a hot group spread over as many tasks, and what follows cannot
+    reuse a partitioning that holds a whole group.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = figures.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return _join_keys(salted, copies, [*by, "_salt"]).drop("_salt")
+
+
 def hash_cutoff(
     df: DataFrame, key: str, n: Column | int, seed: int = 42
 ) -> tuple[int, tuple[str, str] | None]:

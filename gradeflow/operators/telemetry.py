@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from gradeflow.functions.numbers import round_to
 from gradeflow.functions.text import is_json, strip
-from gradeflow.operators.ordering import carry_forward, with_halo, with_position
+from gradeflow.operators.ordering import carry_forward, join_groups, with_halo, with_position
 
 # Marker texts in the order they are looked for.
 PROGRESS = "__PROGRESS__:"
@@ -116,7 +116,7 @@ def step_log(series: DataFrame, explicit: str | None = None) -> DataFrame:
     else:
         placed = placed.withColumn("step", F.col("_position") + 1)
     starts = series.groupBy("run").agg(F.min("ts").alias("_started"))
-    return placed.join(starts, "run").withColumn(
+    return join_groups(placed, starts, ["run"]).withColumn(
         "elapsed_seconds", (F.col("ts") - F.col("_started")) / 1e6
     ).drop("_position", "_started")
 
@@ -146,7 +146,7 @@ def checkpoint_select(losses: DataFrame, tolerance: float = 0.005) -> DataFrame:
     losses: run, step, loss.
     """
     best = losses.groupBy("run").agg(F.min("loss").alias("best_loss"))
-    close = losses.join(best, "run").where(F.col("loss") <= F.col("best_loss") * (1 + tolerance))
+    close = join_groups(losses, best, ["run"]).where(F.col("loss") <= F.col("best_loss") * (1 + tolerance))
     return close.groupBy("run").agg(
         F.min("step").alias("step"), F.min_by("loss", "step").alias("loss"), F.max("best_loss").alias("best_loss")
     )
@@ -155,9 +155,13 @@ def checkpoint_select(losses: DataFrame, tolerance: float = 0.005) -> DataFrame:
 def run_health_checks(series: DataFrame, width: int = 10, spike: float = 5.0, busy: float = 80.0) -> DataFrame:
     """Per run and metric: falling, rising (three rises in a row), unstable, has_nan, busy.
 
-    Frames look back ``width`` rows; they run on overlapping blocks, so a long run is
-    spread over tasks.
+    Frames look back ``width`` rows (three at least). Positions of a run of ordinary size
+    come from one window; a longer one is positioned by ranges, and its frames run on
+    overlapping blocks. The number of rows reaches each row by a salted join, so no task
+    holds a whole long run.
     """
+    if width < 3:
+        raise ValueError("three rises in a row need a width of 3 or more")
     keys = ["run", "metric"]
     placed = with_position(series, ["ts", "seq"], by=keys, name="_position")
     blocks = with_halo(placed, "_position", before=width)
@@ -175,7 +179,7 @@ def run_health_checks(series: DataFrame, width: int = 10, spike: float = 5.0, bu
         .where(~F.col("_halo"))
     )
     counts = series.groupBy(*keys).agg(F.count("*").alias("n"))
-    joined = marked.join(counts, keys)
+    joined = join_groups(marked.select(*keys, "value", "_position", "_three", "_spike"), counts, keys)
     first = F.avg(F.when(F.col("_position") < width, F.col("value")))
     last = F.avg(F.when(F.col("_position") >= F.col("n") - width, F.col("value")))
     broken = F.isnan("value") | (F.abs("value") == float("inf"))

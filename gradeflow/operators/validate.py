@@ -38,9 +38,15 @@ def issues_of_row() -> Column:
     return F.array_compact(F.array(*checks))
 
 
+def flag_issues(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Narrow rows: the ``keep`` columns and the row's ``issues``; texts are left behind."""
+    return df.select(*keep, issues_of_row().alias("issues"))
+
+
 def format_issues(df: DataFrame, index: str = "position", keep: Sequence[str] = ("split",)) -> DataFrame:
-    """One row per violation, in the order of the checks."""
-    return df.select(*keep, F.col(index).alias("idx"), F.posexplode(issues_of_row()).alias("check", "issue"))
+    """One row per violation, in the order of the checks. Rows may have their ``issues`` already."""
+    issues = F.col("issues") if "issues" in df.columns else issues_of_row()
+    return df.select(*keep, F.col(index).alias("idx"), F.posexplode(issues).alias("check", "issue"))
 
 
 def issue_report(issues: DataFrame, k: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from gradeflow.operators import scores as sc
 from gradeflow.operators import validate as v
 from gradeflow.plans.catalog import register, six
 from gradeflow.plans.views import Tables
+from gradeflow.session import materialize
 from gradeflow.plans.views_sql import (
     PAIRS, PREFERENCES, SPLITS, TEXT_PAIRS, TENTH, norm, split, strip, with_views, words,
 )
@@ -296,8 +297,9 @@ ordered as (select split, idx, issue, "check", row_number() over (partition by s
 
 
 def _issues(t: Tables):
-    placed = od.with_position(_split_pairs(t), ["pair_id"], by=["split"])
-    return v.format_issues(placed)
+    # the texts are read once; what is positioned has ids and issue names only
+    flagged = materialize(v.flag_issues(_split_pairs(t), ["split", "pair_id"]), "issues")
+    return v.format_issues(od.with_position(flagged, ["pair_id"], by=["split"]))
 
 
 @register("format_issues", with_views(*SPLITS, ISSUES, then="select split, idx, issue from issues"))

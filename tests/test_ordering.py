@@ -97,3 +97,38 @@ def test_global_order_of_times(spark):
     df = spark.range(500).selectExpr("id", "timestamp_ntz'2024-03-31 01:00:00' + make_dt_interval(0, 0, cast(id * 7 % 500 as int)) as t")
     rows = od.with_position(df, ["t"], hot_rows=0, ranges=8).collect()
     assert all(r.position == r.id * 7 % 500 for r in rows)
+
+
+ORDERS = {
+    "number": "cast(o as double)", "whole": "o", "text": "concat('user-', lpad(cast(o as string), 9, '0'))", "plain text": "cast(o as string)",
+    "time": "timestamp_ntz'2024-03-31 01:00:00' + make_dt_interval(0, 0, 0, o)", "date": "date_add(date'2020-01-01', cast(o div 40 as int))",
+    "decimal": "cast(o as decimal(20, 3)) / 7",
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+def test_both_limits_agree_for_every_order(spark, kind):
+    """Numbers, times, dates and texts, with null keys and null order values."""
+    df = skewed(spark, 1500).selectExpr("id", "nullif(g, 3) as g", f"case when id % 97 = 0 then null else {ORDERS[kind]} end as k")
+    small, large = ([sorted(map(tuple, od.with_position(df, ["k", "id"], by=["g"], hot_rows=n, ranges=16).collect()), key=str)
+                     for n in (10**6, 0)])
+    assert small == large
+    small, large = ([sorted(map(tuple, od.with_next(df, ["k", "id"], ["id"], by=["g"], hot_rows=n, ranges=16).collect()), key=str)
+                     for n in (10**6, 0)])
+    assert small == large
+
+
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_other_orders_are_refused_at_any_size(spark, hot_rows):
+    df = spark.range(3).selectExpr("id", "array(id) as a")
+    for run in (lambda: od.with_position(df, ["a"], hot_rows=hot_rows), lambda: od.with_next(df, ["a"], ["id"], hot_rows=hot_rows)):
+        with pytest.raises(ValueError, match="cannot order by a"):
+            run()
+
+
+def test_group_figures_reach_every_row(spark):
+    df = skewed(spark, 900).selectExpr("id", "nullif(g, 4) as g")
+    figures = df.groupBy("g").count()
+    got = od.join_groups(df, figures, ["g"], salts=7)
+    want = {r.g: r["count"] for r in figures.collect()}
+    assert got.columns == ["id", "g", "count"] and all(r["count"] == want[r.g] for r in got.collect()) and got.count() == 900
