@@ -112,17 +112,28 @@ def dangling_production(state: DataFrame) -> DataFrame:
     return state.where(F.col("is_current") & (F.col("stage") != "production"))
 
 
+def effective_events(events: DataFrame) -> DataFrame:
+    """The events and the retirements they imply: a version is retired when another one takes production after it."""
+    chain = with_next(
+        events.where(F.col("stage") == "production").select("version", "ts", "seq"), ["ts", "seq"], ["version", "ts", "seq"]
+    )
+    implied = chain.where(F.col("next_version") != F.col("version")).select(
+        "version", F.lit("retired").alias("stage"), F.col("next_ts").alias("ts"), F.col("next_seq").alias("seq"))
+    return events.select("version", "stage", "ts", "seq").unionByName(implied)
+
+
 def stage_timeline(events: DataFrame) -> DataFrame:
-    """First arrival and total time per stage, wide; a stage still open counts no time.
+    """Last arrival and total time per stage, wide; a stage still open counts no time.
 
+    Time in production ends when another version takes it, which also stamps the retirement.
     ``ts`` is in microseconds.
     """
-    ahead = with_next(events, ["ts", "seq"], ["ts"], by=["version"])
+    ahead = with_next(effective_events(events), ["ts", "seq"], ["ts"], by=["version"])
     figures = []
     for stage in STAGES:
         here = F.col("stage") == stage
         figures += [
-            F.min(F.when(here, F.col("ts"))).alias(f"{stage}_at"),
+            F.max(F.when(here, F.col("ts"))).alias(f"{stage}_at"),
             F.coalesce(F.sum(F.when(here, F.col("next_ts") - F.col("ts"))), F.lit(0)).alias(f"{stage}_micros"),
         ]
     return ahead.groupBy("version").agg(*figures)
@@ -160,3 +171,14 @@ def compact(events: DataFrame) -> DataFrame:
         F.col("e.next_seq").alias("seq"), F.col("e.next_stage").alias("stage"),
     ).where(F.col("version").isNotNull())
     return last.unionByName(own).unionByName(after).distinct()
+
+
+def compact_part(events: DataFrame) -> DataFrame:
+    """The events of one epoch that a fold over all epochs can depend on.
+
+    These are those of ``compact`` and the first production event, which may replace a
+    version of an earlier epoch.
+    """
+    cols = ["version", "ts", "seq", "stage"]
+    first = events.where(F.col("stage") == "production").agg(F.min(F.struct("ts", "seq", "version", "stage")).alias("e"))
+    return compact(events).unionByName(first.where("e is not null").select("e.*").select(*cols)).distinct()

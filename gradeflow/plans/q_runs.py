@@ -8,17 +8,45 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradeflow.functions.clock import wall_micros
 from gradeflow.operators import compare as cm
 from gradeflow.operators import registry as rg
 from gradeflow.operators import telemetry as tm
 from gradeflow.plans.catalog import register, six
 from gradeflow.plans.views import Tables, log_lines_of, series_of, stage_events_of
-from gradeflow.plans.views_sql import ENTRIES, LOG_LINES, METRICS, SERIES, STAGE_EVENTS, STATE, STEPS, r6, verdict, with_views
+from gradeflow.plans.views_sql import ENTRIES, LOG_LINES, METRICS, SERIES, STATE, STEPS, r6, verdict, with_views
+from gradeflow.session import scratch_path
 from gradeflow.streaming import runs
 
 
+EPOCHS = 3
+
+
+def _in_epochs(t: Tables, rows, write) -> str:
+    """``rows`` with a ``ts`` as files that arrive one after the other, in the order of time."""
+    folder = scratch_path(t.spark, "arrivals")
+    instant = wall_micros("ts")
+    cuts = rows.select(instant.cast("double").alias("at")).approxQuantile("at", [i / EPOCHS for i in range(1, EPOCHS)], 0.01)
+    borders = [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(borders, borders[1:])):
+        part = rows if low is None else rows.where(instant >= low)
+        write(part if high is None else part.where(instant < high), f"{folder}/{i}")
+    return folder
+
+
 def _event_stream(t: Tables):
-    return runs.stream_files(t.spark, t.folder, t.events.schema, "events.parquet")
+    """The events as a stream of several epochs."""
+    folder = _in_epochs(t, t.events, lambda part, path: part.coalesce(1).write.parquet(path))
+    return runs.stream_files(t.spark, f"{folder}/*", t.events.schema, "*.parquet", files_per_trigger=1)
+
+
+def _log_stream(t: Tables):
+    """The log as lines of text, in several epochs."""
+    def write(part, path: str) -> None:
+        line = F.concat_ws("\t", F.col("run").cast("string"), F.col("seq").cast("string"), F.col("line"))
+        log_lines_of(part).select(line.alias("value")).coalesce(1).write.text(path)
+
+    return runs.stream_log(t.spark, _in_epochs(t, t.events, write) + "/*", files_per_trigger=1)
 
 
 def _timed(events):
@@ -42,21 +70,21 @@ def progress_round(t: Tables):
 
 @register("stream_parse_markers", with_views(LOG_LINES, then="select run, seq, line, marker, payload from parsed"))
 def stream_parse_markers(t: Tables):
-    return runs.drain_append(runs.stream_parse_markers(log_lines_of(_event_stream(t))), "markers")
+    return runs.drain_append(runs.stream_parse_markers(_log_stream(t)), "markers")
 
 
 @register("stream_eval_metrics", with_views(LOG_LINES, then="""
     select run, arg_max(p, seq) payload, max(seq) seq from (select run, seq, split_part(trim(line), '__EVAL_METRICS__:', 2) p
       from log_lines where contains(line, '__EVAL_METRICS__:')) where json_valid(p) group by run"""))
 def stream_eval_metrics(t: Tables):
-    return runs.stream_eval_metrics(log_lines_of(_event_stream(t)))
+    return runs.stream_eval_metrics(_log_stream(t))
 
 
 @register("stream_last_progress", with_views(LOG_LINES, then="""
     select run, marker, arg_max(payload, seq) payload, max(seq) seq from parsed
     where marker in ('progress', 'final_metrics') group by run, marker"""))
 def stream_last_progress(t: Tables):
-    return runs.stream_last_progress(log_lines_of(_event_stream(t)))
+    return runs.stream_last_progress(_log_stream(t))
 
 
 @register("run_result", with_views(LOG_LINES, then="""
@@ -67,7 +95,7 @@ def stream_last_progress(t: Tables):
     left join (select run, bool_or(marker = 'complete') complete, arg_max(payload, seq) filter (marker = 'progress') last_progress,
       arg_max(payload, seq) filter (marker = 'final_metrics') final_metrics from parsed group by run) using (run)"""))
 def run_result(t: Tables):
-    parsed = runs.drain_append(runs.stream_parse_markers(log_lines_of(_event_stream(t))), "markers")
+    parsed = runs.drain_append(runs.stream_parse_markers(_log_stream(t)), "markers")
     return tm.run_result(parsed, t.exits())
 
 
@@ -218,9 +246,9 @@ def registry_lookup(t: Tables):
     return result
 
 
-@register("stage_timeline", with_views(STAGE_EVENTS, """spans as (select *, lead(ts) over (partition by version order by ts, seq) - ts span
-    from stage_events)""", then="select version, " + ", ".join(
-    f"min(ts) filter (stage = '{s}') {s}_at, coalesce(sum(span) filter (stage = '{s}'), 0)::bigint {s}_micros" for s in rg.STAGES
+@register("stage_timeline", with_views(*STATE, """spans as (select *, lead(ts) over (partition by version order by ts, seq) - ts span
+    from effective)""", then="select version, " + ", ".join(
+    f"max(ts) filter (stage = '{s}') {s}_at, coalesce(sum(span) filter (stage = '{s}'), 0)::bigint {s}_micros" for s in rg.STAGES
 ) + " from spans group by version"))
 def stage_timeline(t: Tables):
     return rg.stage_timeline(t.stage_events())

@@ -1,14 +1,14 @@
 """Sources, sinks and folds of the streaming jobs.
 
-State that outlives a micro-batch is either Spark's own state store or a small table per
-epoch in the shared folder. Every epoch writes to its own path in overwrite mode, so a
-repeated epoch replaces itself.
+State that outlives a micro-batch is either Spark's own state store or an ``EpochTable``
+in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from gradeflow.functions.clock import wall_micros
 from gradeflow.operators import registry
-from gradeflow.operators.ordering import with_position
+from gradeflow.operators.ordering import join_groups, with_position
 from gradeflow.operators.telemetry import EVAL_MARKERS, parse_marker
 from gradeflow.session import scratch_path
 
@@ -29,62 +29,124 @@ def stream_files(spark: SparkSession, folder: str, schema: T.StructType | str, g
     return reader.load(folder)
 
 
+def stream_log(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Lines of text ``run <tab> seq <tab> line`` as run, seq, line; other lines are left out."""
+    lines = stream_files(spark, folder, "value string", "*.txt", "text", files_per_trigger)
+    parts = F.split("value", "\t", 3)
+    return lines.where(F.size(parts) == 3).select(
+        parts[0].try_cast("long").alias("run"), parts[1].try_cast("long").alias("seq"), parts[2].alias("line"))
+
+
 def _start(writer, path: str):
     return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
+def _epochs(spark: SparkSession, folder: str) -> int:
+    """How many epochs have been written below ``folder``; only file names are read."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        newest = files.agg(F.max(F.regexp_extract("path", r"/epoch=(\d+)/", 1).cast("long"))).first()[0]
+    except AnalysisException:  # no epoch yet
+        return 0
+    return 0 if newest is None else newest + 1
+
+
 def drain_append(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Run until the source is empty; rows go to a parquet sink with exactly-once commit.
 
     With a ``path`` a later call goes on where the earlier one stopped (so do the others).
+    A source without rows gives an empty table.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
     _start(stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows"), path).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    except AnalysisException:
+        return spark.createDataFrame([], stream.schema)
+
+
+class EpochTable:
+    """A table kept as one small part per epoch, merged into a base every ``span`` epochs.
+
+    Writing epoch n costs its own part; reading it costs the last base and fewer than
+    ``span`` parts, however many epochs there were. Every path belongs to one epoch and is
+    overwritten, so a repeated epoch replaces itself.
+    """
+
+    def __init__(self, path: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame], span: int = 16):
+        self.path, self.schema, self.merge, self.span = path, schema, merge, span
+
+    def before(self, spark: SparkSession, epoch: int) -> DataFrame:
+        """The merged table after all epochs below ``epoch``."""
+        base = epoch // self.span * self.span
+        paths = [f"{self.path}/base/epoch={base - 1}"] if base else []
+        paths += [f"{self.path}/part/epoch={i}" for i in range(base, epoch)]
+        if not paths:
+            return spark.createDataFrame([], self.schema)
+        # the schema is given, and a folder name is no column of it
+        return self.merge(spark.read.schema(self.schema).parquet(*paths).select(*self.schema.names))
+
+    def write(self, part: DataFrame, epoch: int) -> None:
+        part.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/part/epoch={epoch}")
+        if (epoch + 1) % self.span == 0:
+            spark = part.sparkSession
+            base = epoch // self.span * self.span
+            paths = [f"{self.path}/base/epoch={base - 1}"] if base else []
+            paths += [f"{self.path}/part/epoch={i}" for i in range(base, epoch + 1)]
+            merged = self.merge(spark.read.schema(self.schema).parquet(*paths).select(*self.schema.names))
+            merged.write.mode("overwrite").parquet(f"{self.path}/base/epoch={epoch}")
+
+    def whole(self, spark: SparkSession) -> DataFrame:
+        return self.before(spark, _epochs(spark, f"{self.path}/part"))
 
 
 def drain_update(stream: DataFrame, name: str, keys: Sequence[str], path: str | None = None) -> DataFrame:
     """Update mode: each epoch writes its changed rows; the newest epoch wins per key."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
+    rest = [c for c in stream.columns if c not in keys]
+    schema = T.StructType([*stream.schema.fields, T.StructField("_epoch", T.LongType())])
+
+    def newest(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest, "_epoch"), "_epoch").alias("_r"))
+        return last.select(*keys, "_r.*").select(*schema.names)
+
+    table = EpochTable(f"{path}/rows", schema, newest)
 
     def store(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        table.write(rows.withColumn("_epoch", F.lit(epoch).cast("long")), epoch)
 
     _start(stream.writeStream.outputMode("update").foreachBatch(store), path).awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
-    rows = spark.read.schema(schema).parquet(f"{path}/rows")
-    rest = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
+    return table.whole(spark).select(*stream.columns)
 
 
 def fold_epochs(stream: DataFrame, name: str,
-                step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
-                path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Drain with a state table: ``step(rows, state)`` returns (output rows, next state).
+                step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+                merge: Callable[[DataFrame], DataFrame], state: T.StructType, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drain with a state table: ``step(rows, state before)`` returns (output rows, change of the state).
 
-    Gives back (all output, last state). State of epoch n is read only by epoch n + 1, so
-    older state folders may be removed at any time.
+    ``merge`` turns the changes of several epochs into one state of the given schema. Gives
+    back (all output, last state); a source without rows gives empty tables.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
+    table = EpochTable(f"{path}/state", state, merge)
 
     def run(rows: DataFrame, epoch: int) -> None:
-        state = rows.sparkSession.read.parquet(f"{path}/state/epoch={epoch - 1}") if epoch > 0 else None
         rows.persist()  # the step reads the epoch's rows several times
         try:
-            out, following = step(rows, state)
+            out, change = step(rows, table.before(rows.sparkSession, epoch))
             out.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
-            following.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+            table.write(change, epoch)
         finally:
             rows.unpersist()
 
     _start(stream.writeStream.foreachBatch(run), path).awaitTermination()
-    states = spark.read.parquet(f"{path}/state")
-    newest = states.agg(F.max("epoch")).first()[0]
-    state = spark.read.parquet(f"{path}/state/epoch={newest}")
-    return spark.read.parquet(f"{path}/rows").drop("epoch"), state
+    last = table.whole(spark)
+    if not _epochs(spark, f"{path}/rows"):
+        return step(spark.createDataFrame([], stream.schema), last)[0], last
+    return spark.read.parquet(f"{path}/rows").drop("epoch"), last
 
 
 def as_instant(ts: Column | str) -> Column:
@@ -121,19 +183,19 @@ def stream_metric_log(series: DataFrame, path: str | None = None) -> DataFrame:
     Inside an epoch rows are positioned by (ts, seq) over ranges; the count per run of the
     earlier epochs is the starting point. Epochs are taken in arrival order.
     """
-    def number(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        counts = rows.groupBy("run").agg(F.count("*").alias("n"))
+    def number(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         placed = with_position(rows, ["ts", "seq"], by=["run"], name="_at")
-        if state is None:
-            return placed.withColumn("step", F.col("_at") + 1).drop("_at"), counts
-        before = state.withColumnRenamed("n", "_before")
-        out = placed.join(before, "run", "left").withColumn(
-            "step", F.coalesce("_before", F.lit(0)) + F.col("_at") + 1
-        ).drop("_at", "_before")
-        total = state.unionByName(counts).groupBy("run").agg(F.sum("n").alias("n"))
-        return out, total
+        counts = rows.groupBy("run").agg(F.count("*").alias("n"))
+        # a row per run of the epoch
+        before = counts.select("run").join(state, "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("_before"))
+        out = join_groups(placed, before, ["run"]).withColumn("step", F.col("_before") + F.col("_at") + 1)
+        return out.drop("_at", "_before"), counts
 
-    return fold_epochs(series, "metric_log", number, path)[0]
+    def total(changes: DataFrame) -> DataFrame:
+        return changes.groupBy("run").agg(F.sum("n").alias("n"))
+
+    kind = T.StructType([series.schema["run"], T.StructField("n", T.LongType())])
+    return fold_epochs(series, "metric_log", number, total, kind, path)[0]
 
 
 def stream_best_metric(series: DataFrame, path: str | None = None) -> DataFrame:
@@ -196,10 +258,6 @@ def weekly_cycle(events: DataFrame) -> DataFrame:
 
 def stream_registry_state(events: DataFrame, path: str | None = None) -> DataFrame:
     """Registry state after the drain; each epoch folds its events into a compact snapshot."""
-    def fold(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = rows.select("version", "ts", "seq", "stage")
-        merged = rows if state is None else state.unionByName(rows)
-        return rows, registry.compact(merged)
-
-    _, snapshot = fold_epochs(events.select("version", "ts", "seq", "stage"), "registry", fold, path)
+    rows = events.select("version", "ts", "seq", "stage")
+    _, snapshot = fold_epochs(rows, "registry", lambda new, state: (new, registry.compact_part(new)), registry.compact, rows.schema, path)
     return registry.registry_state(snapshot)

@@ -89,6 +89,33 @@ def test_health_flags(spark):
     assert (got[2].rising, got[2].unstable, got[2].has_nan) == (True, True, True)
 
 
+def test_width_of_health_checks(spark):
+    _, df = series(spark)
+    with pytest.raises(ValueError, match="width"):
+        tm.run_health_checks(df, width=2)
+
+
+def test_hot_runs_are_never_whole_in_a_task(spark):
+    """Between a join with figures of a run and the next aggregate on it stands a partial aggregate and an exchange."""
+    _, df = series(spark)
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        steps = tm.step_log(df)
+        losses = steps.select("run", "step", F.col("value").alias("loss"))
+        for out in (tm.checkpoint_select(losses), tm.run_health_checks(df), tm.best_metric(steps)):
+            lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+            top = next(i for i, line in enumerate(lines) if "Aggregate" in line)
+            assert "Exchange" in lines[top + 1] + lines[top + 2], lines[:6]
+            assert "partial_" in "".join(lines[top + 1 : top + 5])
+            join = next(line for line in lines if "SortMergeJoin" in line)
+            assert "_salt" in join
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
 def test_frames_on_overlapping_blocks(spark):
     from pyspark.sql import Window as W
 
@@ -157,6 +184,74 @@ def test_stream_registry(spark, tmp_path):
     same(runs.stream_registry_state(stream_of(spark, df, tmp_path, 4, "seq")), rg.registry_state(df))
 
 
+@pytest.mark.parametrize("seed, parts", [(2, 9), (3, 20)])
+def test_stream_registry_over_merged_epochs(spark, tmp_path, monkeypatch, seed, parts):
+    """More epochs than one base holds; an epoch may hold several productions of one version."""
+    monkeypatch.setattr(runs.EpochTable.__init__, "__defaults__", (4,))
+    rows = [(v, s if i % 2 else "production", t, q) for i, (v, s, t, q) in enumerate(events(seed, n=100))]
+    df = spark.createDataFrame(rows, "version long, stage string, ts long, seq long")
+    got = runs.stream_registry_state(stream_of(spark, df, tmp_path, parts, "seq"))
+    assert {r.version: (r.stage, r.changed_at, r.is_current) for r in got.collect()} == plain_state(rows)
+
+
+def test_stream_goes_on_at_its_path(spark, tmp_path):
+    _, df = series(spark)
+    stream = stream_of(spark, df, tmp_path, 3, "seq")
+    path = str(tmp_path / "job")
+    for _ in range(2):
+        same(runs.stream_metric_log(stream, path).select("run", "seq", "step"), tm.step_log(df).select("run", "seq", "step"))
+        got = runs.stream_best_metric(stream, path + "-best")
+    assert got.count() == df.select("run", "metric").distinct().count()
+
+
+def test_streams_without_rows(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    read = lambda schema: runs.stream_files(spark, str(tmp_path / "none"), schema, "*.parquet")
+    lines = "run long, seq long, line string"
+    for out in (runs.drain_append(runs.stream_parse_markers(read(lines)), "markers"), runs.stream_last_progress(read(lines)),
+                runs.stream_eval_metrics(read(lines)), runs.stream_metric_log(read(SERIES)), runs.stream_best_metric(read(SERIES)),
+                runs.stream_registry_state(read("version long, stage string, ts long, seq long")),
+                runs.daily_health(read("event_type string, value double, at timestamp")),
+                runs.weekly_cycle(read("event_type string, value double, at timestamp")),
+                runs.stream_feedback_dedup(read("user_id long, event_type string, at timestamp"))):
+        assert out.columns and out.count() == 0
+
+
+def test_log_of_text_lines(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.txt").write_text('1\t5\t__PROGRESS__:{"step": 1}\nno tabs\n1\t6\tx\ty\n')
+    got = runs.drain_append(runs.stream_log(spark, str(tmp_path / "log")), "log").collect()
+    assert sorted(map(tuple, got)) == [(1, 5, '__PROGRESS__:{"step": 1}'), (1, 6, "x\ty")]
+
+
+def plain_timeline(rows):
+    """Replay with one stamp per stage, overwritten at each move."""
+    at, spent, stage, since, current = {}, {}, {}, {}, None
+
+    def move(v, s, ts):
+        if v in stage:
+            spent.setdefault(v, {}).setdefault(stage[v], 0)
+            spent[v][stage[v]] += ts - since[v]
+        stage[v], since[v] = s, ts
+        at.setdefault(v, {})[s] = ts
+
+    for v, s, ts, seq in sorted(rows, key=lambda e: (e[2], e[3])):
+        if s == "production":
+            if current is not None and current != v:
+                move(current, "retired", ts)
+            current = v
+        move(v, s, ts)
+    return {v: [(at[v].get(s), spent.get(v, {}).get(s, 0)) for s in rg.STAGES] for v in stage}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_timeline_equals_replay(spark, seed):
+    rows = events(seed)
+    df = spark.createDataFrame(rows, "version long, stage string, ts long, seq long")
+    got = {r.version: [(r[f"{s}_at"], r[f"{s}_micros"]) for s in rg.STAGES] for r in rg.stage_timeline(df).collect()}
+    assert got == plain_timeline(rows)
+
+
 def test_stream_feedback_dedup_over_epochs(spark, tmp_path):
     df = spark.createDataFrame([(i % 3, "view", 1_700_000_000 + 20 * (i % 40), i) for i in range(80)],
                                "user_id long, event_type string, s long, i long").withColumn("at", F.timestamp_seconds("s"))
