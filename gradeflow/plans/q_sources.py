@@ -41,7 +41,7 @@ def read_dataset(t: Tables):
     docs.write.parquet(f"{root}/docs.parquet")
     merged = None
     for kind in ("json", "jsonl", "csv", "parquet"):
-        back = readers.read_dataset(t.spark, f"{root}/docs.{kind}", DOC_SCHEMA).select(
+        back = readers.read_dataset(t.spark, f"{root}/docs.{kind}", DOC_SCHEMA, multi_line=True).select(
             F.lit(kind).alias("kind"), "doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_hash")
         )
         merged = back if merged is None else merged.unionByName(back)
@@ -63,16 +63,17 @@ def read_text_tsv(t: Tables):
 
 
 def _payload_file(t: Tables) -> str:
-    """Metric payloads of the log as a JSON-lines folder, with blank and cut lines."""
+    """Metric payloads of the log as JSON-lines files ``part=<run modulo 4>``, with blank and cut lines."""
     path = scratch_path(t.spark, "payloads")
     payload = F.when(F.trim("line") == "", F.col("line")).otherwise(F.regexp_extract("line", r"__:(\{.*)$", 1))
     lines = t.log_lines().where("trim(line) = '' or line rlike '^__(FINAL|BASELINE|EVAL)_METRICS__:'")
-    lines.select(payload.alias("value")).write.text(path)
+    parts = lines.select((F.col("run") % 4).alias("part"), payload.alias("value")).repartition(4, "part")
+    parts.write.partitionBy("part").text(path)
     return path
 
 
 PAYLOADS = LOG_LINES + """,
-payloads as (select trim(regexp_extract(line, '__:(\\{.*)$', 1)) p from log_lines
+payloads as (select run % 4 part, trim(regexp_extract(line, '__:(\\{.*)$', 1)) p from log_lines
   where trim(line) = '' or regexp_matches(line, '^__(FINAL|BASELINE|EVAL)_METRICS__:'))"""
 
 
@@ -96,16 +97,23 @@ def read_jsonl_strict(t: Tables):
     return back.select("doc_id", "n_chars", F.md5("text").alias("text_hash"))
 
 
-@register("count_jsonl", with_views(PAYLOADS, then="select count(*) records from payloads where p <> ''"))
+@register("count_jsonl", with_views(PAYLOADS, then="select part, count(*) filter (p <> '') records from payloads group by part"))
 def count_jsonl(t: Tables):
-    return readers.count_jsonl(t.spark, _payload_file(t)).agg(F.sum("records").alias("records"))
+    """One row per file."""
+    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part")
+    return readers.count_jsonl(t.spark, _payload_file(t)).select(part, "records")
 
 
 @register("indexed_scan", """
-    select row_number() over (order by o_orderkey) - 1 id, o_orderkey, o_orderpriority from orders""")
+    select o_custkey % 8 part, row_number() over (partition by o_custkey % 8 order by o_orderkey) - 1 id, o_orderkey, o_orderpriority from orders""")
 def indexed_scan(t: Tables):
-    placed = with_position(t.orders.select("o_orderkey", "o_orderpriority"), ["o_orderkey"], name="id")
-    return placed.withColumn("id", F.col("id").cast("long"))
+    """Orders in eight files; the id is the place of the row in its file."""
+    path = scratch_path(t.spark, "indexed")
+    rows = t.orders.select((F.col("o_custkey") % 8).alias("part"), "o_orderkey", "o_orderpriority")
+    rows.repartition(8, "part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").json(path)
+    scan = t.spark.read.schema("o_orderkey long, o_orderpriority string, part long").json(path)
+    placed = readers.indexed_scan(scan.select("*", "_metadata"))
+    return placed.select("part", F.col("id").cast("long").alias("id"), "o_orderkey", "o_orderpriority")
 
 
 @register("write_jsonl", "select conv_id, turn, role, md5(text) text_hash from conversations")
@@ -166,51 +174,94 @@ def write_eval_details(t: Tables):
     return six(back, "exact_match")
 
 
-@register("dataset_manifest", with_views(*SPLITS, then="""
-    select 'v1' as version, 'conversations' as source, 'general' weakness_target, 'alpaca' format, split, count(*) records,
-      (select count(*) from pairs) total_records, true size_adds_up from splits group by split"""))
+MANIFEST_LINE = '{"pair_id":,"h":""}\n'
+
+
+@register("dataset_manifest", with_views(*SPLITS, f"""sized as (select split, count(*) records,
+    round(sum({len(MANIFEST_LINE)} + length(cast(pair_id as varchar)) + 32) / 1048576.0::double, 2) size_mb from splits group by split)""", then="""
+    select 'v1' as version, 'conversations' as source, 'general' weakness_target, 'alpaca' format, split, concat('split=', split) as path, records, size_mb,
+      (select sum(records)::bigint from sized) total_records, (select round(sum(size_mb), 2) from sized) total_size_mb from sized"""))
 def dataset_manifest(t: Tables):
+    """Pairs of known length as JSON lines, so that sizes follow from the rows."""
     path = scratch_path(t.spark, "manifest")
-    writers.write_split_dataset(exact_split(t.pairs(), "pair_id"), path)
+    short = exact_split(t.pairs().select("pair_id", F.md5(F.coalesce("output", F.lit(""))).alias("h")), "pair_id")
+    writers.write_split_dataset(short, path)
     manifest = inventory.dataset_manifest(t.spark, path, "v1", "conversations")
-    sizes = F.aggregate(F.map_values("files"), F.lit(0.0), lambda a, f: a + f["size_mb"])
     return manifest.select(
-        "version", "source", "weakness_target", "format", F.explode("files").alias("split", "f"), "total_records",
-        ((F.col("total_size_mb") > 0) & (F.abs(F.col("total_size_mb") - sizes) < 0.005)).alias("size_adds_up"),
-    ).select("version", "source", "weakness_target", "format", "split", "f.records", "total_records", "size_adds_up")
+        "version", "source", "weakness_target", "format", F.explode("files").alias("split", "f"), "total_records", "total_size_mb",
+    ).select("version", "source", "weakness_target", "format", "split", "f.path", "f.records", "f.size_mb", "total_records", "total_size_mb")
 
 
 @register("artifact_inventory", """
-    select distinct concat('lang=', lang, '/source=', source) dir, true has_files, true has_bytes from documents""")
+    select concat('lang=', lang, '/source=', source) dir, 1::bigint n_files, round(sum(strlen(text) + 1) / 1048576.0::double, 2) total_mb
+    from (select lang, source, replace(text, chr(10), ' ') as text from documents) group by lang, source""")
 def artifact_inventory(t: Tables):
+    """One file per language and source with a line per document."""
     path = scratch_path(t.spark, "artifacts")
-    t.documents.write.partitionBy("lang", "source").parquet(path)
-    found = inventory.artifact_inventory(t.spark, path, "*.parquet")
-    # file counts and sizes depend on the number of write tasks
-    return found.select(
-        F.regexp_extract("dir", r"(lang=.*)$", 1).alias("dir"),
-        (F.col("n_files") >= 1).alias("has_files"), (F.col("total_mb") >= 0).alias("has_bytes"),
-    )
+    lines = t.documents.select("lang", "source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    lines.repartition(16, "lang", "source").write.partitionBy("lang", "source").text(path)
+    found = inventory.artifact_inventory(t.spark, path, "*.txt")
+    return found.select(F.regexp_extract("dir", r"(lang=.*)$", 1).alias("dir"), "n_files", "total_mb")
+
+
+# columns of the catalog entries: whole numbers and short texts, whose JSON is the same on every engine
+PROFILED = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"], "part": ["p_partkey", "p_name", "p_brand", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderpriority"], "events": ["event_id", "user_id", "event_type"],
+    "documents": ["doc_id", "lang", "source", "n_chars"], "embeddings": ["vec_id", "label"], "pages": ["page_id", "url"],
+    "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role"],
+}
 
 
-COLUMNS_SQL = " union all ".join(
-    f"select '{n}' as name, '.parquet' extension, (select count(*) from {n}) record_count, "
-    f"(select count(*) from information_schema.columns where table_name = '{n}') n_columns, "
-    f"(select least(3, count(*)) from {n}) n_samples" for n in CATALOG
-)
+def _profile_sql(name: str) -> str:
+    columns, key = PROFILED[name], ", ".join(CATALOG[name])
+    return f"""select '{name}.parquet' as name, '.parquet' extension, (select count(*) from {name}) record_count, '{','.join(columns)}' as columns,
+      (select string_agg(j, chr(10) order by rn) from (select to_json(struct_pack({', '.join(f'{c} := {c}' for c in columns)}))::varchar j,
+        row_number() over (order by {key}) rn from {name}) where rn <= 3) samples"""
 
 
-@register("catalog_profile", COLUMNS_SQL)
+@register("catalog_profile", " union all ".join(map(_profile_sql, PROFILED)))
 def catalog_profile(t: Tables):
     profiles = None
-    for name, key in CATALOG.items():
-        one = inventory.profile_table(getattr(t, name), f"{name}.parquet", ".parquet", key)
+    for name, columns in PROFILED.items():
+        one = inventory.profile_table(getattr(t, name).select(*columns), f"{name}.parquet", ".parquet", CATALOG[name])
         profiles = one if profiles is None else profiles.unionByName(one)
-    return profiles.select(
-        F.split_part("name", F.lit("."), F.lit(1)).alias("name"), "extension", "record_count",
-        F.size(F.split("columns", ",")).cast("long").alias("n_columns"),
-        F.size(F.split("samples", "\n")).cast("long").alias("n_samples"),
-    )
+    return profiles.select("name", "extension", "record_count", "columns", "samples")
+
+
+SEARCHED = {"nation": "csv", "part": "tsv", "supplier": "txt", "customer": "parquet", "region": "csv"}
+SEARCH_TOPIC = "region brand customer japan supplier"
+
+
+def _search_sql(name: str) -> str:
+    """One entry of the search: its samples are the first three records in the order of the key."""
+    columns, key, kind = PROFILED[name], CATALOG[name][0], SEARCHED[name]
+    shown = "concat_ws(' ', " + ", ".join(f"{c}::varchar" for c in columns) + ")"
+    named = ["text"] if kind == "txt" else columns
+    return f"""select '{name}' as name, '.{kind}' extension, (select count(*) from {name}) record_count, '{','.join(named)}' as columns,
+      lower(concat_ws(' ', '{' '.join(named)}', (select string_agg({shown}, ' ') from (select * from {name} order by {key} limit 3)))) hay"""
+
+
+@register("catalog_search", f"""
+    select name, extension, record_count, columns, {' + '.join(f"contains(hay, '{w}')::int" for w in SEARCH_TOPIC.split())} relevance
+    from ({' union all '.join(map(_search_sql, SEARCHED))})""")
+def catalog_search(t: Tables):
+    """Tables written as files of several kinds, found again by topic; the folder names the table."""
+    root = scratch_path(t.spark, "catalog")
+    for name, kind in SEARCHED.items():
+        columns, key, path = PROFILED[name], CATALOG[name][0], f"{root}/{name}"
+        # one small file per table in the order of its key
+        rows = getattr(t, name).select(*columns).repartitionByRange(1, key).sortWithinPartitions(key)
+        if kind == "parquet":
+            rows.write.parquet(path)
+        elif kind == "txt":
+            rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value")).write.text(path)
+        else:
+            sep = "\t" if kind == "tsv" else ","
+            rows.write.option("header", True).option("sep", sep).option("extension", kind).csv(path)
+    found = inventory.scan_catalog(t.spark, root, SEARCH_TOPIC)
+    return found.select(F.regexp_extract("dir", "([^/]*)$", 1).alias("name"), "extension", "record_count", "columns", "relevance")
 
 
 @register("workspace_status", with_views(*SPLITS, then="""

@@ -11,17 +11,12 @@ from pyspark.sql import functions as F
 from gradeflow.functions.clock import wall_micros
 from gradeflow.functions.prompts import dataset_tag
 from gradeflow.operators.layout import last_by_role
-from gradeflow.sources.readers import read_spread
 
 TOPIC = "the ration tion de"
 CUT_DAY = "2024-01-16"
 SUBMISSION_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-# text tables, whose per-row work is heavy: spread over the cores if the files are small
-SPREAD = {"documents": ["doc_id"], "conversations": ["conv_id"], "pages": ["page_id"]}
-
-
 class Tables:
     """Attribute access to the parquet tables of one folder, and the views on them."""
 
@@ -33,10 +28,7 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._read:
-            path = f"{self.folder}/{name}.parquet"
-            self._read[name] = (
-                read_spread(self.spark, path, SPREAD[name]) if name in SPREAD else self.spark.read.parquet(path)
-            )
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
     # grading

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeflow.functions.text import keyword_hits, text_of
-from gradeflow.operators.ordering import beside, head_limit
-from gradeflow.sources.readers import CATALOG_SUFFIXES, CORRUPT, count_jsonl, read_dataset
+from gradeflow.functions.text import is_blank, is_json, keyword_hits, text_of
+from gradeflow.operators.ordering import beside, head_limit, top_per_group
+from gradeflow.session import materialize, scratch_path
+from gradeflow.sources.readers import CATALOG_SUFFIXES, count_jsonl
 
 MB = 1024 * 1024
 
@@ -94,34 +99,112 @@ def failed_profile(spark: SparkSession, name: str, suffix: str, error: Exception
     )
 
 
-def profile_file(spark: SparkSession, path: str, size_bytes: int) -> DataFrame:
-    """Catalog entry of one file by its suffix; samples are its first three records."""
-    name, suffix = path.rsplit("/", 1)[-1], "." + path.rsplit(".", 1)[-1].lower()
-    try:
-        df = read_dataset(spark, path, accept=CATALOG_SUFFIXES)
-        if df.columns == [CORRUPT]:
-            raise ValueError("no readable record")
-    except (AnalysisException, ValueError) as e:
-        return failed_profile(spark, name, suffix, e)
-    placed = df.select(
-        "*", F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_seen")
+PROFILE = T.StructType([T.StructField(n, T.StringType()) for n in ("columns", "samples", "error")])
+
+
+@F.pandas_udf(PROFILE)
+def _describe(suffix: pd.Series, lines: pd.Series) -> pd.DataFrame:
+    """Columns and sample records (JSON, one per line) from the first four lines of a file at most."""
+    rows = []
+    for kind, text in zip(suffix, lines):
+        try:
+            rows.append((*_first_records(kind, [] if text is None else list(text)), None))
+        except (ValueError, csv.Error) as e:
+            rows.append((None, None, str(e)))
+    return pd.DataFrame(rows, columns=["columns", "samples", "error"])
+
+
+def _first_records(kind: str, lines: list[str]) -> tuple[str | None, str]:
+    write = lambda records: "\n".join(json.dumps(r, ensure_ascii=False) for r in records)
+    if kind == ".txt":
+        return "text", write({"text": t.strip()} for t in lines[:3])
+    if kind == ".jsonl":
+        records = [json.loads(t) for t in lines[:3] if t.strip()]
+        return ",".join(records[0]) if records and isinstance(records[0], dict) else None, write(records)
+    reader = csv.DictReader(lines, delimiter="\t" if kind == ".tsv" else ",")
+    return ",".join(reader.fieldnames or []), write(list(reader)[:3])
+
+
+def _suffix(name: str) -> Column:
+    return F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
+
+
+def _line_profiles(spark: SparkSession, root: str) -> DataFrame:
+    """Profiles of all line files in one pass: lines are counted, and four of each file travel."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,csv,tsv,txt}").text(root).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("seen"), text_of("value").alias("line"))
+    kind = _suffix("path").alias("extension")
+    counts = lines.groupBy("path").agg(F.count("*").alias("lines"), F.count_if(~is_blank("line")).alias("filled"))
+    # blank lines are no records
+    shown = lines.where((_suffix("path") != ".jsonl") | ~is_blank("line"))
+    head = top_per_group(shown, ["path"], ["at", "seen"], 4).groupBy("path").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("head"))
+    found = counts.join(head, "path", "left").select("path", kind, "lines", "filled", _describe(kind, "head").alias("p"))
+    records = (
+        F.when(F.col("p.error").isNotNull(), None).when(F.col("extension") == ".jsonl", F.col("filled"))
+        .when(F.col("extension") == ".txt", F.col("lines")).otherwise(F.col("lines") - 1)
     )
-    return profile_table(placed, name, suffix, ["_split", "_seen"], size_bytes, df.columns)
+    return found.select("path", records.alias("record_count"), "p.columns", "p.error", "p.samples")
+
+
+def _document_profiles(spark: SparkSession, root: str) -> DataFrame:
+    """Profiles of JSON documents: an array of records, or one object."""
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(root)
+    text = F.trim("value")
+    records = F.json_array_length(text)
+    first = F.coalesce(F.get_json_object(text, "$[0]"), F.when(F.substring(text, 1, 1) == "{", text))
+    keys = F.json_object_keys(first)
+    fine = is_json(text)
+    samples = F.array_compact(F.array(*[F.get_json_object(text, f"$[{i}]") for i in range(3)]))
+    return whole.select(
+        F.col("_metadata.file_path").alias("path"), F.when(fine, records).cast("long").alias("record_count"),
+        F.when(fine, F.array_join(keys, ",")).alias("columns"), F.when(~fine, "not readable as JSON").alias("error"),
+        F.when(fine, F.array_join(samples, "\n")).alias("samples"))
+
+
+def _table_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of the parquet files of one folder, which share a schema."""
+    try:
+        df = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(folder)
+        rows = df.select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), F.to_json(F.struct("*")).alias("json"))
+        counts = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("record_count"))
+        head = rows.where("at < 3").groupBy("path").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "json"))), lambda x: x["json"]), "\n").alias("samples"))
+        return counts.join(head, "path", "left").select(
+            "path", "record_count", F.lit(",".join(df.columns)).alias("columns"), F.lit(None).cast("string").alias("error"), "samples")
+    except AnalysisException as e:
+        return spark.createDataFrame([(folder, None, None, str(e), None)], "path string, record_count long, columns string, error string, samples string")
 
 
 def scan_catalog(spark: SparkSession, root: str, topic: str) -> DataFrame:
-    """All data files below ``root``, most relevant to the topic first.
+    """All data files below ``root``, most relevant to the topic first; hidden files and other suffixes are left out.
 
-    One small job per file; hidden files and other suffixes are left out.
+    Line files and JSON documents are profiled in one job each, parquet files in one per
+    folder; profiles go to a table as they come, so the plan does not grow with the files.
     """
-    suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    files = artifact_files(spark, root).where(suffix.isin(*CATALOG_SUFFIXES)).orderBy("path").collect()
-    if not files:
+    files = artifact_files(spark, root).withColumn("extension", _suffix("name")).where(F.col("extension").isin(*CATALOG_SUFFIXES))
+    files = materialize(files, "files")
+    if files.isEmpty():
         raise ValueError(f"no data files below {root}")
-    profiles = None
-    for f in files:
-        one = profile_file(spark, f["path"], f["bytes"])
-        profiles = one if profiles is None else profiles.unionByName(one)
+    path = scratch_path(spark, "profiles")
+    here = lambda *kinds: not files.where(F.col("extension").isin(*kinds)).isEmpty()
+    store = lambda profiles: profiles.write.mode("append").parquet(path)
+    if here(".jsonl", ".csv", ".tsv", ".txt"):
+        store(_line_profiles(spark, root))
+    if here(".json"):
+        store(_document_profiles(spark, root))
+    for row in files.where("extension = '.parquet'").select("dir").distinct().toLocalIterator():
+        store(_table_profiles(spark, row["dir"]))
+    kinds = "path string, record_count long, columns string, error string, samples string"
+    # both listings name a file alike but for how they write the scheme
+    place = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    found = spark.read.schema(kinds).parquet(path).withColumn("_place", place(F.col("path"))).drop("path")
+    placed = files.withColumn("_place", place(F.col("path")))
+    profiles = placed.join(found, "_place", "left").select(
+        "dir", "name", "extension", F.round(F.col("bytes") / MB, 2).alias("size_mb"), F.coalesce("record_count", F.when(
+            F.col("extension").isin(".jsonl", ".txt") & (F.col("bytes") == 0), 0)).alias("record_count"), "columns", "error", "samples")
     return rank_by_relevance(profile_relevance(profiles, topic))
 
 

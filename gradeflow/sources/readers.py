@@ -20,11 +20,12 @@ CATALOG_SUFFIXES = (".jsonl", ".json", ".csv", ".parquet", ".txt", ".tsv")
 
 def read_dataset(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-    suffix: str | None = None, accept: Sequence[str] = DATASET_SUFFIXES,
+    suffix: str | None = None, accept: Sequence[str] = DATASET_SUFFIXES, multi_line: bool = False,
 ) -> DataFrame:
     """Read by file suffix; an unknown suffix or a missing path raises.
 
     ``suffix`` names the format of a folder. Give a schema to skip the inference pass.
+    ``multi_line`` allows quoted line breaks in CSV and TSV files (see ``read_csv``).
     """
     kind = (suffix or PurePosixPath(path).suffix).lower()
     if kind not in accept:
@@ -37,34 +38,22 @@ def read_dataset(
     if kind == ".jsonl":
         return reader.json(path)
     if kind == ".csv":
-        return read_csv(spark, path, ",", schema)
+        return read_csv(spark, path, ",", schema, multi_line)
     if kind == ".tsv":
-        return read_csv(spark, path, "\t", schema)
+        return read_csv(spark, path, "\t", schema, multi_line)
     if kind == ".parquet":
         return reader.parquet(path)
     return read_lines(spark, path)
 
 
-def read_spread(spark: SparkSession, path: str, key: Sequence[str], bytes_per_task: int = 128 << 20) -> DataFrame:
-    """Parquet scan; rows of files too small to occupy every core are spread by ``key``.
-
-    A file with one row group is read by one task, whatever the cores. Data of ordinary size
-    (``bytes_per_task`` for each core and more) is never reshuffled.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(cores, *key) if size < cores * bytes_per_task else df
-
-
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Header line and RFC quotes; without a schema all columns are strings.
 
-    ``multi_line`` allows quoted line breaks, at the price of one task per file. Turn it off
-    for large files without such breaks, and Spark splits them.
+    Files are split among tasks. ``multi_line`` allows quoted line breaks, at the price of
+    one task per file.
     """
     reader = (
         spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)

@@ -27,7 +27,7 @@ def test_every_suffix(spark, tmp_path):
     put(tmp_path, "d.csv", 'a,b\n1,x\n2,"q ""z"", é\nnew"\n')
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "d.parquet"))
     for kind in ("json", "jsonl", "csv", "parquet"):
-        got = rd.read_dataset(spark, str(tmp_path / f"d.{kind}"), SCHEMA).orderBy("a").collect()
+        got = rd.read_dataset(spark, str(tmp_path / f"d.{kind}"), SCHEMA, multi_line=True).orderBy("a").collect()
         assert [tuple(r) for r in got] == rows, kind
     put(tmp_path, "d.tsv", "a\tb\n1\tx\n")
     assert rd.read_dataset(spark, str(tmp_path / "d.tsv"), SCHEMA, accept=rd.CATALOG_SUFFIXES).count() == 1
@@ -38,6 +38,21 @@ def test_every_suffix(spark, tmp_path):
         rd.read_dataset(spark, str(tmp_path / "absent.parquet"))
 
 
+def test_csv_files_are_split_by_default(spark, tmp_path):
+    put(tmp_path, "big.csv", "a,b\n" + "".join(f"{i},row {i}\n" for i in range(3000)))
+    put(tmp_path, "big.tsv", "a\tb\n" + "".join(f"{i}\trow {i}\n" for i in range(3000)))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        for name in ("big.csv", "big.tsv"):
+            path = str(tmp_path / name)
+            split = rd.read_dataset(spark, path, SCHEMA, accept=rd.CATALOG_SUFFIXES)
+            assert split.rdd.getNumPartitions() > 3 and split.count() == 3000
+            assert rd.read_dataset(spark, path, SCHEMA, accept=rd.CATALOG_SUFFIXES, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
 def test_json_lines_tolerant_and_strict(spark, tmp_path):
     path = put(tmp_path, "x.jsonl", '{"a": 1, "b": "u"}\n\n   \n{"a": 2\n{"a": 3} tail\n{"b": null}\n')
     good, bad = rd.read_jsonl_tolerant(spark, path, SCHEMA)
@@ -123,13 +138,6 @@ def test_shared_folder_is_the_configured_one(spark, tmp_path):
     assert df.count() == 5 and df.columns == ["id"]
 
 
-def test_small_files_are_spread_and_large_ones_are_not(spark, tmp_path):
-    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "s"))
-    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert "Repartition" in plan(rd.read_spread(spark, str(tmp_path / "s"), ["id"]))
-    assert "Repartition" not in plan(rd.read_spread(spark, str(tmp_path / "s"), ["id"], bytes_per_task=1))
-
-
 def test_catalog_of_a_folder(spark, tmp_path):
     put(tmp_path, "c/math_quiz.jsonl", '{"q": "one"}\n{"q": "two"}\n\n{"q": "three"}\n{"q": "four"}\n')
     put(tmp_path, "c/sub/list.json", json.dumps([{"a": i} for i in range(5)]))
@@ -141,9 +149,10 @@ def test_catalog_of_a_folder(spark, tmp_path):
     put(tmp_path, "c/readme.md", "math")
     spark.range(7).coalesce(1).write.parquet(str(tmp_path / "c" / "p"))
     rows = inv.scan_catalog(spark, str(tmp_path / "c"), "math quiz").collect()
+    # the records of a table file with a header are its lines after that
     got = {r.name if not r.name.startswith("part-") else "part": (r.record_count, r["columns"], r.relevance) for r in rows}
     assert got == {
-        "math_quiz.jsonl": (4, "q", 2), "list.json": (5, "a", 0), "t.csv": (2, "math,b", 1), "u.tsv": (1, "k,v", 0),
+        "math_quiz.jsonl": (4, "q", 2), "list.json": (5, "a", 0), "t.csv": (3, "math,b", 1), "u.tsv": (1, "k,v", 0),
         "notes.txt": (2, "text", 0), "broken.json": (None, None, 0), "part": (7, "id", 0),
     }
     assert rows[0].name == "math_quiz.jsonl" and rows[-1].name == "broken.json" and rows[-1].error
