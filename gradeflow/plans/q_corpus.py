@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeflow.operators import corpus as co
-from gradeflow.operators import layout as lay
-from gradeflow.operators.contamination import small_side
-from gradeflow.operators.ordering import exact_split, seeded_sample
+from gradeflow.operators.ordering import exact_split
 from gradeflow.plans.catalog import register, six
 from gradeflow.plans.views import TOPIC, Tables
-from gradeflow.plans.views_sql import FIRSTS, FLAGGED, QUALITY, r6, split, with_views, words, TENTH
-from gradeflow.functions.text import WS, word_count
+from gradeflow.plans.views_sql import FIRSTS, FLAGGED, QUALITY, r6, split, strip, with_views, words, TENTH
+from gradeflow.functions.text import WS
 from gradeflow.session import materialize
 
 
@@ -47,23 +46,21 @@ def chunk_text(t: Tables):
     return co.chunk_text(t.documents, "doc_id")
 
 
-SAMPLE = 5000
-
-
 @register("curate_dataset", with_views(QUALITY, FIRSTS, *FLAGGED, """chosen as (select * from quality where quality_score >= 0.6
-      and doc_id in (select doc_id from firsts) and doc_id not in (select doc_id from flagged))""",
-    f"sampled as (select * from chosen order by md5(concat('42:', doc_id)), cast(doc_id as varchar) limit {SAMPLE})",
-    split("sampled", "doc_id", TENTH), then=f"""
-    select split, source, count(*) records, {r6('avg(quality_score)')} mean_score, sum(len({words('text')}))::bigint n_words
-    from splits group by split, source"""))
+      and doc_id in (select doc_id from firsts) and doc_id not in (select doc_id from flagged) and coalesce(text, '') <> '')""",
+    split("chosen", "doc_id", TENTH), then=f"""
+    select split, source, count(*) records, {r6('avg(quality_score)')} mean_score, sum(len({words('text')}))::bigint n_words,
+      count(distinct md5(text)) n_unique, sum((lang is null)::int * 2 + ({strip('text')} = '')::int)::bigint n_issues,
+      any_value(total) total_records
+    from (select *, count(*) over () total from splits) group by split, source"""))
 def curate_dataset(t: Tables):
-    """Load, score, drop copies, contaminated and weak rows, convert, sample, split, report."""
-    keep = ["doc_id", "source", "quality_score"]
-    chosen = co.choose(co.curation_flags(t.documents, t.labels, t.benchmark, TOPIC)).select(*keep)
-    picked = exact_split(seeded_sample(materialize(chosen, "chosen"), "doc_id", SAMPLE), "doc_id")
-    texts = t.documents.select(
-        "doc_id", F.concat(F.lit("Write in "), "lang").alias("instruction"), F.col("text").alias("output"))
-    splits = lay.to_alpaca(texts.join(small_side(picked), "doc_id"), keep=[*keep, "split"])
-    return six(splits.groupBy("split", "source").agg(
-        F.count("*").alias("records"), F.avg("quality_score").alias("mean_score"),
-        F.sum(word_count("output")).alias("n_words")), "mean_score")
+    """Load, score, drop copies, contaminated and weak rows, validate, split, and report every record that stays."""
+    chosen = co.choose(co.curation_flags(t.documents, t.labels, t.benchmark, TOPIC))
+    splits = exact_split(materialize(chosen, "chosen"), "doc_id")
+    # copies collapse before the shuffle; the report has a row per split and source
+    per_text = splits.groupBy("split", "source", "text_hash").agg(
+        F.count("*").alias("n"), F.sum("quality_score").alias("score"), F.sum("n_words").alias("n_words"), F.sum("n_issues").alias("n_issues"))
+    report = per_text.groupBy("split", "source").agg(
+        F.sum("n").alias("records"), (F.sum("score") / F.sum("n")).alias("mean_score"), F.sum("n_words").alias("n_words"),
+        F.count("*").alias("n_unique"), F.sum("n_issues").alias("n_issues"))
+    return six(report.withColumn("total_records", F.sum("records").over(Window.partitionBy())), "mean_score")
