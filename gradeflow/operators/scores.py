@@ -110,14 +110,20 @@ def bleu_counts(pairs: DataFrame, key: str = "id") -> DataFrame:
 
 
 def corpus_bleu(counts: DataFrame, epsilon: float = 0.1) -> DataFrame:
-    """Corpus score with one reference; a zero match count is replaced by ``epsilon``."""
+    """Corpus score with one reference; a zero match count is replaced by ``epsilon``.
+
+    Each pair counts at least one candidate n-gram per order, however short it is; the
+    brevity penalty takes the plain lengths.
+    """
+    figures = {"matches": F.col("matches"), "n_prediction": F.col("n_prediction"), "n_reference": F.col("n_reference"),
+               "n_grams": F.greatest("n_prediction", F.lit(1))}
     sums = counts.agg(*[
-        F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}_{n}")
-        for n in (1, 2, 3, 4) for c in ("matches", "n_prediction", "n_reference")
+        F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0)).cast("double").alias(f"{name}_{n}")
+        for n in (1, 2, 3, 4) for name, c in figures.items()
     ])
     log_mean = F.lit(0.0)
     for n in (1, 2, 3, 4):
-        m, total = F.col(f"matches_{n}"), F.greatest(F.col(f"n_prediction_{n}"), F.lit(1.0))
+        m, total = F.col(f"matches_{n}"), F.greatest(F.col(f"n_grams_{n}"), F.lit(1.0))
         log_mean = log_mean + 0.25 * F.ln(F.when(m == 0, F.lit(epsilon)).otherwise(m) / total)
     cand, ref = F.col("n_prediction_1"), F.col("n_reference_1")
     brevity = F.when(cand > ref, 1.0).when(cand == 0, 0.0).otherwise(F.exp(1 - ref / F.when(cand > 0, cand)))

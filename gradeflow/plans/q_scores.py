@@ -41,10 +41,10 @@ BLEU = overlap(words, (1, 2, 3, 4), "bleu_overlap")
 
 
 def _bleu() -> str:
-    sums = ", ".join(f"sum(matches) filter (n = {n})::double m{n}, sum(n_prediction) filter (n = {n})::double p{n}" for n in (1, 2, 3, 4))
+    sums = ", ".join(f"sum(matches) filter (n = {n})::double m{n}, sum(greatest(n_prediction, 1)) filter (n = {n})::double p{n}" for n in (1, 2, 3, 4))
     logs = " + ".join(f"0.25 * ln(case when m{n} = 0 then 0.1 else m{n} end / greatest(p{n}, 1))" for n in (1, 2, 3, 4))
-    return f"""bleu_sums as (select {sums}, sum(n_reference) filter (n = 1)::double r1 from bleu_overlap),
-bleu as (select case when m1 = 0 then 0 else (case when p1 > r1 then 1 else exp(1 - r1 / p1) end) * exp({logs}) end bleu from bleu_sums)"""
+    return f"""bleu_sums as (select {sums}, sum(n_prediction) filter (n = 1)::double c1, sum(n_reference) filter (n = 1)::double r1 from bleu_overlap),
+bleu as (select case when m1 = 0 then 0 else (case when c1 > r1 then 1 else exp(1 - r1 / c1) end) * exp({logs}) end bleu from bleu_sums)"""
 
 
 # longest common subsequence: equal words are points (i, j); each recursion step drops the points

@@ -55,7 +55,7 @@ def plain_bleu(rows):
             x = Counter(tuple(a[i:i + n]) for i in range(len(a) - n + 1))
             y = Counter(tuple(b[i:i + n]) for i in range(len(b) - n + 1))
             match[n] += sum((x & y).values())
-            total[n] += sum(x.values())
+            total[n] += max(sum(x.values()), 1)
     if match[1] == 0:
         return 0.0
     logs = sum(0.25 * math.log((match[n] or 0.1) / max(total[n], 1)) for n in (1, 2, 3, 4))
@@ -77,6 +77,17 @@ def test_pair_scores_equal_the_plain_rules(spark):
     assert s.corpus_bleu(s.bleu_counts(pairs)).first().bleu == pytest.approx(plain_bleu(rows))
 
 
+def test_bleu_of_short_predictions(spark):
+    """One candidate n-gram at least per pair and order, as published."""
+    two = [(1, "a b", "a b c d"), (2, "a b c d e", "a b c d e")]
+    got = s.corpus_bleu(s.bleu_counts(spark.createDataFrame(two, PAIRS))).first().bleu
+    # matches 7, 5, 3, 2 of 7, 5, 3 + 1, 2 + 1; brevity exp(1 - 9 / 7)
+    assert got == pytest.approx(math.exp(1 - 9 / 7) * (3 / 4 * 2 / 3) ** 0.25)
+    for rows in (two + [(3, "", "x y"), (4, "x", "x")], [(1, "x y z", "x y z")], [(1, "", "x")]):
+        pairs = spark.createDataFrame(rows, PAIRS)
+        assert s.corpus_bleu(s.bleu_counts(pairs)).first().bleu == pytest.approx(plain_bleu(rows))
+
+
 def test_same_text_scores_one(spark):
     pairs = spark.createDataFrame([(1, "one two three four five", "one two three four five")], PAIRS)
     got = {r.metric: r.value for r in s.all_qa_metrics(pairs).collect()}
