@@ -1,4 +1,4 @@
-"""Small row helpers that run inside Arrow tasks: LCS length, word stem, dict literal."""
+"""Small row helpers that run inside Arrow tasks: LCS length, vector match, dict literal."""
 
 from __future__ import annotations
 
@@ -69,104 +69,3 @@ def _unit(vectors) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1.0, norm)
-
-
-# --- Word stems, after M. F. Porter, "An algorithm for suffix stripping" (1980) ---
-
-# Suffix -> replacement of steps 2 and 3, and the suffixes of step 4.
-STEP2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able",
-    "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate",
-    "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous",
-    "aliti": "al", "iviti": "ive", "biliti": "ble",
-}
-STEP3 = {
-    "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
-}
-STEP4 = [
-    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
-    "ism", "ate", "iti", "ous", "ive", "ize",
-]
-
-
-def _shape(stem: str) -> str:
-    """Each letter as c or v; y is a vowel after a consonant."""
-    out = ""
-    for i, ch in enumerate(stem):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out += "v" if vowel else "c"
-    return out
-
-
-def _measure(stem: str) -> int:
-    return _shape(stem).count("vc")
-
-
-def _cvc(stem: str) -> bool:
-    return _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
-
-
-def _double(stem: str) -> bool:
-    return len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c"
-
-
-def _longest(word: str, suffixes) -> str | None:
-    found = [s for s in suffixes if word.endswith(s)]
-    return max(found, key=len) if found else None
-
-
-def porter_stem(word: str) -> str:
-    if len(word) <= 2:
-        return word
-    # plural
-    for suffix, keep in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(suffix):
-            word = word[: len(word) - len(suffix)] + keep
-            break
-    # -eed, -ed, -ing
-    if word.endswith("eed"):
-        if _measure(word[:-3]) > 0:
-            word = word[:-1]
-    else:
-        suffix = _longest(word, ("ed", "ing"))
-        if suffix and "v" in _shape(word[: -len(suffix)]):
-            word = word[: -len(suffix)]
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif _double(word) and word[-1] not in "lsz":
-                word = word[:-1]
-            elif _measure(word) == 1 and _cvc(word):
-                word += "e"
-    if word.endswith("y") and "v" in _shape(word[:-1]):
-        word = word[:-1] + "i"
-    for table in (STEP2, STEP3):
-        suffix = _longest(word, table)
-        if suffix and _measure(word[: -len(suffix)]) > 0:
-            word = word[: -len(suffix)] + table[suffix]
-    suffix = _longest(word, STEP4)
-    if suffix:
-        stem = word[: -len(suffix)]
-        if _measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t")):
-            word = stem
-    if word.endswith("e"):
-        m = _measure(word[:-1])
-        if m > 1 or (m == 1 and not _cvc(word[:-1])):
-            word = word[:-1]
-    if word.endswith("ll") and _measure(word) > 1:
-        word = word[:-1]
-    return word
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    """Stems of tokens longer than three letters."""
-    seen: dict[str, str] = {}
-
-    def stem(word: str) -> str:
-        if len(word) <= 3:
-            return word
-        if word not in seen:
-            seen[word] = porter_stem(word)
-        return seen[word]
-
-    return pd.Series([[stem(w) for w in row] for row in tokens], dtype=object)

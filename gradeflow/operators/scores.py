@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.functions.pyhelpers import best_cosine, lcs, stem_tokens
+from gradeflow.functions.pyhelpers import best_cosine, lcs
+from gradeflow.functions.stems import stem_words
 from gradeflow.functions.text import ascii_words, grams_of_orders, normalize_answer, normalized_words, strip, text_of, words
 
 
@@ -29,7 +30,7 @@ def ngram_overlap(
         F.col(key), tokens(F.col("prediction")).alias("_p"), tokens(F.col("reference")).alias("_r")
     )
     if stem:
-        prepared = prepared.select(key, stem_tokens("_p").alias("_p"), stem_tokens("_r").alias("_r"))
+        prepared = prepared.select(key, stem_words("_p").alias("_p"), stem_words("_r").alias("_r"))
     side = lambda c, p, r: grams_of_orders(c, orders, F.lit(p).alias("p"), F.lit(r).alias("r"))
     # one empty entry per order keeps pairs without any n-gram
     none = F.array(*[
@@ -99,7 +100,7 @@ def rouge_l(pairs: DataFrame, key: str = "id", stem: bool = False) -> DataFrame:
     """F-measure on the longest common subsequence of whole texts; one row in, one row out."""
     toks = pairs.select(key, ascii_words("prediction").alias("_p"), ascii_words("reference").alias("_r"))
     if stem:
-        toks = toks.select(key, stem_tokens("_p").alias("_p"), stem_tokens("_r").alias("_r"))
+        toks = toks.select(key, stem_words("_p").alias("_p"), stem_words("_r").alias("_r"))
     measured = toks.select(key, lcs("_p", "_r").alias("_l"), F.size("_p").alias("_np"), F.size("_r").alias("_nr"))
     return measured.select(key, f_measure(F.col("_l"), F.col("_np"), F.col("_nr")).alias("rougeL"))
 

@@ -6,19 +6,23 @@ from pyspark.sql import functions as F
 
 from gradeflow.operators import scores as s
 from gradeflow.plans.catalog import register, six
+from gradeflow.plans.stems_sql import stem_lists
 from gradeflow.plans.views import Tables
 from gradeflow.plans.views_sql import TEXT_PAIRS, ascii_words, grams, norm, norm_words, r6, strip, with_views, words
 
 
-def overlap(tokens, orders, name: str = "overlap") -> str:
+def overlap(tokens, orders, name: str = "overlap", stem: bool = False) -> str:
     """Clipped n-gram matches per pair and n, by exploding both sides."""
+    plain = f"toks_{name} as (select id, {tokens('prediction')} p, {tokens('reference')} r from text_pairs)"
+    if stem:
+        plain = plain.replace(f"toks_{name}", f"words_{name}", 1) + ",\n" + stem_lists(f"words_{name}", ["p", "r"], f"toks_{name}")
     parts = []
     for n in orders:
         for side, c in (("p", "prediction"), ("r", "reference")):
             toks = f"toks_{name}"
             parts.append(f"select id, {n} n, unnest({grams(side, n)}) gram, {int(side == 'p')} p, {int(side == 'r')} r "
                          f"from {toks} where len({side}) >= {n}")
-    return f"""toks_{name} as (select id, {tokens('prediction')} p, {tokens('reference')} r from text_pairs),
+    return f"""{plain},
 grams_{name} as ({' union all '.join(parts)}),
 {name} as (select t.id, n.n, coalesce(matches, 0)::bigint matches, coalesce(np, 0)::bigint n_prediction,
   coalesce(nr, 0)::bigint n_reference from toks_{name} t cross join (select unnest({list(orders)}) n) n
@@ -34,9 +38,10 @@ def f1(m: str, np: str, nr: str, both: float = 0.0) -> str:
 
 TOKEN_F1 = overlap(norm_words, (1,), "norm_overlap") + f""",
 token_f1 as (select id, {f1('matches', 'n_prediction', 'n_reference', 1.0)} f1 from norm_overlap)"""
-ROUGE = overlap(ascii_words, (1, 2), "rouge_overlap") + f""",
-rouge as (select id, max(case when n = 1 then f end) rouge1, max(case when n = 2 then f end) rouge2 from (
+ROUGE_VIEW = f"""rouge as (select id, max(case when n = 1 then f end) rouge1, max(case when n = 2 then f end) rouge2 from (
   select id, n, {f1('matches', 'n_prediction', 'n_reference')} f from rouge_overlap) group by id)"""
+ROUGE = overlap(ascii_words, (1, 2), "rouge_overlap") + ",\n" + ROUGE_VIEW
+ROUGE_STEMS = overlap(ascii_words, (1, 2), "rouge_overlap", stem=True) + ",\n" + ROUGE_VIEW
 BLEU = overlap(words, (1, 2, 3, 4), "bleu_overlap")
 
 
@@ -49,8 +54,7 @@ bleu as (select case when m1 = 0 then 0 else (case when c1 > r1 then 1 else exp(
 
 # longest common subsequence: equal words are points (i, j); each recursion step drops the points
 # without another one to their lower left, so the number of steps is the length
-LCS = f"""lcs_toks as (select id, {ascii_words('prediction')} p, {ascii_words('reference')} r from text_pairs),
-lcs_p as (select id, i, p[i] t from (select id, p, unnest(range(1, len(p) + 1)) i from lcs_toks)),
+LCS_VIEW = f"""lcs_p as (select id, i, p[i] t from (select id, p, unnest(range(1, len(p) + 1)) i from lcs_toks)),
 lcs_r as (select id, j, r[j] t from (select id, r, unnest(range(1, len(r) + 1)) j from lcs_toks)),
 lcs_rows as (select id, i, j, 1::bigint k from lcs_p join lcs_r using (id, t)
   union all
@@ -58,6 +62,9 @@ lcs_rows as (select id, i, j, 1::bigint k from lcs_p join lcs_r using (id, t)
     range between unbounded preceding and 1 preceding) low from lcs_rows) where low < j),
 rouge_l as (select id, {f1('m', 'len(p)', 'len(r)')} f from (select t.id, p, r, coalesce(max(k), 0) m
   from lcs_toks t left join lcs_rows l on t.id = l.id group by t.id, p, r))"""
+LCS = f"lcs_toks as (select id, {ascii_words('prediction')} p, {ascii_words('reference')} r from text_pairs),\n" + LCS_VIEW
+# the stems are those of the n-gram scores
+LCS_STEMS = "lcs_toks as (select * from toks_rouge_overlap),\n" + LCS_VIEW
 VECTORS = """v as (select vec_id // 16 id, vec_id % 16 < 8 p, vec_id, embedding::double[] e from embeddings),
 c as (select a.id, a.vec_id x, b.vec_id y, list_cosine_similarity(a.e, b.e) c from v a join v b on a.id = b.id and a.p and not b.p),
 m as (select i.id, coalesce((select avg(m) from (select max(c) m from c where c.id = i.id group by x)), 0) p,
@@ -134,20 +141,29 @@ def qa_f1_em_mean(t: Tables):
     return six(s.qa_f1_em_mean(t.text_pairs()), "f1", "exact_match")
 
 
-@register("rouge_mean", with_views(TEXT_PAIRS, ROUGE, LCS, then=f"""
-    select {r6('avg(rouge1)')} rouge1, {r6('avg(rouge2)')} rouge2, {r6('(select avg(f) from rouge_l)')} "rougeL"
-    from rouge""").replace("with", "with recursive", 1))
+ROUGE_MEANS = f"""
+    select {r6('avg(rouge1)')} rouge1, {r6('avg(rouge2)')} rouge2, {r6('(select avg(f) from rouge_l)')} "rougeL" from rouge"""
+
+
+@register("rouge_mean", with_views(TEXT_PAIRS, ROUGE_STEMS, LCS_STEMS, then=ROUGE_MEANS).replace("with", "with recursive", 1))
 def rouge_mean(t: Tables):
+    return six(s.rouge_mean(t.text_pairs()), "rouge1", "rouge2", "rougeL")
+
+
+@register("rouge_plain", with_views(TEXT_PAIRS, ROUGE, LCS, then=ROUGE_MEANS).replace("with", "with recursive", 1))
+def rouge_plain(t: Tables):
     return six(s.rouge_mean(t.text_pairs(), stem=False), "rouge1", "rouge2", "rougeL")
 
 
-@register("rouge_stemmed")
+@register("rouge_stemmed", with_views(TEXT_PAIRS, ROUGE_STEMS, LCS_STEMS, then=f"""
+    select id, {r6('rouge1')} rouge1, {r6('rouge2')} rouge2, {r6('f')} "rougeL" from rouge join rouge_l using (id)""").replace("with", "with recursive", 1))
 def rouge_stemmed(t: Tables):
-    """Word stems on, as the default of ``rouge_mean``; stems have tests of their own."""
-    return six(s.rouge_mean(t.text_pairs()), "rouge1", "rouge2", "rougeL")
+    """The scores of each pair, on word stems."""
+    pairs = t.text_pairs()
+    return six(s.rouge_n(pairs, stem=True).join(s.rouge_l(pairs, stem=True), "id"), "rouge1", "rouge2", "rougeL")
 
 
-@register("all_qa_metrics", with_views(TEXT_PAIRS, TOKEN_F1, ROUGE, LCS, BLEU, _bleu(), VECTORS, then=f"""
+@register("all_qa_metrics", with_views(TEXT_PAIRS, TOKEN_F1, ROUGE_STEMS, LCS_STEMS, BLEU, _bleu(), VECTORS, then=f"""
     select 'f1' metric, {r6('avg(f1)')} as value from token_f1
     union all select 'exact_match', {r6(f'avg({EM})')} from text_pairs
     union all select 'rouge1', {r6('avg(rouge1)')} from rouge
@@ -158,7 +174,7 @@ def rouge_stemmed(t: Tables):
     union all select 'bertscore_recall', {r6('avg(r)')} from vectors
     union all select 'bertscore_f1', {r6('avg(f)')} from vectors""").replace("with", "with recursive", 1))
 def all_qa_metrics(t: Tables):
-    return six(s.all_qa_metrics(t.text_pairs(), stem=False, vectors=t.vector_pairs()), "value")
+    return six(s.all_qa_metrics(t.text_pairs(), vectors=t.vector_pairs()), "value")
 
 
 @register("metric_hook", with_views(TEXT_PAIRS, TOKEN_F1, BLEU, _bleu(), then=f"""

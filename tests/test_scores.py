@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from gradeflow.functions import pyhelpers as h
+from gradeflow.functions.stems import stem_words
 from gradeflow.operators import scores as s
 
 PAIRS = "id long, prediction string, reference string"
@@ -123,16 +124,44 @@ def test_lcs_against_the_table_method():
         assert h.lcs_length(a, b) == table[-1][-1]
 
 
-@pytest.mark.parametrize("word, stem", [
+# Examples of the paper, with the last letters that its rules leave.
+PAPER = [
     ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"),
     ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"),
     ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"),
     ("relational", "relat"), ("conditional", "condit"), ("vietnamization", "vietnam"), ("triplicate", "triplic"),
     ("hopeful", "hope"), ("goodness", "good"), ("revival", "reviv"), ("adjustment", "adjust"), ("adoption", "adopt"),
     ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("roll", "roll"),
-])
-def test_stems_of_the_paper(word, stem):
-    assert h.porter_stem(word) == stem
+]
+# Where the extended rules differ.
+EXTENDED = [
+    ("ties", "tie"), ("dies", "die"), ("ponies", "poni"), ("died", "die"), ("studied", "studi"), ("enjoy", "enjoy"), ("happy", "happi"),
+    ("sky", "sky"), ("skies", "sky"), ("dying", "die"), ("news", "news"), ("archaeology", "archaeolog"), ("hopefully", "hope"),
+    ("possibly", "possibl"), ("owed", "owe"), ("aging", "age"), ("proceed", "proceed"), ("say", "say"), ("formally", "formal"),
+]
+
+
+def test_stems(spark):
+    from plain_stems import stem
+
+    rng = random.Random(8)
+    parts = ["a", "e", "i", "o", "u", "y", "b", "ll", "ss", "zz", "t", "st", "x", "yy", "9", *s_suffixes()]
+    words = [w for w, _ in PAPER + EXTENDED] + ["", "a", "by", "yes"] + ["".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(4000)]
+    words = [w for w in words if "yyyyyy" not in w]
+    df = spark.createDataFrame([(words,)], "w array<string>")
+    for extended in (False, True):
+        got = df.select(stem_words("w", extended)).first()[0]
+        assert got == [stem(w, extended) for w in words]
+    first = dict(zip(words, df.select(stem_words("w", False)).first()[0]))
+    assert [first[w] for w, _ in PAPER] == [x for _, x in PAPER]
+    second = dict(zip(words, df.select(stem_words("w")).first()[0]))
+    assert [second[w] for w, _ in EXTENDED] == [x for _, x in EXTENDED]
+
+
+def s_suffixes():
+    from gradeflow.functions.stems import STEP2, STEP2_EXTENDED, STEP2_PLAIN, STEP3, STEP4
+
+    return [*STEP2, *STEP2_EXTENDED, *STEP2_PLAIN, *STEP3, *STEP4, "s", "ies", "sses", "eed", "ied", "ed", "ing"]
 
 
 def test_dict_literal():
