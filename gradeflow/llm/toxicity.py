@@ -28,11 +28,13 @@ from gradeflow.session import materialize
 #: Labelled documents of the fit, about.
 LABELLED = 20_000
 #: Mined voters, least toxic documents of one, and how much likelier it must be in toxic documents.
-MINED, SUPPORT, LIFT = 160, 4, 20.0
+MINED, SUPPORT, LIFT = 300, 3, 10.0
 #: Lengths of the word beginnings that can be voters.
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
+#: So many different words of any word list make a voter of their own.
+CROWDS = (1, 2, 3)
 ROUNDS = 12
-RIDGE = 1.0
+RIDGE = 0.3
 
 # Insults of four languages.
 LEXICONS = {
@@ -53,7 +55,7 @@ WORD = re.compile(r"\w+")
 
 @dataclass
 class Voters:
-    """All voters: a word or word beginning each, a lexicon each, a pattern each."""
+    """All voters: a word or word beginning each, a lexicon each, a pattern each, a number of listed words each."""
 
     words: list[str] = field(default_factory=list)
 
@@ -63,23 +65,30 @@ class Voters:
         self.lexicons = [(n + i, frozenset(words.split())) for i, words in enumerate(LEXICONS.values())]
         n += len(LEXICONS)
         self.patterns = [(n + i, re.compile(p)) for i, p in enumerate(PATTERNS.values())]
-        self.size = n + len(PATTERNS)
+        self.crowds = n + len(PATTERNS)
+        self.size = self.crowds + len(CROWDS)
+        self.insults = frozenset().union(*(lexicon for _, lexicon in self.lexicons))
 
     def votes(self, text: str) -> list[int]:
         """Numbers of the voters that speak up for the whole text."""
         text = text.lower()
         words = set(WORD.findall(text))
-        out = {i for w in words for i in self._of(w)}
+        out, listed = set(), 0
+        for w in words:
+            found = self._of(w)
+            out.update(found)
+            listed += bool(found) or w in self.insults
+        out.update(self.crowds + i for i, least in enumerate(CROWDS) if listed >= least)
         out.update(i for i, lexicon in self.lexicons if not lexicon.isdisjoint(words))
         out.update(i for i, pattern in self.patterns if pattern.search(text))
         return sorted(out)
 
-    def _of(self, word: str):
-        if word in self.index:
-            yield self.index[word]
+    def _of(self, word: str) -> list[int]:
+        found = [self.index[word]] if word in self.index else []
         for k in STEMS:
             if len(word) > k and (stem := word[:k] + "*") in self.index:
-                yield self.index[stem]
+                found.append(self.index[stem])
+        return found
 
 
 @dataclass
@@ -125,7 +134,7 @@ def _vote(voters: Voters):
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Posterior of label 1 for each row of a 0/1 matrix of votes; ``labels`` vote as well."""
     seen = np.column_stack((votes, labels)).astype(np.float64)
-    posterior = np.where(labels > 0, 0.9, 0.02)
+    posterior = np.where(labels > 0, 0.8, 0.05)
     weight = np.ones(seen.shape[1])
     for turn in range(rounds):
         mass = posterior.sum(), (1 - posterior).sum()
@@ -133,7 +142,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) ->
         rate0 = ((1 - posterior) @ seen + 0.5) / (mass[1] + 1)
         # voters speak up for label 1: one that does not is left undecided
         rate1 = np.maximum(rate1, rate0)
-        if turn % 4 == 0:
+        if turn % 4 == 3:  # once the classes have settled
             weight = 1 / _repetition(seen, posterior, rate1, rate0)
             weight[-1] = 1.0
         speaks = weight * np.log(rate1 / rate0)
