@@ -44,14 +44,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, n: int, apart: float = APART) -> np.ndarray:
-    """Up to n unit vectors of the sample in order, each not too close to those before; the next ones if too few are."""
-    chosen, left = [], []
+    """Up to n unit vectors of the sample in order, each not too close to those before.
+
+    Pivots that are near copies would order their neighbours by chance, so a sample without
+    enough distant vectors gives fewer pivots, hence longer lists.
+    """
+    chosen: list[np.ndarray] = []
     for v in sample:
         if len(chosen) == n:
             break
-        near = len(chosen) and max(float(c @ v) for c in chosen) >= apart
-        (left if near else chosen).append(v)
-    return np.array([*chosen, *left][:n])
+        if not chosen or max(float(c @ v) for c in chosen) < apart:
+            chosen.append(v)
+    return np.array(chosen)
 
 
 def _index(pivots: np.ndarray, nearest: int, shared: int):
