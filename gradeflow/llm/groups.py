@@ -15,6 +15,15 @@ from gradeflow.session import materialize
 TILE = 512
 
 
+#: Rows of one or two numbers that are sent to every task.
+BROADCAST_ROWS = 4_000_000
+
+
+def small(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows with a broadcast hint if a count proves it small; else as it is."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def tiles(members: DataFrame, key: str, member: str, size: int = TILE) -> DataFrame:
     """Rows (key, member, tile, low, high): pairs of tiles of each group.
 

@@ -10,9 +10,9 @@ differing n-gram changes one block, so two linked sets agree in one block at lea
 Blocks without n-grams agree by chance; they are left out wherever a set has more than d
 other blocks, because then one of those must agree.
 
-1. One pass over the texts stores, per document, the hash of its set, its size, its block
-   keys and a folded sketch. Equal sets are one vertex from here on.
-2. Keys of two vertices and more are found by partial aggregates. Their members are
+1. One pass over the texts stores, per document, the hash of its set, its size and a folded
+   sketch. Equal sets are one vertex from here on.
+2. Block keys of two vertices and more are found by partial aggregates. Their members are
    compared by sketch within pairs of tiles; a spanning forest of the pairs that pass is
    returned, not all pairs.
 3. Each vertex's smallest partner is verified on the whole sets and linked vertices form
@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 
 from gradeflow.llm.catalog import register
 from gradeflow.llm.components import components
-from gradeflow.llm.groups import forest, runs, tiles, together
+from gradeflow.llm.groups import forest, runs, small, tiles, together
 from gradeflow.llm.words import PLAIN, U, Words, chunks, grams, mix
 from gradeflow.session import materialize
 
 WORDS = 5
 #: Least similarity as a fraction of whole numbers.
 SIMILARITY = (80, 100)
-#: Sizes of a band differ by this factor at most.
-BAND = 1.25
+#: Sizes of a band differ by this factor at most. Wider bands list fewer documents twice, but cut small sets finer.
+BAND = 1.5
 SKETCH_WORDS = 16
 
-DOC = "doc long, tag long, vertex long, n int, sketch binary, keys array<long>"
+DOC = "doc long, tag long, vertex long, n int, sketch binary"
 
 
 def shingles(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -111,28 +111,41 @@ def sketch(grams_of: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _describe(k: int, similarity: tuple[int, int]):
+def vertex_of(grams_of: np.ndarray) -> int:
+    """A 64-bit hash of a set."""
+    code = np.array([len(grams_of)], dtype=U) * U(0x9E3779B97F4A7C15)
+    code = mix(code ^ np.bitwise_xor.reduce(mix(grams_of))) + np.add.reduce(mix(grams_of + U(1)))
+    return int(code.view(np.int64)[0])
+
+
+def _describe(k: int):
+    """The documents with their set's vertex, size and sketch; null for those without n-grams."""
+
     def run(batches):
-        bands = Bands(similarity)
         for b in batches:
             for low, high, data, offsets in chunks(b.column(2)):
-                w = Words(data, offsets, PLAIN, lower=True)
-                vertex, sizes, sketches, keys = [], [], [], []
-                for own in shingles(w, k):
-                    n = len(own)
-                    code = np.array([n], dtype=U) * U(0x9E3779B97F4A7C15)
-                    if n:
-                        code = mix(code ^ np.bitwise_xor.reduce(mix(own))) + np.add.reduce(mix(own + U(1)))
-                    vertex.append(int(code.view(np.int64)[0]) if n else None)
-                    sizes.append(n)
-                    sketches.append(sketch(own) if n else None)
-                    keys.append(bands.keys(own).view(np.int64) if n else np.zeros(0, dtype=np.int64))
-                listed = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))), pa.int32()), pa.array(np.concatenate(keys)))
+                sets = list(shingles(Words(data, offsets, PLAIN, lower=True), k))
                 yield pa.record_batch([
-                    b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(vertex, pa.int64()),
-                    pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), listed,
-                ], names=["doc", "tag", "vertex", "n", "sketch", "keys"])
+                    b.column(0).slice(low, high - low), b.column(1).slice(low, high - low),
+                    pa.array([vertex_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
+                    pa.array([sketch(x) if len(x) else None for x in sets], pa.binary()),
+                ], names=["doc", "tag", "vertex", "n", "sketch"])
+
+    return run
+
+
+def _keys(k: int, similarity: tuple[int, int]):
+    """(vertex, key) for each block of each document's sketch. Cheaper to make twice than to store."""
+
+    def run(batches):
+        bands = Bands(similarity)
+        for b in batches:
+            for _, _, data, offsets in chunks(b.column(0)):
+                sets = [x for x in shingles(Words(data, offsets, PLAIN, lower=True), k) if len(x)]
+                keys = [bands.keys(x) for x in sets]
+                if keys:
+                    vertex = np.repeat(np.array([vertex_of(x) for x in sets], dtype=np.int64), [len(x) for x in keys])
+                    yield pa.record_batch([pa.array(vertex), pa.array(np.concatenate(keys).view(np.int64))], names=["vertex", "key"])
 
     return run
 
@@ -224,10 +237,12 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     tag = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")).alias("tag")
     rows = docs.select(F.col(key).cast("long").alias("doc"), tag, F.col(text).cast("string").alias("text"))
-    described = materialize(rows.mapInArrow(_describe(words, similarity), DOC), "described")
+    described = materialize(rows.mapInArrow(_describe(words), DOC), "described")
     full = described.where("n > 0")
-    vertices = materialize(full.groupBy("vertex").agg(F.min("doc").alias("doc"), F.min("tag").alias("tag")), "vertices")
-    links = _links(rows, full, words, similarity)
+    # equal sets are one vertex, whose text is that of the smallest tag
+    vertices = materialize(full.groupBy("vertex").agg(
+        F.min("doc").alias("doc"), F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "vertices")
+    links = _links(rows, vertices, words, similarity)
     classes = vertices.join(components(links).withColumnRenamed("v", "vertex"), "vertex", "left").select(
         "vertex", "doc", F.coalesce("root", "vertex").alias("root"))
     classes = materialize(classes, "classes")
@@ -238,17 +253,17 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
         described.where("n = 0").select(*shape, F.col("doc").alias("component_id")))
 
 
-def _links(rows: DataFrame, full: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+def _links(rows: DataFrame, vertices: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """Links (a, b) between vertices, enough to connect whatever is linked."""
-    each = full.select("vertex", F.explode("keys").alias("key"))
+    each = rows.select("text").mapInArrow(_keys(words, similarity), "vertex long, key long")
     crowded = materialize(each.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"))
                           .where("a < b").select("key"), "crowded")
-    members = each.join(crowded, "key").groupBy("key", "vertex").agg(F.lit(1).alias("one")).drop("one")
+    members = each.join(small(crowded), "key").groupBy("key", "vertex").agg(F.lit(1).alias("one")).drop("one")
     members = materialize(members, "members")
-    about = full.join(members.select("vertex").distinct(), "vertex", "left_semi").groupBy("vertex").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("tag").alias("tag"))
+    about = vertices.join(members.select("vertex").distinct(), "vertex", "left_semi").drop("doc")
     about = materialize(about, "about")
-    texts = rows.join(about.select("vertex", "tag"), "tag").select("vertex", "text")
+    wanted = materialize(about.select("vertex", "tag"), "wanted")
+    texts = rows.join(small(wanted), "tag").select("vertex", "text")
     sets = materialize(texts.mapInArrow(_sets(words), "vertex long, grams binary"), "sets")
     pairs_of_tiles = materialize(tiles(members, "key", "vertex"), "tiles")
     about_each = about.drop("tag")
