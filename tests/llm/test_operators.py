@@ -103,6 +103,15 @@ def test_similarity_classes_of_a_large_family(spark, monkeypatch):
     assert got == counted(plain.classes(family, 3, 80, 100))
 
 
+def test_similarity_classes_without_broadcasts(docs, corpus, monkeypatch):
+    """Key tables beyond the bound are joined by shuffles."""
+    from gradeflow.llm import groups
+
+    monkeypatch.setattr(groups.small, "__defaults__", (0,))
+    got = rows(similarity_classes(docs, words=3, similarity=(80, 100)), "doc_id", "n_shingles", "component_id")
+    assert got == counted(plain.classes(corpus, 3, 80, 100))
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(90)] + [(5, 5)]
