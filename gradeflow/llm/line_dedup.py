@@ -16,24 +16,64 @@ from gradeflow.session import materialize
 RATIO = 0.1
 #: ... if it is on so many of them at least.
 MIN_PAGES = 3
+#: Texts with no more than this share of own characters are near copies, if copies count once.
+OWN = 0.2
 
 
 def _line_key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, lines): the digests of each site's boilerplate lines; sites without any are left out."""
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _pages(docs: DataFrame, site: str, text: str) -> DataFrame:
+    """(_site, _lines): the lines of each row, as (key, length) of each different one that is not blank."""
     rows = docs.select(F.col(site).alias("_site"), F.col(text).cast("string").alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != "")
-    each = rows.select("_site", F.explode(F.array_distinct(F.transform(lines, _line_key))).alias("_line"))
-    counts = each.groupBy("_site", "_line").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
-    totals = materialize(rows.groupBy(F.col("_site").alias("_all")).agg(F.count("*").alias("_total")), "site_totals")
+    return rows.withColumn("_lines", F.array_distinct(F.transform(
+        lines, lambda x: F.struct(_line_key(x).alias("key"), F.length(F.trim(x)).alias("n")))))
+
+
+def _often(votes: DataFrame, totals: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(_site, _found, _first) of the rows (_site, _line, _page), one for each vote: the lines, and the lowest page of each."""
+    counts = votes.groupBy("_site", "_line").agg(F.count("*").alias("_pages"), F.min("_page").alias("_page")).where(F.col("_pages") >= min_pages)
     often = counts.join(totals, F.expr("_site <=> _all")).where(F.col("_pages") > F.lit(ratio) * F.col("_total"))
-    return often.groupBy("_site").agg(F.collect_list("_line").alias("_lines"))
+    return often.groupBy("_site").agg(F.collect_list(F.struct("_line", "_page")).alias("_both")).select(
+        "_site", F.col("_both._line").alias("_found"), F.col("_both._page").alias("_first"))
 
 
-def line_dedup(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                copies: bool = True) -> DataFrame:
+    """(_site, _lines, _first): the digests of each site's boilerplate lines; sites without any are left out.
+
+    With ``copies`` each row is a page. Without, the pages are a site's distinct texts, and
+    texts that are the same often repeated lines but for ``OWN`` of their characters have one
+    vote on these together, as copies of a passage are no evidence that its lines are
+    boilerplate; ``_first`` has the digest of the text that keeps the line.
+    """
+    pages = _pages(docs, site, text).withColumn("_page", F.lit(None).cast("binary"))
+    if not copies:
+        # the texts stay where they are: digests and lengths travel
+        pages = pages.where("_text is not null").withColumn("_page", _text_key(F.col("_text"))).groupBy("_site", "_page").agg(F.first("_lines").alias("_lines"))
+        pages = materialize(pages, "pages")
+    totals = materialize(pages.groupBy(F.col("_site").alias("_all")).agg(F.count("*").alias("_total")), "site_totals")
+    found = _often(pages.select("_site", "_page", F.explode("_lines.key").alias("_line")), totals, ratio, min_pages)
+    if not copies:
+        found = materialize(found.select(F.col("_site").alias("_of"), "_found"), "often")
+        chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+        held = pages.join(found, F.expr("_site <=> _of")).withColumn("_held", F.filter("_lines", lambda x: F.array_contains("_found", x["key"])))
+        same = F.md5(F.array_join(F.array_sort(F.transform("_held", lambda x: F.hex(x["key"]))), ""))
+        voter = F.when(chars(F.col("_held")) >= (1 - OWN) * chars(F.col("_lines")), same).otherwise(F.hex("_page"))
+        votes = held.select("_site", "_page", voter.alias("_voter"), F.explode("_held.key").alias("_line"))
+        votes = votes.groupBy("_site", "_voter", "_line").agg(F.min("_page").alias("_page"))
+        found = _often(votes, totals, ratio, min_pages)
+    return found.withColumnRenamed("_found", "_lines")
+
+
+def line_dedup(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+               copies: bool = True) -> DataFrame:
     """``docs`` with the lines that stay as ``text``, and n_lines and n_dropped.
 
     Lines are compared without blanks around them; blank lines count and go nowhere. A line
@@ -41,14 +81,26 @@ def line_dedup(docs: DataFrame, site: str = "source", text: str = "text", ratio:
     site are one site. Null texts stay null, with no lines; a text can become empty.
     Repeated rows are pages of their own. Other columns pass
     through, but for any that is called n_lines or n_dropped.
+
+    Without ``copies``, exact and near copies count as ``boilerplate`` says. A line that goes
+    stays on one text of its site, so that no passage is lost, and a text of which nothing but
+    blank lines would be left stays whole.
     """
-    lists = materialize(boilerplate(docs, site, text, ratio, min_pages), "boilerplate")
+    lists = materialize(boilerplate(docs, site, text, ratio, min_pages, copies), "boilerplate")
     # the row travels as one column, so that no name of it can clash
     rows = docs.select(F.struct("*").alias("_row"), F.col(site).alias("_of"))
     joined = rows.join(lists, F.expr("_of <=> _site"), "left")
     lines = F.split(F.col("_row")[text], "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_lines"), _line_key(x)))
+    gone = F.col("_lines")
+    if not copies:
+        # the lines that this text is to keep do not count
+        gone = F.transform(F.filter(F.arrays_zip("_lines", "_first"), lambda x: x["_first"] != F.col("_key")), lambda x: x["_lines"])
+        joined = joined.withColumn("_key", _text_key(F.col("_row")[text].cast("string"))).withColumn("_gone", gone)
+        gone = F.col("_gone")
+    kept = F.filter(lines, lambda x: ~F.array_contains(gone, _line_key(x)))
     joined = joined.withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept).otherwise(lines))
+    if not copies:
+        joined = joined.withColumn("_kept", F.when(F.exists("_kept", lambda x: F.trim(x) != ""), F.col("_kept")).otherwise(lines))
     n, left = (F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long") for c in (lines, F.col("_kept")))
     passed = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(

@@ -257,5 +257,15 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_keeps_one_of_a_copied_third(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    body = ["\n".join(f"sentence {k} of passage {p}, told once and then copied by others" for k in range(8)) for p in range(2)]
+    extra = [(9000 + i, body[i % 2] + (f"\nending {i}" if i % 4 > 1 else ""), "en", "hot", 1) for i in range(600)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_copies"](spark, stages["line_dedup"](spark, docs, FOLDER), FOLDER).where("source = 'hot'").collect()
+    assert sorted(r.doc_id for r in kept) == [9000, 9001] and all(b in r.text for b, r in zip(body, sorted(kept)))
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100

@@ -147,6 +147,36 @@ def test_line_dedup(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_copies(spark):
+    def own(i, n=4):
+        return [f"line {k} of document {i} alone" for k in range(n)]
+
+    table = [(i, "a", "\n".join(["home | about | contact", *own(i)])) for i in range(40)]
+    table += [(100 + i, "a", "\n".join(own("copied"))) for i in range(20)]  # a third of the source
+    table += [(200 + i, "b", "\n".join(own("of three"))) for i in range(3)] + [(210 + i, "b", "\n".join(own(f"b{i}"))) for i in range(9)]
+    near = own("nearly copied", 9)
+    table += [(300 + i, "c", "\n".join([*near, f"ending {i}"])) for i in range(20)] + [(340 + i, "c", "\n".join(own(f"c{i}"))) for i in range(40)]
+    table += [(400, "a", "home | about | contact"), (401, "a", None), (402, None, "x\ny"), (403, "a", "")]
+    df = spark.createDataFrame(table, "doc_id long, source string, text string").repartition(5)
+    got = {r.doc_id: r for r in line_dedup(df, copies=False).collect()}
+    assert len(got) == len(table)
+    for i, _, text in table:
+        menu = i < 40 and got[i].n_dropped > 0
+        assert got[i].text == (text.split("\n", 1)[1] if menu else text) and got[i].n_dropped == menu
+    # one text keeps the line, be it the one that is nothing else
+    assert sum(got[i].n_dropped for i in range(40)) >= 39
+
+
+def test_line_dedup_of_scattered_edits(spark):
+    rng = random.Random(2)
+    lines = [f"sentence {k} of the passage" for k in range(10)]
+    copies = [[x + f" edited {i}" if rng.random() < 0.4 else x for x in lines] for i in range(30)]
+    table = [(i, "a", "\n".join(c)) for i, c in enumerate(copies)] + [(100 + i, "a", f"other {i}\nend {i}") for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, source string, text string")
+    left = Counter(x for r in line_dedup(df, ratio=0.05, copies=False).collect() for x in r.text.split("\n"))
+    assert set(left) == {x for _, _, t in table for x in t.split("\n")} and all(left[x] == 1 for x in lines)
+
+
 def test_license_scan(spark):
     mit = dict(LICENSES)["MIT"]
     table = [
