@@ -267,5 +267,17 @@ def test_pipeline_keeps_one_of_a_copied_third(spark):
     assert sorted(r.doc_id for r in kept) == [9000, 9001] and all(b in r.text for b, r in zip(body, sorted(kept)))
 
 
+def test_pipeline_drops_lines_of_a_few_percent(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    planted = {0: "read more on the next page", 1: "subscribe to our letter", 2: "quoted by some"}
+    every = {0: 33, 1: 60, 2: 250}  # of 1,500 texts: 3 %, 1.7 % and 0.4 %
+    extra = [(9000 + i, "\n".join([f"own text {i}", *(x for k, x in planted.items() if i % every[k] == 0), f"end of {i}"]), "en", "large", 1) for i in range(1500)]
+    small = [(20000 + i, f"own text {i} of a small one\nshared by four", "en", "small", 1) for i in range(4)]
+    docs = docs.unionByName(spark.createDataFrame(extra + small, docs.schema))
+    got = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, FOLDER).where("source in ('large', 'small')").collect()
+    left = [sum(x in r.text.split("\n") for r in got) for x in (*planted.values(), "shared by four")]
+    assert left == [1, 1, 6, 4] and all("own text" in r.text for r in got)
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
