@@ -27,7 +27,7 @@ from gradeflow.session import materialize
 
 #: Least cosine of a link.
 COSINE = 0.9
-#: Nearest pivots that describe a vector, and how many of them a candidate must share.
+#: Nearest pivots that describe a vector, one more for each doubling of ``PIVOTS``, and how many of them a candidate must share.
 NEAREST = 7
 SHARED = 3
 #: Pivots for 10,000 vectors; their number grows with the cube root of the vectors'.
@@ -120,7 +120,7 @@ def _links(n_pivots: int, shared: int, cosine: float):
 
 
 def embedding_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE,
-                    pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+                    pivots: int | None = None, nearest: int | None = None, shared: int = SHARED) -> DataFrame:
     """One row per row of ``vectors``: key, n_links, component_id, kept.
 
     n_links is the number of other rows linked directly, copies included; component_id the
@@ -155,7 +155,7 @@ def embedding_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     return linked.unionByName(alone).withColumnRenamed("id", key)
 
 
-def _all_links(classes: DataFrame, n: int, cosine: float, pivots: int | None, nearest: int, shared: int) -> DataFrame:
+def _all_links(classes: DataFrame, n: int, cosine: float, pivots: int | None, nearest: int | None, shared: int) -> DataFrame:
     wanted = pivots or max(shared, round(PIVOTS * (max(n, 1) / 10_000) ** (1 / 3)))
     # a bounded sample in the order of the vertices, which are hashes
     sample = classes.select("vertex", "vec").orderBy("vertex").limit(SAMPLE).toArrow()
@@ -163,6 +163,9 @@ def _all_links(classes: DataFrame, n: int, cosine: float, pivots: int | None, ne
         return classes.sparkSession.createDataFrame([], "a long, b long, n long")
     chosen = choose_pivots(_matrix(sample["vec"].combine_chunks()), wanted)
     share = min(shared, len(chosen))
+    if nearest is None:
+        # with more pivots two close vectors have fewer of their nearest in common
+        nearest = NEAREST + max(0, int(np.ceil(np.log2(len(chosen) / PIVOTS))))
     index = classes.select("vertex", "vec").mapInArrow(
         _index(chosen, nearest, share), "vertex long, lists array<long>, nearest array<int>")
     index = materialize(index, "index")

@@ -171,6 +171,17 @@ def test_embeddings_of_a_hot_list_and_none(spark, monkeypatch):
     assert (one.n_links, one.kept) == (0, True)
 
 
+def test_embedding_recall_with_many_pivots(spark):
+    rng = np.random.default_rng(3)
+    x, r = rng.standard_normal((2, 1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    y = 0.9001 * x + np.sqrt(1 - 0.9001**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
+    found = embedding_dedup(df, pivots=512).agg(F.sum("n_links")).first()[0]
+    assert 0.95 * 2400 <= found <= 2400
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
