@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 MODULES = [
     "url_filters", "substring_dedup", "decontaminate", "ngram_join", "line_dedup", "embedding_dedup", "token_counts", "packing",
-    "licenses", "toxicity", "merkle", "token_store",
+    "licenses", "toxicity", "merkle", "conversations", "token_store",
 ]
 
 

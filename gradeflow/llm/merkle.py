@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gradeflow.llm.catalog import register
 from gradeflow.llm.groups import runs
@@ -166,8 +167,8 @@ def _walk(fanout: int, depth: int, finish: Callable, schema: pa.Schema):
 def _each(nodes: DataFrame, paths: DataFrame, fanout: int, depth: int, finish: Callable, schema: str) -> DataFrame:
     heads = paths.withColumn("pos", F.lit(-1).cast("long"))
     rows = _together(nodes.unionByName(heads, allowMissingColumns=True))
-    empty = nodes.sparkSession.createDataFrame([], schema)
-    return rows.mapInArrow(_walk(fanout, depth, finish, empty.toArrow().schema), schema)
+    kinds = to_arrow_schema(nodes.sparkSession.createDataFrame([], schema).schema)
+    return rows.mapInArrow(_walk(fanout, depth, finish, kinds), schema)
 
 
 def _source_row(row: dict, path: list, upper: dict) -> dict:
