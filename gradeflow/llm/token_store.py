@@ -176,8 +176,8 @@ def _write_part(folder: str, tokenizer: str, end_id: int, frame_ids: int):
                 ids, upto = encoder.encode(data, offsets)
                 keys = b.column(0).slice(low, high - low)
                 writer.add(keys, np.insert(ids, upto[1:], end_id), np.diff(upto) + 1)
-                ends += [k for k in (keys[0].as_py(), keys[-1].as_py()) if k is not None]
-                ends = [min(ends), max(ends)] if ends else []
+                if known := keys.drop_null():
+                    ends = [(ends or [known[0].as_py()])[0], known[-1].as_py()]
         if writer is not None:
             writer.close()
             out.close()
