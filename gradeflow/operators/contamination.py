@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gradeflow.functions.text import content_hash, ngrams, normalized_words
+from gradeflow.functions.text import content_hash, ngrams, normalize_answer, normalized_words
+from gradeflow.functions.wordhash import PLAIN, U, Words, chunks, grams, mix, windows
 from gradeflow.session import materialize
 
 GRAM = 8  # words per n-gram
 NEAR_SHARE = 0.5
+#: Item n-grams whose hashes (8 bytes each) are sent to the tasks; beyond it, document n-grams are joined.
+FILTER_GRAMS = 4_000_000
+#: Item words, and characters of item texts, that are sent to the tasks as an automaton; beyond it, items are found by tiles.
+ITEM_WORDS, ITEM_CHARS = 2_000_000, 16_000_000
 
 
 def contamination_exact(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -49,10 +59,122 @@ def _doc_grams(docs: DataFrame, key: str, text: str, lengths: list[int], positio
     return tokens.select(key, F.inline(F.flatten(F.array(*[placed(n) for n in lengths]))))
 
 
+def _window_hashes(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of all runs of ``n`` words within a document."""
+    starts = windows(words.counts, words.first, n)
+    return starts, mix(grams(hashes, n)[starts] ^ U(n)) if len(starts) else np.zeros(0, dtype=U)
+
+
+def _known_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each n-gram, by its number of words."""
+    for b in batches:
+        for _, _, data, offsets in chunks(b.column(0)):
+            words = Words(data, offsets, PLAIN, lower=False)
+            hashes = words.hashes()
+            found = np.zeros(len(words.counts), dtype=U)
+            for n in np.unique(words.counts):
+                starts, values = _window_hashes(words, hashes, int(n))
+                whole = words.counts == n
+                found[whole] = values[np.isin(starts, words.first[:-1][whole])]
+            yield pa.record_batch([pa.array(found.view(np.int64))], names=["hash"])
+
+
+def _scan(key: str, lengths: Sequence[int], known):
+    """(key, gram) once for each n-gram of a document whose hash is known."""
+
+    def run(batches):
+        table = known.value
+        mask = U((1 << max(16, int(len(table) * 16).bit_length())) - 1)
+        maybe = np.zeros(int(mask) + 1, dtype=bool)
+        maybe[table & mask] = True
+        for b in batches:
+            for low, _, data, offsets in chunks(b.column(1)):
+                words = Words(data, offsets, PLAIN, lower=False)
+                hashes = words.hashes()
+                rows, texts = [], []
+                for n in lengths:
+                    starts, values = _window_hashes(words, hashes, n)
+                    hit = np.flatnonzero(maybe[values & mask])
+                    place = np.minimum(np.searchsorted(table, values[hit]), len(table) - 1)
+                    hit = hit[table[place] == values[hit]]
+                    doc = np.searchsorted(words.first, starts[hit], side="right") - 1
+                    for d, s in {(d, v): s for d, v, s in zip(doc.tolist(), values[hit].tolist(), starts[hit].tolist())}.items():
+                        rows.append(low + d[0])
+                        texts.append(data[words.starts[s] : words.ends[s + n - 1]].tobytes().decode())
+                yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())], names=[key, "gram"])
+
+    return run
+
+
+def gram_hits(docs: DataFrame, known: DataFrame, key: str, text: str, lengths: Sequence[int]) -> DataFrame:
+    """(key, gram) of the document n-grams that are in the stored table ``known`` (gram), each once per document.
+
+    The task that reads a text tests rolling hashes of its n-grams against the sorted hashes of the
+    known ones, so only hits leave it; their texts are then compared. With more than ``FILTER_GRAMS`` known
+    n-grams, those of the documents are joined instead.
+    """
+    if known.count() > FILTER_GRAMS:
+        return _doc_grams(docs, key, text, list(lengths), positions=False).join(known, "gram", "left_semi")
+    hashes = known.select("gram").mapInArrow(_known_hashes, "hash long").toArrow()["hash"].to_numpy().view(U)
+    table = docs.sparkSession.sparkContext.broadcast(np.unique(hashes))
+    rows = docs.select(F.col(key), normalize_answer(text).alias("_text"))
+    kind = dict(docs.dtypes)[key]
+    return rows.mapInArrow(_scan(key, lengths, table), f"`{key}` {kind}, gram string").join(known, "gram", "left_semi").select(key, "gram")
+
+
+def _automaton(items: list[tuple[list[str], list]]):
+    """(word numbers, automaton) of the items' words; an automaton entry is (last word, ids)."""
+    import ahocorasick
+
+    number: dict[str, int] = {}
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for words, ids in items:
+        found.add_word(tuple(number.setdefault(w, len(number) + 1) for w in words), ids)
+    found.make_automaton()
+    return number, found
+
+
+def _find_items(key: str, items, id_type: pa.DataType):
+    """(key, item_id) of all items whose words stand in a row in a text, each once per text."""
+
+    def run(batches):
+        number, automaton = _automaton(items.value)
+        for b in batches:
+            rows, found = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                hits = {x for _, ids in automaton.iter(tuple(number.get(w, 0) for w in text.split(" "))) for x in ids}
+                rows += [i] * len(hits)
+                found += hits
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type)], names=[key, "item_id"])
+
+    return run
+
+
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                     n: int = GRAM) -> DataFrame:
     """Pairs (document, item) where the item's normalised words occur in a row in the document.
 
+    An automaton over the numbers of the items' words is run once over each document, so only hits leave
+    the task that reads it. Items of more than ``ITEM_WORDS`` words or ``ITEM_CHARS`` characters in all are
+    found by tiles instead.
+    """
+    bodies = items.select("item_id", normalize_answer("text").alias("text")).where("text <> ''")
+    texts = materialize(bodies.groupBy("text").agg(F.collect_set("item_id").alias("ids")), "item-texts")
+    size = texts.agg(F.sum(F.size(F.split("text", " ")) + F.size("ids")).alias("words"), F.sum(F.length("text")).alias("chars")).first()
+    if (size["words"] or 0) > ITEM_WORDS or (size["chars"] or 0) > ITEM_CHARS:
+        return _contained_by_tiles(docs, items, key, text, n)
+    known = docs.sparkSession.sparkContext.broadcast([(r["text"].split(" "), r["ids"]) for r in texts.collect()])
+    kind, id_kind = dict(docs.dtypes)[key], dict(items.dtypes)["item_id"]
+    if not known.value:
+        return docs.select(key).limit(0).withColumn("item_id", F.lit(None).cast(id_kind))
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
+    rows = docs.select(F.col(key), normalize_answer(text).alias("_text"))
+    return rows.mapInArrow(_find_items(key, known, id_type), f"`{key}` {kind}, item_id {id_kind}").distinct()
+
+
+def _contained_by_tiles(docs: DataFrame, items: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """The pairs of ``contained_items`` for any number of items.
+
     The item is tiled by n-grams at offsets 0, n, 2n, ... and its last n words. It occurs at
     a start if every tile is found at its offset from there, so texts are never joined.
     """
@@ -81,7 +203,7 @@ def near_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             "share", F.lit(None).cast("double"))
     grams = materialize(item_grams(items, n).select("item_id", "gram").distinct(), "item-grams")
     known = materialize(grams.select("gram").distinct(), "known-grams")
-    hits = materialize(_doc_grams(docs, key, text, lengths, positions=False).join(known, "gram", "left_semi"), "gram-hits")
+    hits = materialize(gram_hits(docs, known, key, text, lengths), "gram-hits")
     # an item found at all has one of its rarest n - ceil(share * n) + 1 grams in the document
     counts = materialize(hits.groupBy("gram").agg(F.count("*").alias("docs")), "gram-counts")
     order = W.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "gram")

@@ -74,11 +74,16 @@ def plain_norm(text):
     return " ".join(text.lower().translate(str.maketrans("", "", string.punctuation)).split())
 
 
-def test_contained_and_near_equal_brute_force(spark):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_contained_and_near_equal_brute_force(spark, monkeypatch, limit):
+    """Both ways: item n-grams and items sent to the tasks, and joined."""
+    if limit is not None:
+        for name in ("FILTER_GRAMS", "ITEM_WORDS"):
+            monkeypatch.setattr(c, name, limit)
     rng = random.Random(5)
     words = [f"t{i}" for i in range(30)]
     items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([1, 3, 7, 8, 9, 16, 17, 30])]
-    items.append((99, "  ... "))
+    items += [(99, "  ... "), (100, items[3][1].upper() + "!")]
     docs = []
     for i in range(60):
         body = [rng.choice(words) for _ in range(rng.randint(0, 25))]
@@ -135,6 +140,23 @@ def test_no_text_is_shuffled_by_its_hash(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
 
 
+def test_document_grams_do_not_leave_the_scan(spark):
+    """No plan explodes n-grams of documents, and equal hashes alone are no hit."""
+    docs = spark.createDataFrame([(i, f"t{i} a b c d e f g h i") for i in range(20)], "doc_id long, text string")
+    known = spark.createDataFrame([("a b c d e f g h",), ("b c d e f g h x",), ("a",)], "gram string")
+    hits = c.gram_hits(docs, known, "doc_id", "text", [1, 8])
+    assert "Generate" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, hits.collect())) == sorted([(i, g) for i in range(20) for g in ("a", "a b c d e f g h")])
+
+
+def test_odd_documents(spark):
+    docs = spark.createDataFrame([("k1", None), ("k2", ""), ("k3", " \u3000 ... "), ("k4", "Gr\u00fc\u00dfe an ALLE, "), ("k4", "gr\u00fc\u00dfe an alle"),
+                                  (None, "x gr\u00fc\u00dfe an alle y"), ("k5", "gr\u00fc\u00dfe an allen"), ("k6", "w " * 30000)], "doc_id string, text string")
+    items = spark.createDataFrame([(1, "Gr\u00fc\u00dfe an alle!"), (2, None), (3, "--"), (4, "w w w w w w w w w")], "item_id long, text string")
+    assert {tuple(r) for r in c.contained_items(docs, items).collect()} == {("k4", 1), (None, 1), ("k6", 4)}
+    assert {(r.doc_id, r.item_id) for r in c.near_items(docs, items).where("doc_id is not null").collect()} == {("k4", 1), ("k6", 4)}
+
+
 def test_no_items(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
