@@ -61,6 +61,29 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         low = high
 
 
+PUNCTUATION = _table(lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum())
+# White space beyond ASCII, as UTF-8: its first bytes, and the last ones that go with them.
+WIDE_SPACES = [(b"\xc2", (0x85, 0xA0)), (b"\xe1\x9a", (0x80,)), (b"\xe2\x80", (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (b"\xe2\x81", (0x9F,)),
+               (b"\xe3\x80", (0x80,))]
+SPACES = _table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D or 0x1C <= b <= 0x1F)
+
+
+def bare(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts without ASCII punctuation, with blanks for all white space: what ``normalize_answer`` splits, in lower-case texts."""
+    keep = ~PUNCTUATION[data]
+    upto = np.concatenate(([0], np.cumsum(keep)))
+    data = data[keep]
+    data[SPACES[data]] = 0x20
+    for lead, last in WIDE_SPACES:
+        at = np.flatnonzero(data[: len(data) - len(lead)] == lead[0])
+        for i, byte in enumerate(lead[1:], 1):
+            at = at[data[at + i] == byte]
+        at = at[np.isin(data[at + len(lead)], last)]
+        for i in range(len(lead) + 1):
+            data[at + i] = 0x20
+    return data, upto[offsets]
+
+
 class Words:
     """The words of some documents: byte spans, and the index of each document's first word."""
 

@@ -6,13 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gradeflow.functions.text import content_hash, ngrams, normalize_answer, normalized_words
-from gradeflow.functions.wordhash import PLAIN, U, Words, chunks, grams, mix, windows
+from gradeflow.functions.text import content_hash, ngrams, normalize_answer, normalized_words, text_of
+from gradeflow.functions.wordhash import PLAIN, U, Words, bare, chunks, grams, mix, windows
 from gradeflow.session import materialize
 
 GRAM = 8  # words per n-gram
@@ -89,7 +90,7 @@ def _scan(key: str, lengths: Sequence[int], known):
         maybe[table & mask] = True
         for b in batches:
             for low, _, data, offsets in chunks(b.column(1)):
-                words = Words(data, offsets, PLAIN, lower=False)
+                words = Words(*bare(data, offsets), PLAIN, lower=False)
                 hashes = words.hashes()
                 rows, texts = [], []
                 for n in lengths:
@@ -100,7 +101,7 @@ def _scan(key: str, lengths: Sequence[int], known):
                     doc = np.searchsorted(words.first, starts[hit], side="right") - 1
                     for d, s in {(d, v): s for d, v, s in zip(doc.tolist(), values[hit].tolist(), starts[hit].tolist())}.items():
                         rows.append(low + d[0])
-                        texts.append(data[words.starts[s] : words.ends[s + n - 1]].tobytes().decode())
+                        texts.append(" ".join(words.data[words.starts[s] : words.ends[s + n - 1]].tobytes().decode().split()))
                 yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())], names=[key, "gram"])
 
     return run
@@ -117,13 +118,13 @@ def gram_hits(docs: DataFrame, known: DataFrame, key: str, text: str, lengths: S
         return _doc_grams(docs, key, text, list(lengths), positions=False).join(known, "gram", "left_semi")
     hashes = known.select("gram").mapInArrow(_known_hashes, "hash long").toArrow()["hash"].to_numpy().view(U)
     table = docs.sparkSession.sparkContext.broadcast(np.unique(hashes))
-    rows = docs.select(F.col(key), normalize_answer(text).alias("_text"))
+    rows = docs.select(F.col(key), F.lower(text_of(text)).alias("_text"))  # the task does the rest of the normalisation
     kind = dict(docs.dtypes)[key]
     return rows.mapInArrow(_scan(key, lengths, table), f"`{key}` {kind}, gram string").join(known, "gram", "left_semi").select(key, "gram")
 
 
 def _automaton(items: list[tuple[list[str], list]]):
-    """(word numbers, automaton) of the items' words; an automaton entry is (last word, ids)."""
+    """(words, automaton) of the items; the automaton takes the places of words, from 1, and its entries are lists of ids."""
     import ahocorasick
 
     number: dict[str, int] = {}
@@ -131,21 +132,26 @@ def _automaton(items: list[tuple[list[str], list]]):
     for words, ids in items:
         found.add_word(tuple(number.setdefault(w, len(number) + 1) for w in words), ids)
     found.make_automaton()
-    return number, found
+    return pa.array(list(number), pa.large_string()), found
 
 
 def _find_items(key: str, items, id_type: pa.DataType):
     """(key, item_id) of all items whose words stand in a row in a text, each once per text."""
 
     def run(batches):
-        number, automaton = _automaton(items.value)
+        known, automaton = _automaton(items.value)
         for b in batches:
-            rows, found = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                hits = {x for _, ids in automaton.iter(tuple(number.get(w, 0) for w in text.split(" "))) for x in ids}
-                rows += [i] * len(hits)
-                found += hits
-            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type)], names=[key, "item_id"])
+            for low, _, data, offsets in chunks(b.column(1)):
+                words = Words(*bare(data, offsets), PLAIN, lower=False)
+                body, at = words.packed()
+                every = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)])
+                numbers = pc.index_in(every, known).fill_null(-1).to_numpy().astype(np.int64) + 1  # 0: in no item
+                rows, found = [], []
+                for i, (first, last) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+                    hits = {x for _, ids in automaton.iter(tuple(numbers[first:last].tolist())) for x in ids}
+                    rows += [low + i] * len(hits)
+                    found += hits
+                yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type)], names=[key, "item_id"])
 
     return run
 
@@ -168,7 +174,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     if not known.value:
         return docs.select(key).limit(0).withColumn("item_id", F.lit(None).cast(id_kind))
     id_type = to_arrow_type(items.schema["item_id"].dataType)
-    rows = docs.select(F.col(key), normalize_answer(text).alias("_text"))
+    rows = docs.select(F.col(key), F.lower(text_of(text)).alias("_text"))
     return rows.mapInArrow(_find_items(key, known, id_type), f"`{key}` {kind}, item_id {id_kind}").distinct()
 
 
@@ -205,14 +211,13 @@ def near_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     known = materialize(grams.select("gram").distinct(), "known-grams")
     hits = materialize(gram_hits(docs, known, key, text, lengths), "gram-hits")
     # an item found at all has one of its rarest n - ceil(share * n) + 1 grams in the document
-    counts = materialize(hits.groupBy("gram").agg(F.count("*").alias("docs")), "gram-counts")
+    counts = hits.groupBy("gram").agg(F.count("*").alias("docs"))
     order = W.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "gram")
     ranked = grams.join(counts, "gram", "left").select(
         "item_id", "gram", F.row_number().over(order).alias("place"), F.count("*").over(W.partitionBy("item_id")).alias("n_grams"))
     rarest = ranked.where(F.col("place") <= F.col("n_grams") - F.ceil(F.col("n_grams") * share - 1e-9) + 1)
-    rarest = materialize(rarest.select("item_id", "gram", "n_grams"), "rare-grams")
-    pairs = hits.join(rarest, "gram").select(key, "item_id", "n_grams").distinct()
-    wanted = materialize(pairs, "near-candidates").join(grams, "item_id").join(hits, [key, "gram"])
+    pairs = hits.join(rarest.select("item_id", "gram", "n_grams"), "gram").select(key, "item_id", "n_grams").distinct()
+    wanted = pairs.join(grams, "item_id").join(hits, [key, "gram"])
     return (
         wanted.groupBy(key, "item_id").agg(F.count("*").alias("found"), F.first("n_grams").alias("n_grams"))
         .select(key, "item_id", (F.col("found") / F.col("n_grams")).alias("share"))

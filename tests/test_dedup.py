@@ -162,3 +162,26 @@ def test_no_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert c.flagged_documents(docs, none).count() == 0
     assert c.contained_items(docs, none).count() == 0
+
+
+def test_bare_words_equal_the_expression(spark):
+    """The normalisation in the task and the column expression give the same words."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from gradeflow.functions.text import normalized_words
+    from gradeflow.functions.wordhash import PLAIN, Words, bare, chunks
+
+    rng = random.Random(8)
+    signs = [*"abÉßñ中😀019.,!-_'\"", *" \t\n\x0b\x1c\x1f\x85\xa0     　​‐、", "ab ", "É. "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(3000)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = [r.w for r in df.select("i", normalized_words("t").alias("w")).orderBy("i").collect()]
+    lowered = [r.t for r in df.select("i", F.lower("t").alias("t")).orderBy("i").collect()]
+    got = []
+    for _, _, data, offsets in chunks(pa.array(lowered), 4000):
+        w = Words(*bare(np.array(data), offsets), PLAIN, lower=False)
+        spans = [w.data[a:z].tobytes().decode() for a, z in zip(w.starts, w.ends)]
+        got += [spans[a:z] for a, z in zip(w.first[:-1], w.first[1:])]
+    assert got == want
