@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gradeflow.functions.text import ngrams, text_of, words
+from gradeflow.functions.text import text_of
+from gradeflow.functions.wordhash import GRAM_BASE, U, mix
 from gradeflow.operators.groups import TILE, runs, tiles, together
 from gradeflow.session import materialize
 
@@ -21,6 +18,8 @@ HASHES = 64
 ROWS = 4  # hashes per band, so 16 bands
 LEADER_ROUNDS = 3  # rounds that fold groups of copies before links are listed
 PRIME = 2**31 - 1
+SKETCH_BITS = 1024
+AT_ONCE = 4096  # rows or shingles worked on at once in a task
 
 
 def first_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,12 +44,27 @@ def cross_dataset_dedup(candidates: DataFrame, earlier: DataFrame, text: str = "
     return candidates.join(repeated, key, "left_anti")
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, n: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
-    """Distinct word n-grams per row as 60-bit hashes; shorter texts give one shingle of all words."""
-    tokens = df.select(F.col(key).alias("id"), *keep, words(text).alias("_words"))
-    grams = F.when(F.size("_words") >= n, ngrams("_words", n)).otherwise(F.array(F.array_join("_words", " ")))
-    number = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 15), 16, 10).cast("long"))
-    return tokens.select("id", *keep, F.array_sort(F.array_distinct(number)).alias("shingles"))
+def _shingles(text: str | None, n: int) -> np.ndarray:
+    """Distinct word n-grams as 60-bit hashes in order; shorter texts give one shingle of all words."""
+    tokens = (text or "").split()
+    grams = [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)] or [" ".join(tokens)]
+    digests = b"".join([hashlib.md5(g.encode()).digest()[:8] for g in grams])
+    return np.unique((np.frombuffer(digests, dtype=">u8") >> 4).astype(np.int64))
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, n: int = SHINGLE) -> DataFrame:
+    """(id, shingles) per row."""
+
+    def run(batches):
+        for b in batches:
+            for low in range(0, len(b), AT_ONCE):
+                part = b.slice(low, AT_ONCE)
+                sets = [_shingles(t, n) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.LargeListArray.from_arrays(ends, np.concatenate(sets)).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), lists], names=["id", "shingles"])
+
+    return df.select(F.col(key).cast("long"), text_of(text)).mapInArrow(run, "id long, shingles array<long>")
 
 
 def hash_family(hashes: int, seed: int) -> list[tuple[int, int]]:
@@ -59,19 +73,23 @@ def hash_family(hashes: int, seed: int) -> list[tuple[int, int]]:
     return [(int(d[:7], 16) + 1, int(d[7:14], 16)) for d in digits]
 
 
-def _band_hashes(hashes: int, rows: int, seed: int):
-    """Arrow function: shingle hashes -> one text key per band of the minhash signature."""
-    factor, offset = (np.array(x, dtype=np.int64) for x in zip(*hash_family(hashes, seed)))
+def band_keys(shingles: np.ndarray, family: list[tuple[int, int]], rows: int) -> np.ndarray:
+    """A 64-bit key per band of ``rows`` values of the minhash signature."""
+    factor, offset = (np.array(x, dtype=np.int64) for x in zip(*family))
+    signature = np.full(len(factor), PRIME, dtype=np.int64)
+    for low in range(0, len(shingles), AT_ONCE):  # bounded memory for long texts
+        x = shingles[low : low + AT_ONCE] % PRIME
+        signature = np.minimum(signature, ((x[:, None] * factor + offset) % PRIME).min(axis=0))
+    keys = np.arange(len(factor) // rows, dtype=U)
+    for column in signature.reshape(-1, rows).T:
+        keys = mix(keys * GRAM_BASE + column.astype(U))
+    return keys.view(np.int64)
 
-    def bands(shingles: pd.Series) -> pd.Series:
-        out = []
-        for values in shingles:
-            x = np.asarray(values, dtype=np.int64) % PRIME
-            signature = ((x[:, None] * factor + offset) % PRIME).min(axis=0).reshape(-1, rows)
-            out.append([f"{i}:" + ",".join(map(str, row)) for i, row in enumerate(signature.tolist())])
-        return pd.Series(out)
 
-    return F.pandas_udf(bands, T.ArrayType(T.StringType()))
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles per bit: two sketches differ in no more bits than the sets differ in shingles."""
+    odd = np.bincount(shingles & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
 def minhash_dedup(
@@ -86,28 +104,36 @@ def minhash_dedup(
 
     Rows with equal shingles are folded first. Then, in a few rounds, a row that is the lowest open
     one in all its buckets is compared with the open rows there, which takes groups of
-    copies out with one comparison per row. The links among the rest are listed by tasks
-    that hold two tiles of a bucket each, and decided in as many rounds as the longest chain
-    of links, however many rows a bucket has. At last each dropped row takes the lowest kept
-    row it matches. ``leader_rounds`` and ``tile`` change the plan, not the result.
+    copies out with one comparison per row. Of the rest, tasks that hold two tiles of a bucket each list
+    the pairs that may match by the sizes and sketches of their sets; each pair is listed once and
+    fetches its two sets. The links are decided in as many rounds as their longest chain. At last each
+    dropped row takes the lowest kept row it matches, found in the same way. ``leader_rounds`` and ``tile``
+    change the plan, not the result.
     """
     signed = materialize(_signatures(df, key, text, hashes, rows, seed), "signatures")
     firsts = materialize(signed.groupBy("_set").agg(F.min("id").alias("id")), "firsts")
     spread = signed.select("id", F.explode("bands").alias("bucket")).join(firsts, "id", "left_semi")
     buckets = materialize(_crowded(spread), "buckets")
-    sets = _sets_of(buckets, shingle_sets(df, key, text))
+    crowded = materialize(buckets.select("id").distinct(), "crowded")
+    # only rows that share a bucket need their sets, so only their texts are read again
+    texts = df.withColumn("id", F.col(key).cast("long")).join(crowded, "id", "left_semi")
+    sets = materialize(shingle_sets(texts, "id", text), "shingles")
+    narrow = signed.select("id", "size", "sketch").join(crowded, "id", "left_semi")
     open_rows, dropped = buckets, []
     for _ in range(leader_rounds):
         matched, leaders = _one_round(open_rows, sets, threshold)
         dropped.append(matched.select("id"))
         closed = matched.select("id").unionByName(leaders.select(F.col("leader").alias("id")))
         open_rows = materialize(_crowded(open_rows.join(closed, "id", "left_anti")), "buckets")
-    dropped += _decide(_listed(open_rows, sets, threshold, tile))
+    links = _near(_candidates(open_rows, narrow.withColumn("kept", F.lit(False)), threshold, tile, False), sets, threshold)
+    dropped += _decide(materialize(links, "links"))
     gone = df.sparkSession.createDataFrame([], "id long")
     for part in dropped:
         gone = gone.unionByName(part)
     gone = materialize(gone.withColumn("gone", F.lit(True)), "gone")
-    found = materialize(_lowest_kept(buckets, sets, gone, threshold, tile), "found")
+    state = materialize(narrow.join(gone, "id", "left").select("id", "size", "sketch", F.col("gone").isNull().alias("kept")), "state")
+    # a dropped row takes the lowest of the kept rows that it matches
+    found = _near(_candidates(buckets, state, threshold, tile, True), sets, threshold).groupBy("id").agg(F.min("other").alias("duplicate_of"))
     # copies share the fate of the first row with their shingles
     fate = firsts.join(found, "id", "left").select("_set", F.col("id").alias("first_id"), "duplicate_of")
     copies = signed.select("id", "_set").join(materialize(fate, "fate"), "_set")
@@ -116,15 +142,21 @@ def minhash_dedup(
 
 
 def _signatures(df: DataFrame, key: str, text: str, hashes: int, rows: int, seed: int) -> DataFrame:
-    """id, hash of the shingles, and one 64-bit bucket per band."""
-    band = _band_hashes(hashes, rows, seed)
-    return shingle_sets(df, key, text).select(
-        "id", F.md5(F.to_json("shingles")).alias("_set"), F.transform(band("shingles"), lambda one: F.xxhash64(one)).alias("bands")
-    )
+    """id, digest of the shingles, number of shingles, sketch, and one 64-bit bucket per band, in one pass over the texts."""
+    family = hash_family(hashes, seed)
 
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = _shingles(text, SHINGLE)
+                out.append((i, hashlib.md5(x.tobytes()).hexdigest(), len(x), sketch_of(x), band_keys(x, family, rows).tolist()))
+            names = ["id", "_set", "size", "sketch", "bands"]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names=names)
 
-def _sets_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    return materialize(sets.join(rows.select("id").distinct(), "id", "left_semi"), "shingles")
+    texts = df.select(F.col(key).cast("long"), text_of(text))
+    return texts.mapInArrow(run, "id long, _set string, size long, sketch binary, bands array<long>")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -145,52 +177,51 @@ def _one_round(open_rows: DataFrame, sets: DataFrame, threshold: float) -> tuple
     pairs = placed.where(F.col("leader") < F.col("id")).select("id", "leader").distinct().join(
         leaders, "leader", "left_semi"
     )
-    left = sets.select("id", F.col("shingles").alias("a"))
-    right = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - common
-    matched = pairs.join(left, "id").join(right, "leader").where(common >= F.lit(threshold) * union).select("id").distinct()
+    matched = _near(pairs.withColumnRenamed("leader", "other"), sets, threshold).select("id").distinct()
     return materialize(matched, "matched"), leaders
 
 
-def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= threshold * (len(a) + len(b) - common)
+def _near(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (id, other) that reach the threshold; each fetches its two sets once."""
+    left = sets.select("id", F.col("shingles").alias("a"))
+    right = sets.select(F.col("id").alias("other"), F.col("shingles").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    union = F.size("a") + F.size("b") - common
+    return pairs.join(left, "id").join(right, "other").where(common >= F.lit(threshold) * union).select("id", "other")
 
 
 def _tile_task(threshold: float, lowest: bool):
-    """Matches (id, other), other earlier, within pairs of tiles; or each dropped row's lowest kept one."""
+    """Pairs (id, other), other earlier, of a pair of tiles that may match; with ``lowest``, dropped rows and kept ones."""
+    apart = (1 - threshold) / (1 + threshold)  # sets that match differ in no more than this share of their sizes
 
     def run(batches):
         for table, cuts in runs(batches, ("bucket", "low", "high")):
-            ids, kept = table["id"].to_numpy(), table["kept"].to_numpy(zero_copy_only=False)
-            lists = table["shingles"].combine_chunks()
-            values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            own = lambda i: values[at[i] : at[i + 1]]
+            ids, sizes = table["id"].to_numpy(), table["size"].to_numpy()
+            kept = table["kept"].to_numpy(zero_copy_only=False)
+            bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
             a, b = [], []
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 order = start + np.argsort(ids[start:end], kind="stable")
                 for k, i in enumerate(order):
-                    if lowest and kept[i]:
-                        continue
-                    for j in order[:k]:
-                        if (kept[j] or not lowest) and _similar(own(i), own(j), threshold):
-                            a.append(ids[i])
-                            b.append(ids[j])
-                            if lowest:
-                                break
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "other"])
+                    others = order[:k]
+                    if lowest:
+                        others = others[kept[others]] if not kept[i] else others[:0]
+                    most = apart * (sizes[others] + sizes[i]) + 1e-6
+                    near = np.abs(sizes[others] - sizes[i]) <= most
+                    others, most = others[near], most[near]
+                    others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= most]
+                    a.append(np.full(len(others), ids[i]))
+                    b.append(ids[others])
+            empty = [np.zeros(0, dtype=np.int64)]
+            yield pa.record_batch([np.concatenate(a or empty), np.concatenate(b or empty)], names=["id", "other"])
 
     return run
 
 
-def _listed(rows: DataFrame, sets: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """All links (id, other) between open rows of a bucket."""
-    met = tiles(rows, "bucket", "id", tile).join(sets.withColumn("kept", F.lit(False)), "id")
-    found = together(met, "bucket", "id").mapInArrow(_tile_task(threshold, False), "id long, other long")
-    return materialize(found.distinct(), "links")
+def _candidates(rows: DataFrame, narrow: DataFrame, threshold: float, tile: int, lowest: bool) -> DataFrame:
+    """Distinct pairs of rows that share a bucket and may match, by sizes and sketches; nothing that matches is lost."""
+    met = tiles(rows, "bucket", "id", tile).join(narrow, "id")
+    return together(met, "bucket", "id").mapInArrow(_tile_task(threshold, lowest), "id long, other long").distinct()
 
 
 def _decide(links: DataFrame) -> list[DataFrame]:
@@ -207,10 +238,3 @@ def _decide(links: DataFrame) -> list[DataFrame]:
         links = links.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "other"), "other", "left_anti")
         links = materialize(links.select("id", "other"), "links")
     return out
-
-
-def _lowest_kept(buckets: DataFrame, sets: DataFrame, gone: DataFrame, threshold: float, tile: int) -> DataFrame:
-    state = sets.join(gone, "id", "left").select("id", "shingles", F.col("gone").isNull().alias("kept"))
-    met = tiles(buckets, "bucket", "id", tile).join(materialize(state, "state"), "id")
-    found = together(met, "bucket", "id").mapInArrow(_tile_task(threshold, True), "id long, other long")
-    return found.groupBy("id").agg(F.min("other").alias("duplicate_of"))

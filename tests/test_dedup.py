@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -31,9 +32,14 @@ def texts(seed=3, n=96):
 
 def plain_minhash(df, threshold, hashes):
     """(kept ids, dropped id -> lowest kept row it matches)."""
-    sets = d.shingle_sets(df, "doc_id", "text")
-    band = d._band_hashes(hashes, 4, 42)
-    rows = {r.id: (set(r.shingles), set(r.b)) for r in sets.select("id", "shingles", band("shingles").alias("b")).collect()}
+    family = d.hash_family(hashes, 42)
+    rows = {}
+    for i, text in df.select("doc_id", "text").collect():
+        w = text.split()
+        grams = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or {" ".join(w)}
+        x = {int(hashlib.md5(g.encode()).hexdigest()[:15], 16) for g in grams}
+        signature = [min((a * (v % d.PRIME) + b) % d.PRIME for v in x) for a, b in family]
+        rows[i] = x, {(k, *signature[k : k + 4]) for k in range(0, hashes, 4)}
     kept, target = [], {}
     near = lambda i, k: rows[i][1] & rows[k][1] and len(rows[i][0] & rows[k][0]) >= threshold * len(rows[i][0] | rows[k][0])
     for i in sorted(rows):
@@ -61,6 +67,25 @@ def test_minhash_for_any_partitioning(spark, partitions):
     assert {r[0]: r[2] for r in partitions(lambda: d.minhash_dedup(df))} == {**{k: None for k in kept}, **target}
 
 
+def test_sketches_lose_no_pair():
+    """Sketches differ in no more bits than the sets in shingles."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**60, rng.integers(1, 3000)))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 2**60, rng.integers(0, 300)))))
+        x, y = (np.frombuffer(d.sketch_of(s), dtype=np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_minhash_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "one  two\t"), (6, "x " * 40000), (7, "x x x x x x"), (8, "y")]
+    got = {r.doc_id: r.duplicate_of for r in d.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: None, 2: 1, 3: 1, 4: None, 5: 4, 6: None, 7: 6, 8: None}
+    assert d.minhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_exact_dedup_is_idempotent(spark):
     df = spark.createDataFrame(texts(), "doc_id long, text string")
     once = d.exact_dedup(df)
