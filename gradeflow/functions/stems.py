@@ -9,8 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gradeflow.session import materialize
 
 # Suffix -> replacement, by step; the extended rules replace abli by the three last entries.
 STEP2 = {
@@ -172,3 +178,38 @@ def stem_words(tokens: Column | str, extended: bool = True) -> Column:
         return F.when(F.length(p["word"]) <= SHORT, p["word"]).otherwise(F.coalesce(known, p["stem"]))
 
     return F.transform(pairs, chosen)
+
+
+#: Words with a stem of their own that are sent to the tasks; beyond it, words are stemmed where they stand.
+DICTIONARY_WORDS = 2_000_000
+
+
+def stem_dictionary(tokens: DataFrame, *columns: str, extended: bool = True) -> Broadcast | None:
+    """(words, stems) of the different words of some array columns that have another stem; null if they are too many.
+
+    Each word is stemmed once, however often it occurs.
+    """
+    every = tokens.select(F.explode(F.array_distinct(F.concat(*columns))).alias("word")).where(F.length("word") > SHORT).distinct()
+    stems = every.select("word", F.element_at(stem_words(F.array("word"), extended), 1).alias("stem")).where("word <> stem")
+    stored = materialize(stems, "stems")
+    if stored.count() > DICTIONARY_WORDS:
+        return None
+    table = stored.toArrow()
+    return tokens.sparkSession.sparkContext.broadcast(tuple(table[c].combine_chunks().cast(pa.string()) for c in ("word", "stem")))
+
+
+def stems_of(tokens: Column | str, dictionary: Broadcast | None) -> Column:
+    """Stems of an array of words by the dictionary, or by the rules if there is none."""
+    if dictionary is None:
+        return stem_words(tokens)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def looked_up(lists: pa.Array) -> pa.Array:
+        words, stems = dictionary.value
+        flat = lists.flatten().cast(pa.string())
+        found = pc.coalesce(stems.take(pc.index_in(flat, words)), flat)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        ends = pa.array([0, *lengths.cumsum()], pa.int32())
+        return pa.ListArray.from_arrays(ends, found)
+
+    return looked_up(tokens)

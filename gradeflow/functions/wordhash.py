@@ -68,20 +68,25 @@ WIDE_SPACES = [(b"\xc2", (0x85, 0xA0)), (b"\xe1\x9a", (0x80,)), (b"\xe2\x80", (*
 SPACES = _table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D or 0x1C <= b <= 0x1F)
 
 
-def bare(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts without ASCII punctuation, with blanks for all white space: what ``normalize_answer`` splits, in lower-case texts."""
-    keep = ~PUNCTUATION[data]
-    upto = np.concatenate(([0], np.cumsum(keep)))
-    data = data[keep]
+def spaced(data: np.ndarray) -> np.ndarray:
+    """The texts with blanks for the bytes of all white space, as ``words`` splits them."""
+    data = data.copy()
     data[SPACES[data]] = 0x20
     for lead, last in WIDE_SPACES:
-        at = np.flatnonzero(data[: len(data) - len(lead)] == lead[0])
+        at = np.flatnonzero(data[: max(len(data) - len(lead), 0)] == lead[0])
         for i, byte in enumerate(lead[1:], 1):
             at = at[data[at + i] == byte]
         at = at[np.isin(data[at + len(lead)], last)]
         for i in range(len(lead) + 1):
             data[at + i] = 0x20
-    return data, upto[offsets]
+    return data
+
+
+def bare(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts without ASCII punctuation, with blanks for all white space: what ``normalize_answer`` splits, in lower-case texts."""
+    keep = ~PUNCTUATION[data]
+    upto = np.concatenate(([0], np.cumsum(keep)))
+    return spaced(data[keep]), upto[offsets]
 
 
 class Words:
@@ -104,14 +109,14 @@ class Words:
         """The words' bytes without what stands between them, and their offsets."""
         return self.data[self.inside], np.concatenate(([0], np.cumsum(self.ends - self.starts)))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, base: np.uint64 = BYTE_BASE) -> np.ndarray:
+        """A 64-bit hash of each word; hashes of different bases are independent."""
         if not len(self.starts):
             return np.zeros(0, dtype=U)
         body, offsets = self.packed()
         lengths = np.diff(offsets)
         place = np.arange(len(body)) - np.repeat(offsets[:-1], lengths)
-        terms = (body.astype(U) + U(1)) * powers(BYTE_BASE, int(lengths.max()))[place]
+        terms = (body.astype(U) + U(1)) * powers(base, int(lengths.max()))[place]
         return mix(np.add.reduceat(terms, offsets[:-1]) ^ (lengths.astype(U) << U(40)))
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gradeflow.functions.text import WS, grams_of_orders, is_blank, keyword_hits, strip, text_of, word_count, words
+from gradeflow.functions.text import WS, is_blank, keyword_hits, strip, text_of, word_count
+from gradeflow.functions.wordhash import PLAIN, SPAN_BASE, Words, chunks, grams, spaced, windows
 from gradeflow.operators.ordering import beside, exact_quantiles, value_counts
 
 # Default weights and threshold of the composite score.
@@ -16,6 +20,8 @@ WEIGHTS = {"correctness": 0.4, "relevance": 0.3, "complexity": 0.15, "clarity":
 THRESHOLD = 0.6
 # Characters that may end a complete text, and the replacement character.
 TERMINALS = '.?!…"»'
+#: Bytes of text whose n-grams are sorted together.
+COMBINE_BYTES = 8 << 20
 REPLACEMENT = "�"
 
 
@@ -88,11 +94,41 @@ def safety_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _gram_counts(orders: Sequence[int], kind: pa.DataType):
+    """(group, n, two hashes, number) of the different n-grams of each stretch of texts."""
+
+    def run(batches):
+        for b in batches:
+            group = b.column(0).dictionary_encode()
+            codes, values = group.indices.fill_null(-1).to_numpy(), group.dictionary
+            for low, high, data, offsets in chunks(b.column(1), COMBINE_BYTES):
+                words = Words(spaced(data), offsets, PLAIN, lower=False)
+                first, second = words.hashes(), words.hashes(SPAN_BASE)
+                for n in orders:
+                    starts = windows(words.counts, words.first, n)
+                    if not len(starts):
+                        continue
+                    a, z = (grams(h, n)[starts].view(np.int64) for h in (first, second))
+                    code = np.repeat(codes[low:high], np.maximum(words.counts - n + 1, 0))
+                    order = np.lexsort((a, code))
+                    a, z, code = a[order], z[order], code[order]
+                    cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (z[1:] != z[:-1]) | (code[1:] != code[:-1]))))
+                    own = pa.array(code[cut], mask=code[cut] < 0)
+                    yield pa.record_batch([values.take(own).cast(kind), pa.array(np.full(len(cut), n), pa.int32()), pa.array(a[cut]), pa.array(z[cut]),
+                                           pa.array(np.diff(np.append(cut, len(a))))], names=["by", "n", "a", "z", "c"])
+
+    return run
+
+
 def ngram_diversity(df: DataFrame, by: str, text: str = "text", orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Distinct share of n-grams per group: counted per gram first, so hot grams collapse early."""
-    tokens = df.select(by, words(text).alias("_words"))
-    grams = tokens.select(by, F.inline(grams_of_orders("_words", orders)))
-    counted = grams.groupBy(by, "n", "gram").agg(F.count("*").alias("c"))
+    """Distinct share of n-grams per group, by 128-bit hashes of the n-grams.
+
+    Tasks sort and count the hashes of a few megabytes of text at a time; what is alike there leaves as one row of numbers.
+    """
+    kind = df.schema[by].dataType
+    rows = df.select(by, text_of(text).alias("_text")).mapInArrow(
+        _gram_counts(tuple(orders), to_arrow_type(kind)), f"by {kind.simpleString()}, n int, a long, z long, c long")
+    counted = rows.groupBy(F.col("by").alias(by), "n", "a", "z").agg(F.sum("c").alias("c"))
     return counted.groupBy(by, "n").agg(
         F.count("*").alias("distinct_grams"), F.sum("c").alias("all_grams")
     ).withColumn("diversity", F.col("distinct_grams") / F.col("all_grams"))

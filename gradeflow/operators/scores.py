@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions.pyhelpers import best_cosine, lcs
-from gradeflow.functions.stems import stem_words
+from gradeflow.functions.stems import stem_dictionary, stems_of
 from gradeflow.functions.text import ascii_words, grams_of_orders, normalize_answer, normalized_words, strip, text_of, words
 
 
@@ -19,7 +20,7 @@ def pair_by_position(predictions: DataFrame, references: DataFrame, key: str = "
 
 def ngram_overlap(
     pairs: DataFrame, tokens: Callable[[Column], Column], orders: Sequence[int] = (1,), key: str = "id",
-    stem: bool = False,
+    stem: bool = False, stems: Broadcast | None = None,
 ) -> DataFrame:
     """Per pair and order n: clipped matches and n-gram totals of both sides.
 
@@ -30,7 +31,7 @@ def ngram_overlap(
         F.col(key), tokens(F.col("prediction")).alias("_p"), tokens(F.col("reference")).alias("_r")
     )
     if stem:
-        prepared = prepared.select(key, stem_words("_p").alias("_p"), stem_words("_r").alias("_r"))
+        prepared = prepared.select(key, *[stems_of(c, stems).alias(c) for c in ("_p", "_r")])
     side = lambda c, p, r: grams_of_orders(c, orders, F.lit(p).alias("p"), F.lit(r).alias("r"))
     # one empty entry per order keeps pairs without any n-gram
     none = F.array(*[
@@ -87,20 +88,26 @@ def exact_match_plain(prediction: Column | str, reference: Column | str, variant
     raise ValueError(f"unknown variant {variant!r}")
 
 
-def rouge_n(pairs: DataFrame, orders: Sequence[int] = (1, 2), key: str = "id", stem: bool = False) -> DataFrame:
-    """N-gram F-measure per pair: columns rouge1, rouge2, ..."""
-    overlap = ngram_overlap(pairs, ascii_words, orders, key, stem)
+def pair_stems(pairs: DataFrame) -> Broadcast | None:
+    """The stem dictionary of both sides, for ``rouge_n`` and ``rouge_l``."""
+    return stem_dictionary(pairs.select(*[ascii_words(c).alias(c) for c in ("prediction", "reference")]), "prediction", "reference")
+
+
+def rouge_n(pairs: DataFrame, orders: Sequence[int] = (1, 2), key: str = "id", stem: bool = False,
+            stems: Broadcast | None = None) -> DataFrame:
+    """N-gram F-measure per pair: columns rouge1, rouge2, ... With ``stem``, words are looked up in ``stems``, if given."""
+    overlap = ngram_overlap(pairs, ascii_words, orders, key, stem, stems)
     value = f_measure(F.col("matches"), F.col("n_prediction"), F.col("n_reference"))
     return overlap.groupBy(key).agg(*[
         F.max(F.when(F.col("n") == n, value)).alias(f"rouge{n}") for n in orders
     ])
 
 
-def rouge_l(pairs: DataFrame, key: str = "id", stem: bool = False) -> DataFrame:
+def rouge_l(pairs: DataFrame, key: str = "id", stem: bool = False, stems: Broadcast | None = None) -> DataFrame:
     """F-measure on the longest common subsequence of whole texts; one row in, one row out."""
     toks = pairs.select(key, ascii_words("prediction").alias("_p"), ascii_words("reference").alias("_r"))
     if stem:
-        toks = toks.select(key, stem_words("_p").alias("_p"), stem_words("_r").alias("_r"))
+        toks = toks.select(key, *[stems_of(c, stems).alias(c) for c in ("_p", "_r")])
     measured = toks.select(key, lcs("_p", "_r").alias("_l"), F.size("_p").alias("_np"), F.size("_r").alias("_nr"))
     return measured.select(key, f_measure(F.col("_l"), F.col("_np"), F.col("_nr")).alias("rougeL"))
 
@@ -149,7 +156,8 @@ def qa_f1_em_mean(pairs: DataFrame, key: str = "id") -> DataFrame:
 
 
 def rouge_mean(pairs: DataFrame, key: str = "id", stem: bool = True) -> DataFrame:
-    both = rouge_n(pairs, (1, 2), key, stem).join(rouge_l(pairs, key, stem), key)
+    stems = pair_stems(pairs) if stem else None
+    both = rouge_n(pairs, (1, 2), key, stem, stems).join(rouge_l(pairs, key, stem, stems), key)
     return both.agg(*[F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
 
 

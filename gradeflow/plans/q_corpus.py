@@ -43,7 +43,7 @@ def extract_page_text(t: Tables):
       select doc_id, w, unnest(range(0, greatest(cast(ceil((len(w) - 200) / 150) as bigint), 0) + 1)) i
       from (select doc_id, {words('text')} w from documents) where len(w) > 0)""")
 def chunk_text(t: Tables):
-    return co.chunk_text(t.documents, "doc_id")
+    return co.chunk_text(t.texts(), "doc_id")
 
 
 @register("curate_dataset", with_views(QUALITY, FIRSTS, *FLAGGED, """chosen as (select * from quality where quality_score >= 0.6
@@ -55,7 +55,7 @@ def chunk_text(t: Tables):
     from (select *, count(*) over () total from splits) group by split, source"""))
 def curate_dataset(t: Tables):
     """Load, score, drop copies, contaminated and weak rows, validate, split, and report every record that stays."""
-    chosen = co.choose(co.curation_flags(t.documents, t.labels, t.benchmark, TOPIC))
+    chosen = co.choose(co.curation_flags(t.texts(), t.labels, t.benchmark, TOPIC))
     splits = exact_split(materialize(chosen, "chosen"), "doc_id")
     # copies collapse before the shuffle; the report has a row per split and source
     per_text = splits.groupBy("split", "source", "text_hash").agg(

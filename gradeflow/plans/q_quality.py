@@ -63,7 +63,7 @@ def safety_rates(t: Tables):
     select lang, n, count(distinct gram) distinct_grams, count(*) all_grams, {r6('count(distinct gram) / count(*)')} diversity
     from g group by lang, n"""))
 def ngram_diversity(t: Tables):
-    return six(q.ngram_diversity(t.documents, "lang"), "diversity")
+    return six(q.ngram_diversity(t.texts(), "lang"), "diversity")
 
 
 @register("topic_distribution", f"""
@@ -89,7 +89,7 @@ def structure_variety(t: Tables):
       count(*) filter (is_first and passes and contaminated) contamination_removed,
       count(*) filter (is_first and passes and not contaminated) final_selected from flags"""))
 def curation_funnel(t: Tables):
-    return q.curation_funnel(curation_flags(t.documents, t.labels, t.benchmark, TOPIC))
+    return q.curation_funnel(curation_flags(t.texts(), t.labels, t.benchmark, TOPIC))
 
 
 # duplicates
@@ -136,7 +136,7 @@ def _minhash() -> str:
 
 @register("minhash_dedup", _minhash())
 def minhash_dedup(t: Tables):
-    return d.minhash_dedup(t.documents)
+    return d.minhash_dedup(t.texts())
 
 
 # contamination
@@ -153,25 +153,25 @@ def contamination_exact(t: Tables):
 
 @register("contamination_contained", with_views(contained(), then="select doc_id, item_id from contained"))
 def contamination_contained(t: Tables):
-    return c.contained_items(t.documents, t.benchmark)
+    return c.contained_items(t.texts(), t.benchmark)
 
 
 @register("contamination_near", with_views(near(), then=f"select doc_id, item_id, {r6('share')} share from near"))
 def contamination_near(t: Tables):
-    return six(c.near_items(t.documents, t.benchmark), "share")
+    return six(c.near_items(t.texts(), t.benchmark), "share")
 
 
 @register("contamination_rate", with_views(*FLAGGED, then=f"""
     select count(*) total, count(f.doc_id) flagged, {r6('count(f.doc_id) / count(*)')} rate
     from documents d left join flagged f on d.doc_id = f.doc_id"""))
 def contamination_rate(t: Tables):
-    return six(c.contamination_rate(t.documents, t.benchmark), "rate")
+    return six(c.contamination_rate(t.texts(), t.benchmark), "rate")
 
 
 @register("contamination_filter", with_views(*FLAGGED, then="""
     select doc_id, source from documents where doc_id not in (select doc_id from flagged)"""))
 def contamination_filter(t: Tables):
-    return c.contamination_filter(t.documents, t.benchmark).select("doc_id", "source")
+    return c.contamination_filter(t.texts(), t.benchmark).select("doc_id", "source")
 
 
 # variance and latency

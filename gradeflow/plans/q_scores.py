@@ -160,7 +160,8 @@ def rouge_plain(t: Tables):
 def rouge_stemmed(t: Tables):
     """The scores of each pair, on word stems."""
     pairs = t.text_pairs()
-    return six(s.rouge_n(pairs, stem=True).join(s.rouge_l(pairs, stem=True), "id"), "rouge1", "rouge2", "rougeL")
+    stems = s.pair_stems(pairs)
+    return six(s.rouge_n(pairs, stem=True, stems=stems).join(s.rouge_l(pairs, stem=True, stems=stems), "id"), "rouge1", "rouge2", "rougeL")
 
 
 @register("all_qa_metrics", with_views(TEXT_PAIRS, TOKEN_F1, ROUGE_STEMS, LCS_STEMS, BLEU, _bleu(), VECTORS, then=f"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gradeflow.functions.clock import wall_micros
 from gradeflow.functions.prompts import dataset_tag
 from gradeflow.operators.layout import last_by_role
+from gradeflow.session import dealt
 
 TOPIC = "the ration tion de"
 CUT_DAY = "2024-01-16"
@@ -31,6 +32,10 @@ class Tables:
             self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
+    def texts(self) -> DataFrame:
+        """The documents, for heavy work on their texts."""
+        return dealt(self.documents, "doc_id")
+
     # grading
 
     def truth(self) -> DataFrame:

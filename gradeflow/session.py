@@ -25,6 +25,15 @@ def get_session(app: str = "gradeflow", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def dealt(scan: DataFrame, key: str) -> DataFrame:
+    """A table as read from its files, dealt out by ``key`` if it has fewer splits than there are cores; else as it is.
+
+    One task reads a row group, so a small file would keep heavy work on its rows on one core.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: spark.checkpoint.dir, else a folder in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
