@@ -8,6 +8,7 @@ usual n-gram recall scorers apply by default: irregular forms, short words in -i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -184,18 +185,27 @@ def stem_words(tokens: Column | str, extended: bool = True) -> Column:
 DICTIONARY_WORDS = 2_000_000
 
 
+@cache
+def _stem_of_word(application: str, extended: bool) -> Column:
+    """The stem of column ``word``; building the expression takes longer than a large vocabulary, so a session builds it once."""
+    return F.element_at(stem_words(F.array("word"), extended), 1)
+
+
 def stem_dictionary(tokens: DataFrame, *columns: str, extended: bool = True) -> Broadcast | None:
     """(words, stems) of the different words of some array columns that have another stem; null if they are too many.
 
     Each word is stemmed once, however often it occurs.
     """
     every = tokens.select(F.explode(F.array_distinct(F.concat(*columns))).alias("word")).where(F.length("word") > SHORT).distinct()
-    stems = every.select("word", F.element_at(stem_words(F.array("word"), extended), 1).alias("stem")).where("word <> stem")
+    # few bytes, much work: a fixed number of parts, which is not merged
+    spark = tokens.sparkSession
+    every = every.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word")
+    stems = every.select("word", _stem_of_word(spark.sparkContext.applicationId, extended).alias("stem")).where("word <> stem")
     stored = materialize(stems, "stems")
     if stored.count() > DICTIONARY_WORDS:
         return None
     table = stored.toArrow()
-    return tokens.sparkSession.sparkContext.broadcast(tuple(table[c].combine_chunks().cast(pa.string()) for c in ("word", "stem")))
+    return spark.sparkContext.broadcast(tuple(table[c].combine_chunks().cast(pa.string()) for c in ("word", "stem")))
 
 
 def stems_of(tokens: Column | str, dictionary: Broadcast | None) -> Column:

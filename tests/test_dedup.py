@@ -210,3 +210,25 @@ def test_bare_words_equal_the_expression(spark):
         spans = [w.data[a:z].tobytes().decode() for a, z in zip(w.starts, w.ends)]
         got += [spans[a:z] for a, z in zip(w.first[:-1], w.first[1:])]
     assert got == want
+
+
+def test_ngram_diversity_equals_sets_of_texts(spark, monkeypatch):
+    from collections import Counter
+
+    from gradeflow.operators import quality as q
+
+    rng = random.Random(4)
+    signs = ["a", "b", "É", "c\u00a0d", "x\u2003y", "..", "\x1c", "中"]
+    rows = [(rng.choice(["de", "en", None, ""]), " ".join(rng.choices(signs, k=rng.randrange(12)))) for _ in range(300)] + [("de", None), ("xx", ""), ("en", "a " * 9000)]
+    want = {}
+    for lang in {r[0] for r in rows}:
+        for n in (1, 2, 3):
+            grams = Counter(tuple(w[i : i + n]) for by, t in rows if by == lang for w in [(t or "").split()] for i in range(len(w) - n + 1))
+            if grams:
+                want[lang, n] = len(grams), sum(grams.values())
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    for size in (8 << 20, 50):
+        monkeypatch.setattr(q, "COMBINE_BYTES", size)
+        got = {(r.lang, r.n): (r.distinct_grams, r.all_grams) for r in q.ngram_diversity(df, "lang").collect()}
+        assert got == want
+    assert q.ngram_diversity(df.limit(0), "lang").count() == 0

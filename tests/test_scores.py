@@ -175,3 +175,21 @@ def test_vector_match(spark):
                                "prediction_vectors array<array<double>>, reference_vectors array<array<double>>")
     rows = sorted(tuple(r) for r in s.greedy_vector_match(df).collect())
     assert rows == [(0.0, 0.0, 0.0), (0.5, 1.0, pytest.approx(2 / 3))]
+
+
+def test_stem_dictionary_equals_the_rules(spark, monkeypatch):
+    """Words are stemmed once and looked up; too many of them are stemmed where they stand."""
+    from pyspark.sql import functions as F
+
+    from gradeflow.functions import stems as st
+
+    rows = [(1, ["running", "skies", "an", "caresses", "running", "zzz9"]), (2, []), (3, ["agreed", "agreed", "hopping"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>").repartition(2)
+    want = {r.id: r.s for r in df.select("id", st.stem_words("w").alias("s")).collect()}
+    for limit in (st.DICTIONARY_WORDS, 0):
+        monkeypatch.setattr(st, "DICTIONARY_WORDS", limit)
+        table = st.stem_dictionary(df, "w")
+        assert (table is None) == (limit == 0)
+        assert {r.id: r.s for r in df.select("id", st.stems_of("w", table).alias("s")).collect()} == want
+    empty = st.stem_dictionary(df.limit(0), "w")
+    assert empty is None or df.select(F.size(st.stems_of("w", empty))).count() == 3
