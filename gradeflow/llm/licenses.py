@@ -50,6 +50,13 @@ LICENSES = [
      "granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_END),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
      "granted.\n" + _ISC_END),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, use, "
+     "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+     "non-commercial, and by any means.\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate "
+     "any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large "
+     "and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of "
+     "all present and future rights to this software under copyright law.\n" + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+     + "\nFor more information, please refer to <https://unlicense.org>"),
     ("BSD-2-Clause", _BSD_START + _BSD_END),
     ("BSD-3-Clause", _BSD_START + "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
      "endorse or promote products derived from this software without specific prior written permission.\n" + _BSD_END),
@@ -64,23 +71,41 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 # Spellings that mean the same, after case folding.
-SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"),
-             ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("&", " and ")]
-#: Lines that begin so are left out: copyright notices.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"),
+             ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("https:", "http:"), ("all rights reserved", " "),
+             ("\u2018", " "), ("\u2019", " "), ("\u201c", " "), ("\u201d", " "), ("&", " and ")]
+#: Lines that are copyright notices: the word with a year, a sign or a placeholder after it, or the sign alone in front.
+COPYRIGHT = r"(^|\n)[ \t]*(copyright[^\n]*([0-9]{4}|\(c\)|\x{A9}|<year>|[\[{]year[\]}]|[\[{]yyyy[\]}])|\(c\)|\x{A9})[^\n]*"
+#: A first line that is the title of a licence, if more text follows.
+TITLE = r"^[ \t\r\n]*[^\n]{0,60}license[^\n]{0,20}\n[ \t\r\n]*([^ \t\r\n])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of all else become one blank.
 OTHER = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+# Digests of the canonical form of longer licences, from the files that their publishers give out.
+DIGESTS = [
+    ("Apache-2.0", "46b64fd2049c7430fd2d0915941ac7a7"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "abc0f949f6a0be22990ee5efd22e5d3d"),
+    ("GFDL-1.3", "1cedde6c4073f7610c0a5ffd1d0bedc3"),
+    ("GPL-1.0", "37568ce4cada0816ecc642efe89eac4e"),
+    ("GPL-2.0", "c86b7e05f69c4ae379e8486562dd20f1"),
+    ("GPL-3.0", "0ab054ab82a1e6c1e8899e88dba6a5c9"),
+    ("LGPL-2.0", "7635abe16d4f0e5d50aa8f53dc87c1dc"),
+    ("LGPL-2.1", "469b325e1e3630601f3dd2ef6d91cd19"),
+    ("LGPL-3.0", "33fad1678ccee0a0d16f8788ad08749e"),
+    ("MPL-1.1", "0f5ace3e5ce8e4299b08c1efc8778e48"),
+    ("MPL-2.0", "0fd73770a20040e1628fb07465e54b5c"),
+]
 #: What any notice must hold, in lower case.
 HINT = "licen"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, words joined by one blank."""
+    """Lower case, no copyright lines, no title, one spelling, words joined by one blank."""
     out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "$1")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, OTHER, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, TITLE, "$1"), OTHER, " "))
 
 
 def known_digests(spark, known) -> DataFrame:
@@ -89,7 +114,7 @@ def known_digests(spark, known) -> DataFrame:
     return rows.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
 
 
-def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", licenses=LICENSES, notices=NOTICES) -> DataFrame:
+def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", licenses=LICENSES, notices=NOTICES, digests=DIGESTS) -> DataFrame:
     """One row per row of ``docs``: key, digest, license of the whole text or null, notices in its lines.
 
     ``notices`` are the distinct names in order, joined by commas, empty if there are none.
@@ -99,6 +124,8 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", licen
     """
     spark = docs.sparkSession
     known = known_digests(spark, [*licenses, *notices])
+    if digests:
+        known = known.unionByName(spark.createDataFrame(list(digests), "license string, digest string"))
     lines = [(r["digest"], r["license"]) for r in known_digests(spark, notices).orderBy("digest").collect()]
     names = F.create_map(*[F.lit(x) for pair in lines for x in pair])
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
@@ -114,14 +141,15 @@ def _canonical_sql(x: str) -> str:
     x = rf"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '\1', 'g')"
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"
+    x = rf"regexp_replace({x}, '{TITLE}', '\1')"
     return f"trim(regexp_replace({x}, '{OTHER}', ' ', 'g'))"
 
 
 def _sql() -> str:
     quoted = lambda rows: ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in rows)
     return rf"""
-    with k(name, body) as (values {quoted([*LICENSES, *NOTICES])}), n(name, body) as (values {quoted(NOTICES)}),
-    kd as (select distinct name, md5({_canonical_sql('body')}) digest from k),
+    with k(name, body) as (values {quoted([*LICENSES, *NOTICES])}), n(name, body) as (values {quoted(NOTICES)}), w(name, digest) as (values {quoted(DIGESTS)}),
+    kd as (select distinct name, md5({_canonical_sql('body')}) digest from k union select name, digest from w),
     nd as (select distinct name, md5({_canonical_sql('body')}) digest from n),
     l as (select doc_id, unnest(string_split(text, chr(10))) x from documents),
     f as (select doc_id, string_agg(distinct name, ',' order by name) notices
