@@ -3,47 +3,26 @@
 None of these sorts an unbounded group in one task. A count decides: groups of ordinary
 size use a plain window; beyond that, rows are cut into ranges of the order column (or
 prefixes of a hash), the ranges are counted, and only rows of one range meet in a task.
-The number of ranges is bounded by a parameter.
+There are as many ranges as hold a set number of rows each.
 """
 
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gradeflow.functions.clock import epoch_micros
 from gradeflow.functions.text import seed_hash
+from gradeflow.operators.ranges import in_order, range_of, with_positions
 from gradeflow.session import materialize
 
-RANGES = 256
 HOT_ROWS = 1_000_000  # rows of one group that one task may order
 PREFIX = 4  # hex digits: at most 65,536 prefixes
 
 
-def _numeric(df: DataFrame, c: str) -> Column:
-    """A number that never falls along the order of column ``c``.
-
-    Texts give the six bytes after the prefix that all of them share; two scalars find it.
-    """
-    kind = dict(df.dtypes)[c]
-    if kind.startswith("timestamp"):
-        return epoch_micros(df, c).cast("double")
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    if kind == "string":
-        low, high = df.agg(F.min(c), F.max(c)).first()
-        shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
-        digits = F.substring(F.hex(F.encode(c, "UTF-8")), 2 * shared + 1, 12)
-        return F.when(F.col(c).isNotNull(), F.conv(F.rpad(digits, 12, "0"), 16, 10).cast("double"))
-    return F.col(c).cast("double")
-
-
 def _check_order(df: DataFrame, c: str) -> None:
     """The same refusal at every size."""
     kind = dict(df.dtypes)[c]
@@ -52,30 +31,15 @@ def _check_order(df: DataFrame, c: str) -> None:
         raise ValueError(f"cannot order by {c}: {kind}")
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group; only the keys are read and counted."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest group, all rows); only the keys are read and counted."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    return sizes["most"] or 0, sizes["total"] or 0
 
 
-def with_range(df: DataFrame, order: str, name: str = "_range", ranges: int = RANGES) -> DataFrame:
-    """Number of the value range a row falls in; borders are approximate quantiles.
-
-    One pass over one column finds the borders (at most ``ranges`` numbers).
-    """
-    keyed = df.withColumn("_order_number", _numeric(df, order))
-    borders = keyed.approxQuantile(
-        "_order_number", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges)
-    )
-    splits = [-math.inf, *sorted(set(borders)), math.inf]
-    if len(splits) < 3:
-        return keyed.withColumn(name, F.when(F.col("_order_number").isNull(), -1).otherwise(0)).drop("_order_number")
-    # not-a-number sorts last and falls in a range of its own; null sorts first
-    cut = Bucketizer(
-        splits=splits, inputCol="_order_number", outputCol=name, handleInvalid="keep"
-    )
-    place = F.when(F.col("_order_number").isNull(), -1).otherwise(F.col(name).cast("int"))
-    return cut.transform(keyed).withColumn(name, place).drop("_order_number")
+def _ranged(df: DataFrame, keys: Sequence[str], total: int, ranges: int | None, hot_rows: int) -> DataFrame:
+    """``df`` in the order of ``keys``, in ranges of about ``hot_rows`` rows, however many there are."""
+    return in_order(df, keys, "ordered", ranges or max(1, -(-total // max(hot_rows, 1))), "_seq")
 
 
 def with_position(
@@ -83,31 +47,23 @@ def with_position(
     order: Sequence[str],
     by: Sequence[str] = (),
     name: str = "position",
-    ranges: int = RANGES,
+    ranges: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """0-based position by ``order`` (a unique key led by a number, time, date or text) within ``by``.
 
     If a count shows that no group exceeds ``hot_rows``, a window per group does it. Else
-    every group is spread over the ranges, so a hot group is no hot task. Both ways take
+    the rows are cut into ranges of their order (``ranges`` of them, or as many as hold ``hot_rows`` each),
+    with borders sampled from them, so a hot group is no hot task. Both ways take
     the same columns and give the same result, nulls first. Rows should be narrow.
     """
     by = list(by)
     _check_order(df, order[0])
-    if largest_group(df, by) <= hot_rows:
+    most, total = group_sizes(df, by)
+    if most <= hot_rows:
         return df.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
-    ranged = with_range(df, order[0], ranges=ranges)
-    counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_rows"))
-    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(
-        *by, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = W.partitionBy(*by, "_range").orderBy(*order)
-    return (
-        _join_keys(ranged, starts, [*by, "_range"])
-        .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_range", "_start")
-    )
+    placed = with_positions(_ranged(df, [*by, *order], total, ranges, hot_rows), by, "_seq")
+    return placed.select(*df.columns, F.col("pos").alias(name))
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,7 +79,7 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def with_next(
-    df: DataFrame, order: Sequence[str], columns: Sequence[str], by: Sequence[str] = (), ranges: int = RANGES,
+    df: DataFrame, order: Sequence[str], columns: Sequence[str], by: Sequence[str] = (), ranges: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``next_<column>`` of the following row along ``order`` within ``by``.
@@ -133,23 +89,21 @@ def with_next(
     """
     by = list(by)
     _check_order(df, order[0])
-    if largest_group(df, by) <= hot_rows:
+    most, total = group_sizes(df, by)
+    if most <= hot_rows:
         whole = W.partitionBy(*by).orderBy(*order)
         return df.select("*", *[F.lead(c).over(whole).alias(f"next_{c}") for c in columns])
-    ranged = with_range(df, order[0], ranges=ranges)
-    fields = [*order, *[c for c in columns if c not in order]]
-    heads = ranged.groupBy(*by, "_range").agg(F.min(F.struct(*fields)).alias("_head"))
+    ranged = _ranged(df, [*by, *order], total, ranges, hot_rows).withColumn("_range", range_of("_seq"))
+    heads = ranged.groupBy(*by, "_range").agg(F.min_by(F.struct(*columns), "_seq").alias("_head"))
     following = heads.select(
         *by, "_range", F.lead("_head").over(W.partitionBy(*by).orderBy("_range")).alias("_following")
     )
-    inside = W.partitionBy(*by, "_range").orderBy(*order)
+    inside = W.partitionBy(*by, "_range").orderBy("_seq")
     ahead = (
         _join_keys(ranged, following, [*by, "_range"])
-        .withColumn("_next", F.coalesce(F.lead(F.struct(*fields)).over(inside), F.col("_following")))
-    )
-    return ahead.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop(
-        "_range", "_following", "_next"
+        .withColumn("_next", F.coalesce(F.lead(F.struct(*columns)).over(inside), F.col("_following")))
     )
+    return ahead.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def join_groups(rows: DataFrame, figures: DataFrame, by: Sequence[str], salts: int = 32) -> DataFrame:
@@ -243,17 +197,20 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def exact_quantiles(
-    counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (), ranges: int = RANGES,
+    counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (), ranges: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Interpolated quantiles, long form (by..., prob, value), from ``value_counts``.
 
-    Equal values cost one row. A group with more than ``hot_rows`` distinct values is ranked
-    within ranges, so it never meets in a single task.
+    Equal values cost one row. With more than ``hot_rows`` distinct values in a group, the values are ranked
+    within ranges of about so many, so a group never meets in a single task.
     """
     by = list(by)
-    small = largest_group(counts, by) <= hot_rows
-    ranged = counts.withColumn("_range", F.lit(0)) if small else with_range(counts, "value", ranges=ranges)
+    most, total = group_sizes(counts, by)
+    if most <= hot_rows:
+        ranged = counts.withColumn("_range", F.lit(0))
+    else:
+        ranged = _ranged(counts, [*by, "value"], total, ranges, hot_rows).withColumn("_range", range_of("_seq"))
     totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_rows"))
     whole = W.partitionBy(*by)
     starts = totals.select(
@@ -289,6 +246,61 @@ def exact_quantiles(
     )
 
 
+#: Accuracy of the sketches that bracket a quantile, and the share of rows around it that a bracket takes.
+SKETCH_K, MARGIN = 4096, 0.005
+
+
+def bracketed_quantiles(df: DataFrame, value: str, probs: Sequence[float], hot_rows: int = HOT_ROWS, margin: float = MARGIN) -> DataFrame:
+    """(prob, value): exact interpolated quantiles of a stored column, without shuffling its values.
+
+    One pass makes a mergeable sketch of a few kilobytes, which gives a bracket of values around each rank. The next
+    counts what is below each bracket and the different values in it. A bracket that misses its rank is
+    widened, and one that holds more than ``hot_rows`` rows is sketched again, so that no task ranks more, however
+    many rows there are. Nulls are left out; not-a-number is the largest value. No rows give no quantiles.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    usual = rows.where("not isnan(v)")
+    n, odd = rows.agg(F.count("*"), F.count(F.when(F.isnan("v"), 1))).first()
+    places = {float(p): float(p) * (n - 1) for p in probs}
+    # ranks that fall among the numbers: rank -> value
+    wanted = sorted({r for place in places.values() for r in (math.floor(place), math.ceil(place)) if 0 <= r < n - odd})
+    known: dict[int, float] = {}
+    ends = {r: (-math.inf, math.inf, 0, n - odd) for r in wanted}  # bracket, rows below it, rows in it
+    share = dict.fromkeys(wanted, margin)
+    v = F.col("v")
+    while ends:
+        if hot := [r for r, e in ends.items() if e[3] > hot_rows and share[r] <= 1]:
+            around = []
+            for r in hot:
+                low, high, below, inside = ends[r]
+                sketch = F.kll_sketch_agg_double(F.when(v.between(low, high), v), F.lit(SKETCH_K))  # equal ones are made once
+                around += [F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, max(0.0, (r - below) / inside + d)))) for d in (-share[r], share[r])]
+            edges = list(usual.agg(*around).first())
+            tight = {r: (edges[2 * i], edges[2 * i + 1]) for i, r in enumerate(hot)}
+            counts = usual.agg(*[F.count(F.when(c, 1)) for a, z in tight.values() for c in (v < a, v.between(a, z))]).first()
+            for i, (r, edge) in enumerate(tight.items()):
+                below, inside = counts[2 * i], counts[2 * i + 1]
+                if below <= r < below + inside and edge != ends[r][:2]:
+                    ends[r] = (*edge, below, inside)
+                else:
+                    share[r] *= 4  # the rank lies outside, or the bracket got no narrower
+        for r in [r for r, e in ends.items() if e[3] <= hot_rows or share[r] > 1 or e[0] == e[1]]:
+            low, high, below, _ = ends.pop(r)
+            if low == high:
+                known[r] = low
+                continue
+            counted = usual.where(v.between(low, high)).groupBy("v").agg(F.count("*").alias("c"))
+            upto = F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + below  # at most hot_rows values
+            known[r] = counted.withColumn("upto", upto).where((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r)).first()["v"]
+    values = []
+    for p, place in places.items():
+        if n:
+            a, z = (known.get(r, math.nan) for r in (math.floor(place), math.ceil(place)))
+            values.append((p, a if a == z else a + (z - a) * (place - math.floor(place))))
+    return spark.createDataFrame(values, "prob double, value double")
+
+
 def beside(*rows: DataFrame) -> DataFrame:
     """One-row tables with different columns as one row."""
     merged = rows[0]

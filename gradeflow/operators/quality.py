@@ -13,7 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeflow.functions.text import WS, is_blank, keyword_hits, strip, text_of, word_count
 from gradeflow.functions.wordhash import PLAIN, SPAN_BASE, Words, chunks, grams, spaced, windows
-from gradeflow.operators.ordering import beside, exact_quantiles, value_counts
+from gradeflow.operators.ordering import beside, bracketed_quantiles
+from gradeflow.session import materialize
 
 # Default weights and threshold of the composite score.
 WEIGHTS = {"correctness": 0.4, "relevance": 0.3, "complexity": 0.15, "clarity": 0.15}
@@ -67,20 +68,19 @@ def format_compliance(df: DataFrame, text: str = "text") -> DataFrame:
     return flagged.withColumn("compliant", ~bad)
 
 
-def _spread_figures(counts: DataFrame, probs: Sequence[tuple[float, str]]) -> DataFrame:
-    """One row: n, mean and the named exact quantiles of ``value_counts``."""
-    tails = exact_quantiles(counts, [p for p, _ in probs]).agg(*[
+def _spread_figures(values: DataFrame, probs: Sequence[tuple[float, str]]) -> DataFrame:
+    """One row: n, mean and the named exact quantiles of a stored column ``value``."""
+    tails = bracketed_quantiles(values, "value", [p for p, _ in probs]).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for p, name in probs
     ])
-    basic = counts.agg(
-        F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")
-    )
+    basic = values.where("value is not null").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return beside(basic, tails)
 
 
 def quality_distribution(scored: DataFrame, score: str = "quality_score") -> DataFrame:
     """One row: n, mean and exact quartiles; the scores are computed once."""
-    return _spread_figures(value_counts(scored, score), [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")])
+    values = materialize(scored.select(F.col(score).cast("double").alias("value")), "scores")
+    return _spread_figures(values, [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")])
 
 
 def source_breakdown(df: DataFrame, source: str = "source") -> DataFrame:
@@ -177,6 +177,7 @@ def run_consistency(df: DataFrame, by: Sequence[str], value: str = "value") -> D
 
 def latency_profile(df: DataFrame, value: str, ts_micros: str) -> DataFrame:
     """One row: n, mean, exact p50, p95, p99 and rows per second over the time span."""
-    figures = _spread_figures(value_counts(df, value), [(0.5, "p50"), (0.95, "p95"), (0.99, "p99")])
+    values = materialize(df.select(F.col(value).cast("double").alias("value")), "values")
+    figures = _spread_figures(values, [(0.5, "p50"), (0.95, "p95"), (0.99, "p99")])
     seconds = (F.max(ts_micros) - F.min(ts_micros)) / 1e6
     return beside(figures, df.agg((F.count("*") / seconds).alias("throughput")))

@@ -42,6 +42,41 @@ def test_quantiles_are_exact(spark, ranges, hot_rows):
             assert math.isclose(got[(g, p)], np.quantile(part.v, p), abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("hot_rows, margin", [(10**6, 0.005), (40, 0.005), (40, 0.0001), (3, 0.2)])
+def test_bracketed_quantiles_are_exact(spark, hot_rows, margin):
+    """In one count, in brackets of brackets, and in brackets that miss at first."""
+    probs = [0.0, 0.1, 0.25, 0.5, 0.95, 0.999, 1.0]
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=4001), np.r_[np.full(3000, 2.5), rng.integers(0, 9, 500)], np.r_[rng.exponential(size=900), [np.inf, -np.inf]], [7.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "v double").repartition(3)
+        got = {r.prob: r.value for r in od.bracketed_quantiles(df, "v", probs, hot_rows, margin).collect()}
+        for p in probs:
+            at = np.sort(values)
+            low, high = at[math.floor(p * (len(at) - 1))], at[math.ceil(p * (len(at) - 1))]
+            want = low if low == high else low + (high - low) * (p * (len(at) - 1) - math.floor(p * (len(at) - 1)))
+            assert math.isclose(got[p], want, abs_tol=1e-12), (p, len(at))
+
+
+def test_bracketed_quantiles_of_odd_columns(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (2.0,), (float("nan"),)], "v double")
+    got = {r.prob: r.value for r in od.bracketed_quantiles(df, "v", [0.0, 0.3, 1.0]).collect()}
+    assert got[0.0] == 1.0 and math.isclose(got[0.3], 1.9) and math.isnan(got[1.0])
+    assert od.bracketed_quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_ranges_follow_the_rows(spark):
+    """As many ranges as hold the set number of rows, also for texts with an outlier and for many null keys."""
+    from gradeflow.operators.ranges import in_order, range_of
+
+    df = spark.range(6000).selectExpr("case when id = 0 then 'A' else concat('prefix-that-all-share/', lpad(cast(id as string), 9, '0')) end as k", "id")
+    results = [sorted(map(tuple, od.with_position(df, ["k", "id"], ranges=n, hot_rows=h).collect())) for n, h in ((3, 0), (50, 0), (None, 500), (None, 10**6))]
+    assert all(r == results[0] for r in results)
+    sizes = [r["count"] for r in in_order(df, ["k", "id"], "ordered", 12).groupBy(range_of().alias("r")).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 1500
+    hot = spark.range(4000).selectExpr("'one' as k")  # equal rows
+    assert max(r["count"] for r in in_order(hot, ["k"], "ordered", 8).groupBy(range_of().alias("r")).count().collect()) < 1500
+
+
 @pytest.mark.parametrize("hot_rows", [0, 10**6])
 def test_next_row_across_ranges(spark, hot_rows):
     rows = od.with_next(skewed(spark), ["o"], ["id"], by=["g"], ranges=16, hot_rows=hot_rows).collect()
