@@ -20,20 +20,21 @@ MIN_PAGES = 3
 OWN = 0.2
 
 
+# Digests are texts: Spark's array functions look texts up in a hash set, bytes and structs one by one.
 def _line_key(line: Column) -> Column:
-    return F.unhex(F.md5(F.trim(line)))
+    return F.md5(F.trim(line))
 
 
 def _text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+    return F.md5(text)
 
 
 def _pages(docs: DataFrame, site: str, text: str) -> DataFrame:
     """(_site, _lines): the lines of each row, as (key, length) of each different one that is not blank."""
     rows = docs.select(F.col(site).alias("_site"), F.col(text).cast("string").alias("_text"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != "")
-    return rows.withColumn("_lines", F.array_distinct(F.transform(
-        lines, lambda x: F.struct(_line_key(x).alias("key"), F.length(F.trim(x)).alias("n")))))
+    lines = F.array_distinct(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)))
+    return rows.withColumn("_lines", F.transform(
+        F.filter(lines, lambda x: x != ""), lambda x: F.struct(_line_key(x).alias("key"), F.length(x).alias("n"))))
 
 
 def _often(votes: DataFrame, totals: DataFrame, ratio: float, min_pages: int) -> DataFrame:
@@ -53,7 +54,7 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio
     vote on these together, as copies of a passage are no evidence that its lines are
     boilerplate; ``_first`` has the digest of the text that keeps the line.
     """
-    pages = _pages(docs, site, text).withColumn("_page", F.lit(None).cast("binary"))
+    pages = _pages(docs, site, text).withColumn("_page", F.lit(None).cast("string"))
     if not copies:
         # the texts stay where they are: digests and lengths travel
         pages = pages.where("_text is not null").withColumn("_page", _text_key(F.col("_text"))).groupBy("_site", "_page").agg(F.first("_lines").alias("_lines"))
@@ -63,9 +64,10 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio
     if not copies:
         found = materialize(found.select(F.col("_site").alias("_of"), "_found"), "often")
         chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["n"])
-        held = pages.join(found, F.expr("_site <=> _of")).withColumn("_held", F.filter("_lines", lambda x: F.array_contains("_found", x["key"])))
-        same = F.md5(F.array_join(F.array_sort(F.transform("_held", lambda x: F.hex(x["key"]))), ""))
-        voter = F.when(chars(F.col("_held")) >= (1 - OWN) * chars(F.col("_lines")), same).otherwise(F.hex("_page"))
+        held = pages.join(found, F.expr("_site <=> _of")).withColumn("_both", F.array_intersect("_lines.key", "_found"))
+        held = held.withColumn("_held", F.filter("_lines", lambda x: F.array_contains("_both", x["key"])))
+        same = F.md5(F.array_join(F.array_sort(F.col("_held.key")), ""))
+        voter = F.when(chars(F.col("_held")) >= (1 - OWN) * chars(F.col("_lines")), same).otherwise(F.col("_page"))
         votes = held.select("_site", "_page", voter.alias("_voter"), F.explode("_held.key").alias("_line"))
         votes = votes.groupBy("_site", "_voter", "_line").agg(F.min("_page").alias("_page"))
         found = _often(votes, totals, ratio, min_pages)
@@ -91,14 +93,15 @@ def line_dedup(docs: DataFrame, site: str = "source", text: str = "text", ratio:
     rows = docs.select(F.struct("*").alias("_row"), F.col(site).alias("_of"))
     joined = rows.join(lists, F.expr("_of <=> _site"), "left")
     lines = F.split(F.col("_row")[text], "\n")
-    gone = F.col("_lines")
+    # of the site's list, what this text holds, by hash; its lines are then looked up among these few
+    joined = joined.withColumn("_gone", F.array_intersect("_lines", F.transform(lines, _line_key)))
     if not copies:
         # the lines that this text is to keep do not count
-        gone = F.transform(F.filter(F.arrays_zip("_lines", "_first"), lambda x: x["_first"] != F.col("_key")), lambda x: x["_lines"])
-        joined = joined.withColumn("_key", _text_key(F.col("_row")[text].cast("string"))).withColumn("_gone", gone)
-        gone = F.col("_gone")
-    kept = F.filter(lines, lambda x: ~F.array_contains(gone, _line_key(x)))
-    joined = joined.withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept).otherwise(lines))
+        keeper = lambda x: F.element_at("_first", F.array_position("_lines", x).cast("int"))
+        joined = joined.withColumn("_key", _text_key(F.col("_row")[text].cast("string")))
+        joined = joined.withColumn("_gone", F.filter("_gone", lambda x: keeper(x) != F.col("_key")))
+    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", _line_key(x)))
+    joined = joined.withColumn("_kept", F.when(F.size("_gone") > 0, kept).otherwise(lines))
     if not copies:
         joined = joined.withColumn("_kept", F.when(F.exists("_kept", lambda x: F.trim(x) != ""), F.col("_kept")).otherwise(lines))
     n, left = (F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("long") for c in (lines, F.col("_kept")))

@@ -244,3 +244,14 @@ def test_empty_tables(spark, docs):
 def test_sha_of_nothing(docs):
     got = substring_dedup(docs.where("text is null")).select("kept_sha256").distinct().collect()
     assert [r[0] for r in got] == [hashlib.sha256(b"").hexdigest()]
+
+
+def test_line_dedup_of_a_text_with_many_lines(spark):
+    """Each line is looked up by hash, so 100,000 lines take seconds."""
+    long = "\n".join(f"line {i}" for i in range(100_000))
+    table = [(1, "a", long), (2, "a", long + "\nend")] + [(10 + i, "a", f"line 7\nown {i}\nmore {i}") for i in range(8)]
+    df = spark.createDataFrame(table, "doc_id long, source string, text string")
+    for copies in (True, False):
+        got = {r.doc_id: r for r in line_dedup(df, ratio=0.5, copies=copies).collect()}
+        assert (got[1].n_lines, got[2].n_lines) == (100_000, 100_001)
+        assert sum(r.n_dropped for r in got.values()) == (10 if copies else 9)
