@@ -29,6 +29,11 @@ def _text_key(text: Column) -> Column:
     return F.md5(text)
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row; in the body of a filter the optimizer would compute it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _pages(docs: DataFrame, site: str, text: str) -> DataFrame:
     """(_site, _lines): the lines of each row, as (key, length) of each different one that is not blank."""
     rows = docs.select(F.col(site).alias("_site"), F.col(text).cast("string").alias("_text"))
@@ -64,8 +69,9 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio
     if not copies:
         found = materialize(found.select(F.col("_site").alias("_of"), "_found"), "often")
         chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["n"])
-        held = pages.join(found, F.expr("_site <=> _of")).withColumn("_both", F.array_intersect("_lines.key", "_found"))
-        held = held.withColumn("_held", F.filter("_lines", lambda x: F.array_contains("_both", x["key"])))
+        both = F.array_intersect("_lines.key", "_found")
+        held = pages.join(found, F.expr("_site <=> _of")).withColumn("_held", _once(
+            both, lambda some: F.filter("_lines", lambda x: F.array_contains(some, x["key"]))))
         same = F.md5(F.array_join(F.array_sort(F.col("_held.key")), ""))
         voter = F.when(chars(F.col("_held")) >= (1 - OWN) * chars(F.col("_lines")), same).otherwise(F.col("_page"))
         votes = held.select("_site", "_page", voter.alias("_voter"), F.explode("_held.key").alias("_line"))
@@ -98,9 +104,9 @@ def line_dedup(docs: DataFrame, site: str = "source", text: str = "text", ratio:
     if not copies:
         # the lines that this text is to keep do not count
         keeper = lambda x: F.element_at("_first", F.array_position("_lines", x).cast("int"))
-        joined = joined.withColumn("_key", _text_key(F.col("_row")[text].cast("string")))
-        joined = joined.withColumn("_gone", F.filter("_gone", lambda x: keeper(x) != F.col("_key")))
-    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", _line_key(x)))
+        own = _text_key(F.col("_row")[text].cast("string"))
+        joined = joined.withColumn("_gone", _once(own, lambda key: F.filter("_gone", lambda x: keeper(x) != key)))
+    kept = _once(F.col("_gone"), lambda some: F.filter(lines, lambda x: ~F.array_contains(some, _line_key(x))))
     joined = joined.withColumn("_kept", F.when(F.size("_gone") > 0, kept).otherwise(lines))
     if not copies:
         joined = joined.withColumn("_kept", F.when(F.exists("_kept", lambda x: F.trim(x) != ""), F.col("_kept")).otherwise(lines))
