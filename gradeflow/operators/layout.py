@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import prompts
+from gradeflow.functions.subwords import subword_ids
 from gradeflow.functions.text import col, text_of, words
 
 # Layouts in order of priority, with the columns that identify them.
@@ -150,18 +151,21 @@ def rl_queries(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def tokenize_pad(df: DataFrame, text: str, max_length: int, keep: Sequence[str] = (),
-                 vocabulary: int = 50_000, pad_id: int = 0) -> DataFrame:
-    """Hashed-word ids cut and right-padded to ``max_length``, with mask and labels.
+                 vocabulary: int = 50_000, pad_id: int = 0, tokenizer: str | None = None) -> DataFrame:
+    """Ids cut and right-padded to ``max_length``, with mask and labels.
 
-    Labels are the ids with every pad id set to -100, also where a real token has that id.
-    Plug a real tokenizer in with ``udfs.tokenize_with``.
+    ``tokenizer`` is a file of the tokenizers library (a path, or the name of an installed public one), whose ids are
+    cut after encoding. Without it, the ids are hashes of the first ``max_length`` words. Labels are the ids with
+    every pad id set to -100, also where a real token has that id.
     """
-    hashed = F.transform(
-        words(text),
-        lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % vocabulary + 1).cast("int"),
-    )
-    ids = df.select(*keep, F.slice(hashed, 1, max_length).alias("_ids"))
-    return pad_ids(ids, "_ids", max_length, pad_id, keep)
+    if tokenizer:
+        ids = F.slice(subword_ids(tokenizer)(text_of(text)), 1, max_length)
+    else:
+        ids = F.transform(
+            F.slice(words(text), 1, max_length),
+            lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % vocabulary + 1).cast("int"),
+        )
+    return pad_ids(df.select(*keep, ids.alias("_ids")), "_ids", max_length, pad_id, keep)
 
 
 def pad_ids(df: DataFrame, ids: str, max_length: int, pad_id: int, keep: Sequence[str] = ()) -> DataFrame:

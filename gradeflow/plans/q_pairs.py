@@ -194,6 +194,15 @@ def tokenize_pad(t: Tables):
     )
 
 
+@register("tokenize_subwords")
+def tokenize_subwords(t: Tables):
+    """Ids of a trained tokenizer, cut after encoding; no SQL form, the tests hold them against the tokenizer's."""
+    padded = lay.tokenize_pad(t.texts(), "text", MAX_LENGTH, keep=["doc_id"], tokenizer="byte_bpe_50k.json")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, e: a + e)
+    return padded.select("doc_id", total("attention_mask").cast("int").alias("n_tokens"), total("input_ids").alias("id_sum"),
+                         F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
 @register("preference_pairs", with_views(PREFERENCES, then="select conv_id, prompt, chosen, rejected from preferences"))
 def preference_pairs(t: Tables):
     return lay.preference_pairs(t.preferences(), keep=["conv_id"])

@@ -192,3 +192,40 @@ def test_chunks_cover_the_text(spark, n, chunks):
         assert part == words[r.chunk * 150:r.chunk * 150 + 200]
         covered += part
     assert set(covered) == set(words)
+
+
+def test_subword_ids_equal_the_tokenizer(spark):
+    """Whole texts are encoded, then cut and padded."""
+    from tokenizers import Tokenizer
+
+    from gradeflow.functions.subwords import tokenizer_file
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["", None, "Hello world", "Ünïcode 中文 " * 50, "a b " * 3000, "<|endoftext|> x", "one"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    for name in (path, "byte_bpe_50k.json"):
+        rows = lay.tokenize_pad(df, "t", 40, keep=["id"], pad_id=7, tokenizer=name).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            ids = whole.encode(texts[r.id] or "", add_special_tokens=False).ids[:40]
+            assert r.input_ids == ids + [7] * (40 - len(ids)) and sum(r.attention_mask) == len(ids)
+            assert r.labels == [-100 if i == 7 else i for i in r.input_ids]
+
+
+def test_subwords_of_a_given_table(spark):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from gradeflow.functions.subwords import tokenizer_file
+    from gradeflow.plans import catalog, q_pairs
+
+    whole = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in catalog.QUERIES["tokenize_subwords"](spark, folder).collect():
+        ids = whole.encode(texts.pop(r.doc_id) or "", add_special_tokens=False).ids[: q_pairs.MAX_LENGTH]
+        padded = ",".join(map(str, ids + [0] * (q_pairs.MAX_LENGTH - len(ids))))
+        assert (r.n_tokens, r.id_sum, r.ids_md5) == (len(ids), sum(ids), hashlib.md5(padded.encode()).hexdigest())
+    assert not texts
