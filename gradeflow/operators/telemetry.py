@@ -5,9 +5,14 @@ series: run, metric, value, ts (microseconds), seq; (ts, seq) orders a run.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections.abc import Sequence
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from gradeflow.functions.numbers import round_to
 from gradeflow.functions.text import is_json, strip
@@ -152,34 +157,73 @@ def checkpoint_select(losses: DataFrame, tolerance: float = 0.005) -> DataFrame:
     )
 
 
+def _greater(a: float, b: float) -> bool:
+    """a > b with not-a-number as the largest value, as in SQL."""
+    return a > b or (a != a and b == b)
+
+
+def spikes_and_rises(values: Sequence[float | None], width: int, spike: float) -> tuple[list[bool], list[bool]]:
+    """For each value: more than ``spike`` times the median of the ``width`` values before it, and the third rise in a row.
+
+    The window is a sorted list, so a step costs a search whatever the width. Nulls are no values, but places.
+    """
+    window: list[float] = []  # sorted, without not-a-number
+    odd = 0
+    spikes, rises, risen = [], [], 0
+    for i, v in enumerate(values):
+        n = len(window) + odd
+        if i and n and v is not None:
+            low, high = (window[k] if k < len(window) else math.nan for k in ((n - 1) // 2, n // 2))
+            spikes.append(_greater(v, spike * ((low + high) / 2)))
+        else:
+            spikes.append(False)
+        before = values[i - 1] if i else None
+        risen = risen + 1 if v is not None and before is not None and _greater(v, before) else 0
+        rises.append(risen >= 3)
+        if v is not None:
+            if v == v:
+                insort(window, v)
+            else:
+                odd += 1
+        if i >= width and (gone := values[i - width]) is not None:
+            if gone == gone:
+                window.pop(bisect_left(window, gone))
+            else:
+                odd -= 1
+    return spikes, rises
+
+
+def _marked(width: int, spike: float, keys: Sequence[str]):
+    """Rows of one block of a run, without those that only serve as neighbours, with ``_spike`` and ``_three``."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("_position")
+        spikes, rises = spikes_and_rises(block["value"].to_pylist(), width, spike)
+        block = block.append_column("_three", pa.array(rises, pa.bool_())).append_column("_spike", pa.array(spikes, pa.bool_()))
+        return block.filter(pc.invert(block["_halo"])).select([*keys, "value", "_position", "_three", "_spike"])
+
+    return run
+
+
 def run_health_checks(series: DataFrame, width: int = 10, spike: float = 5.0, busy: float = 80.0) -> DataFrame:
     """Per run and metric: falling, rising (three rises in a row), unstable, has_nan, busy.
 
     Frames look back ``width`` rows (three at least). Positions of a run of ordinary size
     come from one window; a longer one is positioned by ranges, and its frames run on
-    overlapping blocks. The number of rows reaches each row by a salted join, so no task
-    holds a whole long run.
+    overlapping blocks of bounded size, each in one pass with a sliding median. The number of rows reaches each
+    row by a salted join, so no task holds a whole long run.
     """
     if width < 3:
         raise ValueError("three rises in a row need a width of 3 or more")
     keys = ["run", "metric"]
+    series = series.withColumn("value", F.col("value").cast("double"))
     placed = with_position(series, ["ts", "seq"], by=keys, name="_position")
-    blocks = with_halo(placed, "_position", before=width)
-    inside = W.partitionBy(*keys, "_block").orderBy("_position")
-    before = F.array_sort(F.collect_list("value").over(inside.rowsBetween(-width, -1)))
-    half = F.floor((F.size("_before") + 1) / 2).cast("int")
-    other = F.floor(F.size("_before") / 2).cast("int") + 1
-    median = F.when(F.size("_before") > 0, (F.try_element_at("_before", half) + F.try_element_at("_before", other)) / 2)
-    up = F.col("value") > F.lag("value").over(inside)
-    marked = (
-        blocks.withColumn("_before", before).withColumn("_up", F.coalesce(up, F.lit(False)))
-        .withColumn("_three", F.col("_up") & F.coalesce(F.lag("_up", 1).over(inside), F.lit(False))
-                    & F.coalesce(F.lag("_up", 2).over(inside), F.lit(False)))
-        .withColumn("_spike", F.coalesce(F.col("value") > spike * median, F.lit(False)))
-        .where(~F.col("_halo"))
-    )
+    blocks = with_halo(placed.select(*keys, "value", "_position"), "_position", before=width)
+    kinds = dict(blocks.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "value", "_position")) + ", _three boolean, _spike boolean"
+    marked = blocks.groupBy(*keys, "_block").applyInArrow(_marked(width, spike, keys), schema)
     counts = series.groupBy(*keys).agg(F.count("*").alias("n"))
-    joined = join_groups(marked.select(*keys, "value", "_position", "_three", "_spike"), counts, keys)
+    joined = join_groups(marked, counts, keys)
     first = F.avg(F.when(F.col("_position") < width, F.col("value")))
     last = F.avg(F.when(F.col("_position") >= F.col("n") - width, F.col("value")))
     broken = F.isnan("value") | (F.abs("value") == float("inf"))

@@ -273,3 +273,39 @@ def test_stream_markers_and_last_payloads(spark, tmp_path):
     got = runs.stream_last_progress(stream_of(spark, df, tmp_path, 3, "seq"))
     want = tm.last_payloads(tm.parse_marker(df).where("marker in ('progress', 'final_metrics')"))
     same(got, want)
+
+
+def test_sliding_median_equals_sorted_windows():
+    import math
+    import random
+    import statistics
+
+    rng = random.Random(6)
+    nan, inf = float("nan"), float("inf")
+    order = lambda x: (x != x, 0 if x != x else x)
+    for width in (3, 10, 50):
+        values = [rng.choice([rng.uniform(0, 9), rng.uniform(0, 9), rng.uniform(0, 90), 1.0, None, nan, inf]) for _ in range(400)]
+        spikes, rises = tm.spikes_and_rises(values, width, 5.0)
+        ups = [False] + [a is not None and b is not None and order(b) > order(a) for a, b in zip(values, values[1:])]
+        for i, v in enumerate(values):
+            before = sorted((x for x in values[max(0, i - width) : i] if x is not None), key=order)
+            want = False
+            if before and v is not None:
+                low, high = before[(len(before) - 1) // 2], before[len(before) // 2]
+                assert low != low or high != high or math.isinf(high) or math.isclose((low + high) / 2, statistics.median(before))
+                want = order(v) > order(5.0 * ((low + high) / 2))
+            assert spikes[i] == want and rises[i] == (i >= 3 and ups[i] and ups[i - 1] and ups[i - 2])
+
+
+def test_health_of_a_run_in_blocks(spark, monkeypatch):
+    """A run that spans blocks has the flags of one block; wide frames reach over the borders."""
+    import random
+
+    from gradeflow.operators import ordering as od
+
+    rng = random.Random(9)
+    rows = [(i % 3, "loss", rng.choice([rng.uniform(1, 3), rng.uniform(1, 3), 40.0 if rng.random() < 0.02 else 2.0, None]), i * 1000, i) for i in range(600)]
+    df = spark.createDataFrame(rows, SERIES).repartition(4)
+    want = sorted(map(tuple, tm.run_health_checks(df, width=20).collect()))
+    monkeypatch.setattr(od.with_halo, "__defaults__", (25,))
+    assert sorted(map(tuple, tm.run_health_checks(df, width=20).collect())) == want
