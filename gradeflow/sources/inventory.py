@@ -16,6 +16,7 @@ from gradeflow.functions.text import is_blank, is_json, keyword_hits, text_of
 from gradeflow.operators.ordering import beside, head_limit, top_per_group
 from gradeflow.session import materialize, scratch_path
 from gradeflow.sources.readers import CATALOG_SUFFIXES, count_jsonl
+from gradeflow.sources.writers import BUNDLE
 
 MB = 1024 * 1024
 
@@ -232,22 +233,14 @@ def dataset_line_counts(spark: SparkSession, root: str, glob: str = "split=train
     return lines.select(name.alias("dataset")).groupBy("dataset").agg(F.count("*").alias("train_lines"))
 
 
-def result_status(spark: SparkSession, root: str) -> DataFrame:
+def result_status(spark: SparkSession, root: str, bundled: bool = False) -> DataFrame:
     """Per result folder: the first recommendation line of its report, else a metrics note.
 
     Folders with neither a report nor a metrics file give no row. Files may be plain files
-    or folders a Spark job wrote, and folder names may carry a ``key=`` prefix.
+    or folders a Spark job wrote, and folder names may carry a ``key=`` prefix. ``bundled``
+    reads a folder of ``write_result_bundle`` instead, whose files hold many results each.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(root).select(
-        F.split_part(F.col("_metadata.file_path"), F.lit(f"{root.rstrip('/')}/"), F.lit(-1)).alias("rel"),
-        text_of("value").alias("line"),
-        F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("seen"),
-    )
-    segment = lambda i: F.regexp_replace(F.split_part("rel", F.lit("/"), F.lit(i)), "^[^=]*=", "")
-    word = F.nullif(F.regexp_extract("line", r"recommendation:\s*(\S+)", 1), F.lit(""))
-    parts = lines.select(segment(1).alias("result"), segment(2).alias("file"), word.alias("word"),
-                         F.struct("rel", "at", "seen").alias("place"))
+    parts = _bundled_lines(spark, root) if bundled else _result_lines(spark, root)
     is_report = F.col("file") == "report.yaml"
     return (
         parts.where(F.col("file").isin("report.yaml", "eval_metrics.json")).groupBy("result").agg(
@@ -257,3 +250,26 @@ def result_status(spark: SparkSession, root: str) -> DataFrame:
         .select("result", F.when(F.col("has_report"), F.coalesce("word", F.lit("")))
                 .otherwise("metrics available (no report)").alias("status"))
     )
+
+
+def _recommended(line: str) -> Column:
+    return F.nullif(F.regexp_extract(line, r"recommendation:\s*(\S+)", 1), F.lit("")).alias("word")
+
+
+def _bundled_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(result, file, word, place) of the lines of a bundle."""
+    lines = spark.read.schema(BUNDLE).parquet(root).select("result", "file", text_of("line").alias("line"), "line_no")
+    return lines.select("result", "file", _recommended("line"), F.struct("line_no").alias("place"))
+
+
+def _result_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(result, file, word, place) of the lines of all files below ``root``."""
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select(
+        F.split_part(F.col("_metadata.file_path"), F.lit(f"{root.rstrip('/')}/"), F.lit(-1)).alias("rel"),
+        text_of("value").alias("line"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("seen"),
+    )
+    segment = lambda i: F.regexp_replace(F.split_part("rel", F.lit("/"), F.lit(i)), "^[^=]*=", "")
+    return lines.select(segment(1).alias("result"), segment(2).alias("file"), _recommended("line"),
+                        F.struct("rel", "at", "seen").alias("place"))

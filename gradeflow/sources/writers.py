@@ -28,6 +28,16 @@ def write_split_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -
     return path
 
 
+#: A line of a file of a result; ``line_no`` grows within the file.
+BUNDLE = "result string, file string, line_no long, line string"
+
+
+def write_result_bundle(lines: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """The files of many results as rows of ``BUNDLE``, one file per task: their number does not grow with the results."""
+    lines.select("result", "file", F.col("line_no").cast("long"), "line").write.mode(mode).parquet(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> str:
     df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
     return path

@@ -116,6 +116,19 @@ def test_status_of_results(spark, tmp_path):
     assert got == {"one": "REJECT", "two": "metrics available (no report)", "four": ""}
 
 
+def test_status_of_bundled_results(spark, tmp_path):
+    lines = [("one", "report.yaml", 3, "recommendation: APPROVE"), ("one", "report.yaml", 2, " recommendation:  REJECT now"),
+             ("one", "report.yaml", 1, "x: 1"), ("one", "eval_metrics.json", 1, "{}"), ("two", "eval_metrics.json", 1, '{"f1": 1}'),
+             ("three", "other.txt", 1, "recommendation: APPROVE"), ("four", "report.yaml", 1, "nothing"), ("five", "report.yaml", 1, None)]
+    many = spark.range(1, 3001).selectExpr("concat('m', id) result", "'report.yaml' file", "id line_no", "'recommendation: GO' line").coalesce(2)
+    path = wr.write_result_bundle(many.unionByName(spark.createDataFrame(lines, wr.BUNDLE).repartition(3)), str(tmp_path / "b"))
+    assert len(list((tmp_path / "b").glob("part-*"))) <= 5
+    got = {r.result: r.status for r in inv.result_status(spark, path, bundled=True).collect()}
+    assert {k: v for k, v in got.items() if not k.startswith("m")} == {
+        "one": "REJECT", "two": "metrics available (no report)", "four": "", "five": ""}
+    assert len(got) == 3004 and got["m7"] == "GO"
+
+
 def test_catalog_entry(spark):
     df = spark.createDataFrame([(i, f"math {i}") for i in range(5)], SCHEMA)
     entry = inv.profile_table(df, "quiz.jsonl", ".jsonl", ["a"], 3 << 20)
