@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeflow.functions.text import WS, is_blank, keyword_hits, strip, text_of, word_count
 from gradeflow.functions.wordhash import PLAIN, SPAN_BASE, Words, chunks, grams, spaced, windows
+from gradeflow.operators.groups import runs
 from gradeflow.operators.ordering import beside, bracketed_quantiles
 from gradeflow.session import materialize
 
@@ -23,6 +24,9 @@ THRESHOLD = 0.6
 TERMINALS = '.?!…"»'
 #: Bytes of text whose n-grams are sorted together.
 COMBINE_BYTES = 8 << 20
+#: Different n-grams of a group are counted in 2**BUCKET_BITS parts.
+BUCKET_BITS = 12
+DIGEST_BYTES = 12
 REPLACEMENT = "�"
 
 
@@ -94,8 +98,22 @@ def safety_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _gram_counts(orders: Sequence[int], kind: pa.DataType):
-    """(group, n, two hashes, number) of the different n-grams of each stretch of texts."""
+def _packed(a: np.ndarray, z: np.ndarray) -> bytes:
+    """48 bits of each of two numbers; the bucket has the first bits of ``a``."""
+    a = a << np.uint64(BUCKET_BITS) >> np.uint64(16)
+    return np.hstack([x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6] for x in (a, z)]).tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    """Rows of the two numbers that ``_packed`` keeps."""
+    short = np.frombuffer(data, dtype=np.uint8).reshape(-1, 2, 6)
+    out = np.zeros((len(short), 2, 8), dtype=np.uint8)
+    out[:, :, :6] = short
+    return out.view("<u8")[:, :, 0]
+
+
+def _gram_digests(orders: Sequence[int], kind: pa.DataType):
+    """(group, n, bucket, number of n-grams, packed digests of the different ones) of each stretch of texts."""
 
     def run(batches):
         for b in batches:
@@ -108,29 +126,63 @@ def _gram_counts(orders: Sequence[int], kind: pa.DataType):
                     starts = windows(words.counts, words.first, n)
                     if not len(starts):
                         continue
-                    a, z = (grams(h, n)[starts].view(np.int64) for h in (first, second))
+                    a, z = (grams(h, n)[starts] for h in (first, second))
                     code = np.repeat(codes[low:high], np.maximum(words.counts - n + 1, 0))
                     order = np.lexsort((a, code))
                     a, z, code = a[order], z[order], code[order]
-                    cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (z[1:] != z[:-1]) | (code[1:] != code[:-1]))))
-                    own = pa.array(code[cut], mask=code[cut] < 0)
-                    yield pa.record_batch([values.take(own).cast(kind), pa.array(np.full(len(cut), n), pa.int32()), pa.array(a[cut]), pa.array(z[cut]),
-                                           pa.array(np.diff(np.append(cut, len(a))))], names=["by", "n", "a", "z", "c"])
+                    new = np.concatenate(([True], (a[1:] != a[:-1]) | (z[1:] != z[:-1]) | (code[1:] != code[:-1])))
+                    own = np.flatnonzero(new)
+                    bucket = (a[own] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+                    cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (code[own][1:] != code[own][:-1]))))
+                    ends = pa.array(np.append(cut, len(own)) * DIGEST_BYTES, pa.int32())
+                    digests = pa.py_buffer(_packed(a[own], z[own]))
+                    names = code[own][cut]
+                    yield pa.record_batch([
+                        values.take(pa.array(names, mask=names < 0)).cast(kind), pa.array(np.full(len(cut), n), pa.int32()), pa.array(bucket[cut]),
+                        pa.array(np.diff(np.append(own[cut], len(a)))), pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, ends.buffers()[1], digests]),
+                    ], names=["by", "n", "bucket", "c", "digests"])
 
     return run
 
 
+def _different(digests: np.ndarray) -> int:
+    """Number of different rows of two numbers."""
+    a, z = digests[:, 0], digests[:, 1]
+    order = np.argsort(a)
+    again = a[order][1:] == a[order][:-1]
+    if (z[order][1:] != z[order][:-1])[again].any():  # two n-grams that share a first number
+        order = np.lexsort((z, a))
+        again = (a[order][1:] == a[order][:-1]) & (z[order][1:] == z[order][:-1])
+    return len(a) - int(again.sum())
+
+
+def _distinct_digests(batches):
+    """(group, n, different digests, number of n-grams) of each bucket of a sorted stream."""
+    for table, cuts in runs(batches, ("by", "n", "bucket")):
+        digests = table["digests"].combine_chunks().cast(pa.large_binary())
+        digests = digests if isinstance(digests, pa.Array) else digests.chunk(0)
+        ends = np.frombuffer(digests.buffers()[1], dtype=np.int64)[digests.offset : digests.offset + len(digests) + 1]
+        data = memoryview(digests.buffers()[2])
+        found = [_different(_unpacked(data[ends[low] : ends[high]])) for low, high in zip(cuts[:-1], cuts[1:])]
+        heads = table.take(pa.array(cuts[:-1])).combine_chunks()
+        yield pa.record_batch([heads["by"].chunk(0), heads["n"].chunk(0), pa.array(found, pa.int64()),
+                               pa.array(np.add.reduceat(table["c"].to_numpy(), cuts[:-1]))], names=["by", "n", "d", "c"])
+
+
 def ngram_diversity(df: DataFrame, by: str, text: str = "text", orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Distinct share of n-grams per group, by 128-bit hashes of the n-grams.
+    """Distinct share of n-grams per group, by 108-bit hashes of the n-grams.
 
-    Tasks sort and count the hashes of a few megabytes of text at a time; what is alike there leaves as one row of numbers.
+    Tasks sort the hashes of a few megabytes of text at a time. What is different there leaves as a few long values, one for each
+    bucket of first bits, so a shuffled n-gram is 12 bytes and a bucket is counted on its own.
     """
     kind = df.schema[by].dataType
+    arrow, name = to_arrow_type(kind), kind.simpleString()
     rows = df.select(by, text_of(text).alias("_text")).mapInArrow(
-        _gram_counts(tuple(orders), to_arrow_type(kind)), f"by {kind.simpleString()}, n int, a long, z long, c long")
-    counted = rows.groupBy(F.col("by").alias(by), "n", "a", "z").agg(F.sum("c").alias("c"))
-    return counted.groupBy(by, "n").agg(
-        F.count("*").alias("distinct_grams"), F.sum("c").alias("all_grams")
+        _gram_digests(tuple(orders), arrow), f"by {name}, n int, bucket int, c long, digests binary")
+    buckets = rows.repartition("by", "n", "bucket").sortWithinPartitions("by", "n", "bucket")
+    counted = buckets.mapInArrow(_distinct_digests, f"by {name}, n int, d long, c long")
+    return counted.groupBy(F.col("by").alias(by), "n").agg(
+        F.sum("d").alias("distinct_grams"), F.sum("c").alias("all_grams")
     ).withColumn("diversity", F.col("distinct_grams") / F.col("all_grams"))
 
 

@@ -232,3 +232,27 @@ def test_ngram_diversity_equals_sets_of_texts(spark, monkeypatch):
         got = {(r.lang, r.n): (r.distinct_grams, r.all_grams) for r in q.ngram_diversity(df, "lang").collect()}
         assert got == want
     assert q.ngram_diversity(df.limit(0), "lang").count() == 0
+
+
+def test_ngram_diversity_shuffles_digests_only(spark, partitions):
+    import numpy as np
+    import pyarrow as pa
+
+    from gradeflow.operators import quality as q
+
+    df = spark.createDataFrame([(i, "en" if i % 3 else None, " ".join(f"w{j * (i + 1) % 977}" for j in range(3000))) for i in range(40)], "id long, lang string, text string")
+    arrow = q._gram_digests((1, 2, 3), pa.string())
+    batches = [pa.RecordBatch.from_pandas(df.select("lang", "text").toPandas())]
+    sent = pa.Table.from_batches(arrow(batches))
+    # whatever the number of n-grams, a task sends no more rows than buckets
+    assert len(sent) <= 2 * 3 * 2**q.BUCKET_BITS and sum(sent["c"].to_pylist()) == 40 * (3000 + 2999 + 2998)
+    assert {len(x) % q.DIGEST_BYTES for x in sent["digests"].to_pylist()} == {0}
+    got = partitions(lambda: q.ngram_diversity(df, "lang").select("lang", "n", "distinct_grams", "all_grams"))
+    want = {}
+    for r in df.collect():
+        w = r.text.split()
+        for n in (1, 2, 3):
+            want.setdefault((r.lang, n), []).extend(zip(*[w[i:] for i in range(n)]))
+    assert {(a, n): (d, c) for a, n, d, c in got} == {k: (len(set(v)), len(v)) for k, v in want.items()}
+    # the first numbers may be alike
+    assert q._different(np.array([[1, 2], [1, 3], [1, 2], [4, 2]], dtype=np.uint64)) == 3
