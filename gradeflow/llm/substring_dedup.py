@@ -127,7 +127,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).cast("string").alias("text"))
     rows = rows.where("doc is not null")
-    pieces = materialize(rows.mapInArrow(_pieces(size, gram), PIECE), "pieces")
+    # most pieces are not shared, so they are made twice and only those that are shared are stored
+    pieces = rows.mapInArrow(_pieces(size, gram), PIECE)
     shared = pieces.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram")
     occurrences = materialize(pieces.join(materialize(shared, "shared"), "gram", "left_semi"), "occurrences")
     first = materialize(_source(occurrences, "gram", "h1", "h2"), "first")

@@ -38,6 +38,25 @@ def test_substring_dedup_for_any_partitioning(docs, corpus, partitions):
     assert got == counted(plain.substring_dedup(corpus))
 
 
+def test_substring_dedup_stores_shared_pieces_only(spark, monkeypatch):
+    from gradeflow.llm import substring_dedup as module
+
+    stored = {}
+
+    def counting(df, name):
+        out = usual(df, name)
+        stored[name] = out.count()
+        return out
+
+    usual = module.materialize
+    monkeypatch.setattr(module, "materialize", counting)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(4000))) for i in range(20)] + [(20, " ".join(f"w3x{j}" for j in range(100, 200)))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(20)} | {20: 100}
+    # the pieces of 80,000 unshared words are in no table
+    assert stored["shared"] and max(stored.values()) < 150
+
+
 def test_spans_equal_their_source(docs, corpus):
     texts = {}
     for i, t in corpus:
