@@ -229,3 +229,15 @@ def test_subwords_of_a_given_table(spark):
         padded = ",".join(map(str, ids + [0] * (q_pairs.MAX_LENGTH - len(ids))))
         assert (r.n_tokens, r.id_sum, r.ids_md5) == (len(ids), sum(ids), hashlib.md5(padded.encode()).hexdigest())
     assert not texts
+
+
+def test_answers_leave_references_out_of_python(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else f"é{i}", None if i % 5 == 0 else "x", None if i % 3 == 0 else "long " * 50) for i in range(1000)]
+    pairs = spark.createDataFrame(rows, "id long, instruction string, input string, output string").coalesce(2)
+    out = udfs.answer_with(pairs, lambda i, c: None if i == "é1" else f"{i}|{c}")
+    # only the two texts that the generator reads are inputs of the Python step
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" in plan
+    got = {r.id: (r.prediction, r.reference) for r in out.collect()}
+    assert got == {i: (None if a == "é1" else f"{a or ''}|{c or ''}", o or "") for i, a, c, o in rows}
+    assert udfs.answer_with(pairs.limit(0), lambda i, c: i).count() == 0
