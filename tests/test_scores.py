@@ -193,3 +193,19 @@ def test_stem_dictionary_equals_the_rules(spark, monkeypatch):
         assert {r.id: r.s for r in df.select("id", st.stems_of("w", table).alias("s")).collect()} == want
     empty = st.stem_dictionary(df.limit(0), "w")
     assert empty is None or df.select(F.size(st.stems_of("w", empty))).count() == 3
+
+
+def test_lcs_reads_arrow_lists(monkeypatch):
+    import pyarrow as pa
+
+    from gradeflow.functions import pyhelpers as h
+
+    rng = random.Random(8)
+    sides = [[[rng.choice("abcé") * rng.randint(1, 2) for _ in range(rng.randrange(30))] for _ in range(700)] for _ in range(2)]
+    want = [h.lcs_length(a, b) for a, b in zip(*sides)]
+    arrays = [pa.array(x, pa.list_(pa.string())) for x in sides]
+    for size in (1, 256, 10_000):
+        monkeypatch.setattr(h, "AT_ONCE", size)
+        # slices of Arrow lists, not lists of Python texts
+        assert h.lcs.func(*[x.slice(3) for x in arrays]).to_pylist() == want[3:]
+    assert h.lcs.func(*[x.slice(0, 0) for x in arrays]).to_pylist() == []
