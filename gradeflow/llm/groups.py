@@ -24,6 +24,19 @@ def small(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= most else stored
 
 
+def distinct_groups(members: DataFrame, key: str, member: str) -> DataFrame:
+    """The rows of one of all groups that have the same members; groups of one row are left out.
+
+    Groups are told apart by their size and two 64-bit hashes of their members. ``members`` must be a
+    stored table of distinct rows.
+    """
+    first, second = F.xxhash64(member), F.xxhash64(F.lit(1), F.col(member))
+    shape = members.groupBy(key).agg(
+        F.count("*").alias("group_size"), F.bit_xor(first).alias("_a"), F.bit_xor(second).alias("_z")).where("group_size > 1")
+    chosen = shape.groupBy("group_size", "_a", "_z").agg(F.min(key).alias(key)).select(key)
+    return members.join(materialize(chosen, "chosen"), key, "left_semi")
+
+
 def tiles(members: DataFrame, key: str, member: str, size: int = TILE) -> DataFrame:
     """Rows (key, member, tile, low, high): pairs of tiles of each group.
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gradeflow.llm.catalog import register
 from gradeflow.llm.components import components
-from gradeflow.llm.groups import forest, runs, small, tiles, together
+from gradeflow.llm.groups import distinct_groups, forest, runs, small, tiles, together
 from gradeflow.llm.words import PLAIN, U, Words, chunks, grams, mix
 from gradeflow.session import materialize
 
@@ -259,7 +259,8 @@ def _links(rows: DataFrame, vertices: DataFrame, words: int, similarity: tuple[i
     crowded = materialize(each.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"))
                           .where("a < b").select("key"), "crowded")
     members = each.join(small(crowded), "key").groupBy("key", "vertex").agg(F.lit(1).alias("one")).drop("one")
-    members = materialize(members, "members")
+    # near copies share most blocks: those with the same members list the same pairs
+    members = materialize(distinct_groups(materialize(members, "block_members"), "key", "vertex"), "members")
     about = vertices.join(members.select("vertex").distinct(), "vertex", "left_semi").drop("doc")
     about = materialize(about, "about")
     wanted = materialize(about.select("vertex", "tag"), "wanted")

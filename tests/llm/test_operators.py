@@ -274,3 +274,13 @@ def test_line_dedup_of_a_text_with_many_lines(spark):
         got = {r.doc_id: r for r in line_dedup(df, ratio=0.5, copies=copies).collect()}
         assert (got[1].n_lines, got[2].n_lines) == (100_000, 100_001)
         assert sum(r.n_dropped for r in got.values()) == (10 if copies else 9)
+
+
+@pytest.mark.parametrize("module", ["gradeflow.llm.groups", "gradeflow.operators.groups"])
+def test_groups_with_the_same_members_are_taken_once(spark, module):
+    import importlib
+
+    groups = {1: (1, 2, 3), 2: (3, 2, 1), 3: (1, 2), 4: (2, 1), 5: (7,), 6: (1, 2, 3, 4)}
+    df = spark.createDataFrame([(k, m) for k, v in groups.items() for m in v], "key long, member long").repartition(5)
+    got = sorted(map(tuple, importlib.import_module(module).distinct_groups(df, "key", "member").collect()))
+    assert got == [(k, m) for k in (1, 3, 6) for m in sorted(groups[k])]
