@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gradeflow.functions.text import text_of
 from gradeflow.functions.wordhash import GRAM_BASE, U, mix
-from gradeflow.operators.groups import TILE, runs, tiles, together
+from gradeflow.operators.groups import TILE, distinct_groups, runs, tiles, together
 from gradeflow.session import materialize
 
 SHINGLE = 5
@@ -46,9 +48,12 @@ def cross_dataset_dedup(candidates: DataFrame, earlier: DataFrame, text: str = "
 
 def _shingles(text: str | None, n: int) -> np.ndarray:
     """Distinct word n-grams as 60-bit hashes in order; shorter texts give one shingle of all words."""
-    tokens = (text or "").split()
-    grams = [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)] or [" ".join(tokens)]
-    digests = b"".join([hashlib.md5(g.encode()).digest()[:8] for g in grams])
+    line = " ".join((text or "").split()).encode()
+    ends = list(accumulate(map(len, line.split(b" ")), lambda end, size: end + 1 + size))
+    starts = [0, *[end + 1 for end in ends]]
+    grams = {line[start:end] for start, end in zip(starts, ends[n - 1 :])} or {line}
+    md5 = hashlib.md5
+    digests = b"".join([md5(g).digest()[:8] for g in grams])
     return np.unique((np.frombuffer(digests, dtype=">u8") >> 4).astype(np.int64))
 
 
@@ -73,13 +78,23 @@ def hash_family(hashes: int, seed: int) -> list[tuple[int, int]]:
     return [(int(d[:7], 16) + 1, int(d[7:14], 16)) for d in digits]
 
 
+def _modulo_prime(values: np.ndarray) -> np.ndarray:
+    """Values below 2**61 modulo ``PRIME``, which is 2**31 - 1, by adding their high bits to the low ones."""
+    for _ in range(2):
+        high = values >> 31
+        values &= PRIME
+        values += high
+    values[values == PRIME] = 0
+    return values
+
+
 def band_keys(shingles: np.ndarray, family: list[tuple[int, int]], rows: int) -> np.ndarray:
     """A 64-bit key per band of ``rows`` values of the minhash signature."""
     factor, offset = (np.array(x, dtype=np.int64) for x in zip(*family))
     signature = np.full(len(factor), PRIME, dtype=np.int64)
     for low in range(0, len(shingles), AT_ONCE):  # bounded memory for long texts
         x = shingles[low : low + AT_ONCE] % PRIME
-        signature = np.minimum(signature, ((x[:, None] * factor + offset) % PRIME).min(axis=0))
+        signature = np.minimum(signature, _modulo_prime(x[:, None] * factor + offset).min(axis=0))
     keys = np.arange(len(factor) // rows, dtype=U)
     for column in signature.reshape(-1, rows).T:
         keys = mix(keys * GRAM_BASE + column.astype(U))
@@ -220,6 +235,7 @@ def _tile_task(threshold: float, lowest: bool):
 
 def _candidates(rows: DataFrame, narrow: DataFrame, threshold: float, tile: int, lowest: bool) -> DataFrame:
     """Distinct pairs of rows that share a bucket and may match, by sizes and sketches; nothing that matches is lost."""
+    rows = materialize(distinct_groups(rows, "bucket", "id"), "different_buckets")
     met = tiles(rows, "bucket", "id", tile).join(narrow, "id")
     return together(met, "bucket", "id").mapInArrow(_tile_task(threshold, lowest), "id long, other long").distinct()
 

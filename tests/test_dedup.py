@@ -256,3 +256,12 @@ def test_ngram_diversity_shuffles_digests_only(spark, partitions):
     assert {(a, n): (d, c) for a, n, d, c in got} == {k: (len(set(v)), len(v)) for k, v in want.items()}
     # the first numbers may be alike
     assert q._different(np.array([[1, 2], [1, 3], [1, 2], [4, 2]], dtype=np.uint64)) == 3
+
+
+def test_modulo_of_the_hash_family_is_exact():
+    import numpy as np
+
+    rng = random.Random(6)
+    p = d.PRIME
+    values = np.array([0, 1, p - 1, p, p + 1, 2 * p, p * (2**28), 2**59 + 2**28] + [rng.randrange(2**60) for _ in range(500)])
+    assert (d._modulo_prime(values.copy()) == values % p).all()
