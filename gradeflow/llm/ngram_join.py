@@ -12,9 +12,9 @@ other blocks, because then one of those must agree.
 
 1. One pass over the texts stores, per document, the hash of its set, its size and a folded
    sketch. Equal sets are one vertex from here on.
-2. Block keys of two vertices and more are found by partial aggregates. Their members are
-   compared by sketch within pairs of tiles; a spanning forest of the pairs that pass is
-   returned, not all pairs.
+2. A second pass sends short block keys with their vertices, packed by bucket; the task of a
+   bucket keeps the keys of two vertices and more. Their members are compared by sketch
+   within pairs of tiles; a spanning forest of the pairs that pass is returned, not all pairs.
 3. Each vertex's smallest partner is verified on the whole sets and linked vertices form
    components; then all other edges of the forest that cross components; at last, all
    pairs that pass the sketch test and still cross components. No link is left out, and
@@ -42,6 +42,11 @@ SIMILARITY = (80, 100)
 #: Sizes of a band differ by this factor at most. Wider bands list fewer documents twice, but cut small sets finer.
 BAND = 1.5
 SKETCH_WORDS = 16
+#: Bytes of a block key that are sent; the bucket has its first bits. Blocks whose short keys agree by chance are one group
+#: whose pairs are compared like any others.
+KEY_BYTES = 5
+#: Grams of all sets that make a bucket of keys (about half as many keys), least number of buckets, and keys packed at a time.
+BUCKET_GRAMS, BUCKETS, PACKED = 1 << 20, 64, 1 << 20
 
 DOC = "doc long, tag long, vertex long, n int, sketch binary"
 
@@ -134,22 +139,70 @@ def _describe(k: int):
     return run
 
 
-def _keys(k: int, similarity: tuple[int, int]):
-    """(vertex, key) for each block of each document's sketch. Cheaper to make twice than to store."""
+def _pack(keys: np.ndarray, vertices: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, keys, vertices): the short keys of each bucket and their vertices, side by side."""
+    bits = U(8 * KEY_BYTES)
+    bucket = ((keys >> U(32)) * U(buckets)) >> U(32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, vertices = bucket[order], keys[order] & ((U(1) << bits) - U(1)), vertices[order]
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
+    short = np.ascontiguousarray(keys.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+
+    def pieces(data: np.ndarray, size: int) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * size), pa.py_buffer(data)]).cast(pa.binary())
+
+    return pa.record_batch([pa.array(bucket[cuts[:-1]].astype(np.int32)), pieces(short, KEY_BYTES), pieces(vertices.astype("<i8", copy=False), 8)],
+                           names=["bucket", "keys", "vertices"])
+
+
+def _keys(k: int, similarity: tuple[int, int], buckets: int):
+    """The block keys of each set's sketch, packed; copies within a stretch of texts are left out."""
 
     def run(batches):
         bands = Bands(similarity)
+        keys, seen, held = [], {}, 0
         for b in batches:
             for _, _, data, offsets in chunks(b.column(0)):
-                sets = [x for x in shingles(Words(data, offsets, PLAIN, lower=True), k) if len(x)]
-                keys = [bands.keys(x) for x in sets]
-                if keys:
-                    vertex = np.repeat(np.array([vertex_of(x) for x in sets], dtype=np.int64), [len(x) for x in keys])
-                    yield pa.record_batch([pa.array(vertex), pa.array(np.concatenate(keys).view(np.int64))], names=["vertex", "key"])
+                for x in shingles(Words(data, offsets, PLAIN, lower=True), k):
+                    vertex = vertex_of(x) if len(x) else None
+                    if len(x) and vertex not in seen:
+                        keys.append(bands.keys(x))
+                        seen[vertex] = len(keys[-1])
+                        held += len(keys[-1])
+                if held >= PACKED:
+                    yield _pack(np.concatenate(keys), np.repeat(np.array([*seen], dtype=np.int64), [*seen.values()]), buckets)
+                    keys, seen, held = [], {}, 0
+        if held:
+            yield _pack(np.concatenate(keys), np.repeat(np.array([*seen], dtype=np.int64), [*seen.values()]), buckets)
 
     return run
 
 
+def _crowded(batches):
+    """(key, vertex) of the keys of two vertices and more, bucket by bucket."""
+    for table, cuts in runs(batches, ("bucket",)):
+        bucket = table["bucket"].to_numpy()
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = table.slice(low, high - low)
+            vertex = np.frombuffer(b"".join(own["vertices"].to_pylist()), dtype="<i8")
+            key = np.zeros((len(vertex), 8), dtype=np.uint8)
+            key[:, :KEY_BYTES] = np.frombuffer(b"".join(own["keys"].to_pylist()), dtype=np.uint8).reshape(-1, KEY_BYTES)
+            key = key.view("<i8")[:, 0] | (int(bucket[low]) << (8 * KEY_BYTES))
+            order = np.argsort(key)
+            key, vertex = key[order], vertex[order]
+            same = key[1:] == key[:-1]
+            shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            key, vertex = key[shared], vertex[shared]
+            order = np.lexsort((vertex, key))
+            key, vertex = key[order], vertex[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (vertex[1:] != vertex[:-1])))[: len(key)]
+            key, vertex = key[new], vertex[new]
+            same = key[1:] == key[:-1]
+            shared = (np.concatenate(([False], same)) | np.concatenate((same, [False])))[: len(key)]
+            if shared.any():
+                yield pa.record_batch([pa.array(key[shared]), pa.array(vertex[shared])], names=["key", "vertex"])
+
+
 def _near(sizes: np.ndarray, sketches: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     """Which pairs may be linked by their sizes and the Hamming distance of their sketches."""
     num, den = similarity
@@ -255,21 +308,24 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _links(rows: DataFrame, vertices: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """Links (a, b) between vertices, enough to connect whatever is linked."""
-    each = rows.select("text").mapInArrow(_keys(words, similarity), "vertex long, key long")
-    crowded = materialize(each.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"))
-                          .where("a < b").select("key"), "crowded")
-    members = each.join(small(crowded), "key").groupBy("key", "vertex").agg(F.lit(1).alias("one")).drop("one")
+    grams_in_all = vertices.agg(F.sum("n")).first()[0] or 0
+    packed = rows.select("text").mapInArrow(_keys(words, similarity, max(BUCKETS, grams_in_all // BUCKET_GRAMS)),
+                                            "bucket int, keys binary, vertices binary")
+    members = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_crowded, "key long, vertex long")
     # near copies share most blocks: those with the same members list the same pairs
     members = materialize(distinct_groups(materialize(members, "block_members"), "key", "vertex"), "members")
     about = vertices.join(members.select("vertex").distinct(), "vertex", "left_semi").drop("doc")
     about = materialize(about, "about")
-    wanted = materialize(about.select("vertex", "tag"), "wanted")
-    texts = rows.join(small(wanted), "tag").select("vertex", "text")
-    sets = materialize(texts.mapInArrow(_sets(words), "vertex long, grams binary"), "sets")
     pairs_of_tiles = materialize(tiles(members, "key", "vertex"), "tiles")
     about_each = about.drop("tag")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
+        wanted = materialize(about.join(ends, "vertex", "left_semi").select("vertex", "tag"), "wanted")
+        texts = rows.join(small(wanted), "tag").select("vertex", "text")
+        return materialize(texts.mapInArrow(_sets(words), "vertex long, grams binary"), "sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         left, right = (sets.select(F.col("vertex").alias(v), F.col("grams").alias(f"grams_{v}")) for v in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
         return materialize(both.mapInArrow(_verify(similarity), "a long, b long"), name)
@@ -279,20 +335,21 @@ def _links(rows: DataFrame, vertices: DataFrame, words: int, similarity: tuple[i
         return rows.mapInArrow(_candidates(similarity, every), "a long, b long").distinct()
 
     tentative = materialize(compared(about_each.withColumn("root", F.col("vertex")), False), "tentative")
+    sets = sets_of(tentative)
     nearest = tentative.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(nearest, "nearest_links")
+    links = verified(nearest, sets, "nearest_links")
     roots = components(links)
     crossing = (
         tentative.join(roots.select(F.col("v").alias("a"), F.col("root").alias("root_a")), "a", "left")
         .join(roots.select(F.col("v").alias("b"), F.col("root").alias("root_b")), "b", "left")
         .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
     )
-    links = materialize(links.unionByName(verified(crossing, "crossing_links")), "forest_links")
+    links = materialize(links.unionByName(verified(crossing, sets, "crossing_links")), "forest_links")
     labels = components(links).withColumnRenamed("v", "vertex")
     rooted = about_each.join(labels, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     rest = compared(materialize(rooted, "rooted"), True)
     rest = materialize(rest.join(tentative, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(verified(rest, "rest_links"))
+    return links.unionByName(verified(rest, sets_of(rest), "rest_links"))
 
 
 SQL = r"""

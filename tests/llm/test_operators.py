@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,78 @@ def test_similarity_classes_without_broadcasts(docs, corpus, monkeypatch):
     assert got == counted(plain.classes(corpus, 3, 80, 100))
 
 
+def test_similarity_classes_when_short_keys_agree_by_chance(docs, corpus, monkeypatch):
+    """Blocks of different sets in one group cost comparisons only; keys are packed after every stretch of texts."""
+    from gradeflow.llm import ngram_join as module
+
+    for name, value in (("KEY_BYTES", 1), ("BUCKETS", 3), ("PACKED", 1)):
+        monkeypatch.setattr(module, name, value)
+    got = rows(similarity_classes(docs, words=3, similarity=(80, 100)), "doc_id", "n_shingles", "component_id")
+    assert got == counted(plain.classes(corpus, 3, 80, 100))
+
+
+def test_block_keys_leave_the_texts_packed(spark):
+    """A row per bucket and stretch of texts, not per key; each key that two sets have comes out with all of them."""
+    import numpy as np
+
+    from gradeflow.llm import ngram_join as module
+
+    texts = [f"{' '.join(f'w{i // 2}x{j}' for j in range(400))} {'end' * (i % 2)}" for i in range(40)] * 3
+    sent = list(module._keys(5, (80, 100), 8)([pa.record_batch([pa.array(texts)], names=["text"])]))
+    bands, have = module.Bands((80, 100)), {}
+    for text in texts:
+        words = module.Words(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]), module.PLAIN, lower=True)
+        (grams,) = module.shingles(words, 5)
+        for key in bands.keys(grams).tolist():
+            have.setdefault(key, set()).add(module.vertex_of(grams))
+    assert sum(b.num_rows for b in sent) == 8 < len(have) / 100
+    got = {}
+    for batch in module._crowded(pa.Table.from_batches(sent).sort_by("bucket").combine_chunks().to_batches()):
+        for key, vertex in zip(*(c.to_pylist() for c in batch.columns)):
+            got.setdefault(key, []).append(vertex)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in have.values() if len(v) > 1)
+
+
+def shuffle_files(spark):
+    """Sizes of the shuffle files on this machine's disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_no_shuffle_files_outlive_a_stored_table(spark):
+    from gradeflow.session import CLEANUP, materialize
+
+    before = shuffle_files(spark)
+    stored = materialize(spark.range(100_000).repartition(7, "id"), "dealt")
+    assert not shuffle_files(spark).keys() - before.keys() and stored.count() == 100_000
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_near_copies_shuffle_no_texts(spark):
+    """Only rows with the same id and text are dealt out whole; of those the first in the order of all columns stays."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    body = [" ".join(rng.choices([f"w{i}" for i in range(5000)], k=1500)) for _ in range(300)]
+    table = [(i, t, "b") for i, t in enumerate(body)] + [(1000 + i, body[i] + " x", "b") for i in range(50)]
+    table += [(5, body[5], "a"), (5, body[5], "c"), (6, body[7], "a"), (None, body[9], "a"), (400, None, "z"), (400, None, "y")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # else this small table is broadcast with its texts
+    try:
+        stage = corpus_pipeline.near_copies(spark, corpus_pipeline.materialize(docs, "docs"), "")
+        before = shuffle_files(spark)
+        got = {r.doc_id: tuple(r) for r in stage.collect()}
+        assert sum(n for f, n in shuffle_files(spark).items() if f not in before) < 0.1 * sum(map(len, body))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    # two texts of id 6 are the least of their classes, 7 is a copy of one of them
+    assert got.pop(6)[1] in (body[6], body[7]) and stage.where("doc_id = 6").count() == 1
+    kept = {i: (i, t, "b") for i, t in enumerate(body) if i not in (6, 7)}
+    assert got == kept | {5: (5, body[5], "a"), None: (None, body[9], "a"), 400: (400, None, "y")}
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(90)] + [(5, 5)]
